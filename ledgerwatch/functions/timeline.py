@@ -1,12 +1,14 @@
 """Ordered per-key computations that never put a whole hot key into one task.
 
 A plain ``Window.partitionBy(key)`` sorts all rows of a key in one task, so a key that holds a large share of the
-table decides the run time.  Every helper here finds the keys with at least ``hot_rows`` rows by a counting pass (one
-narrow column, combined map-side), and cuts only those keys into slices of their order.  Work runs per (key, slice);
-what must cross a slice border (a running sum, the last row) is carried by a second window over one summary row per
-slice.  Keys below the limit keep a single slice and the plan of an ordinary window.
+table decides the run time.  Every helper here first counts the rows per key (one narrow column, combined map-side)
+and fetches the keys with at least ``hot_rows`` rows; a table of n rows has at most n / hot_rows of them.
 
-The list of hot keys is broadcast: it holds at most ``rows / hot_rows`` entries, so its size is bounded by the limit.
+* No hot key: the helper is an ordinary window over one shuffle.
+* Hot keys: only those are cut into slices of their order.  Work runs per (key, slice); what must cross a slice border
+  (a running sum, the last row) is carried by a second window over one summary row per slice.
+
+Pass a :class:`HotKeys` in place of the number to reuse one counting pass over several steps.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerwatch.session import cut_lineage
+
 HOT_ROWS = 1_000_000
 SLICE_SECONDS = 3_600
 BLOCK_ROWS = 200_000
@@ -37,21 +41,46 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def hot_keys(df: DataFrame, key, hot_rows: int = HOT_ROWS) -> DataFrame:
+def list_hot_keys(df: DataFrame, key, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """The keys with at least ``hot_rows`` rows as a small local table, or None."""
     keys = _names(key)
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= hot_rows).select(*keys)
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= hot_rows).select(*keys)
+    rows = counted.collect()
+    return df.sparkSession.createDataFrame(rows, counted.schema) if rows else None
 
 
-def mark_hot(df: DataFrame, key, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add the flag ``_hot`` for rows whose key has at least ``hot_rows`` rows."""
-    keys = _names(key)
-    listed = F.broadcast(hot_keys(df, keys, hot_rows).withColumn(HOT, F.lit(True)))
+class HotKeys:
+    """Hot keys of one table for several key columns, found once."""
+
+    def __init__(self, df: DataFrame, *keys, hot_rows: int = HOT_ROWS):
+        self.hot_rows = hot_rows
+        self.found = {tuple(_names(k)): list_hot_keys(df, k, hot_rows) for k in keys}
+
+    def of(self, df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+        """Hot keys for ``keys``; none if a part of the key is known to have none."""
+        name = tuple(keys)
+        if name not in self.found:
+            quiet = any(set(k) <= set(name) and v is None for k, v in self.found.items())
+            self.found[name] = None if quiet else list_hot_keys(df, keys, self.hot_rows)
+        return self.found[name]
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        """Cut the lineage between steps where hot keys make the plans branch."""
+        return cut_lineage(df) if any(v is not None for v in self.found.values()) else df
+
+
+def _hot(df: DataFrame, keys: Sequence[str], hot_rows) -> DataFrame | None:
+    return hot_rows.of(df, keys) if isinstance(hot_rows, HotKeys) else list_hot_keys(df, keys, hot_rows)
+
+
+def _mark(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
+    listed = F.broadcast(hot.withColumn(HOT, F.lit(True)))
     return null_safe_join(df, listed, keys).withColumn(HOT, F.coalesce(F.col(HOT), F.lit(False)))
 
 
-def cut(df: DataFrame, key, slice_of: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
+def _cut(df: DataFrame, keys: Sequence[str], slice_of: Column, hot: DataFrame) -> DataFrame:
     """Add ``_hot`` and ``_slice``; ``slice_of`` must grow with the order of the rows."""
-    return mark_hot(df, key, hot_rows).withColumn(
+    return _mark(df, keys, hot).withColumn(
         SLICE, F.when(F.col(HOT), slice_of.cast("long")).otherwise(F.lit(0).cast("long"))
     )
 
@@ -61,16 +90,23 @@ def time_slice(micros: Column, seconds: int = SLICE_SECONDS) -> Column:
 
 
 def running_sums(
-    df: DataFrame,
-    key,
-    order: Column,
-    measures: dict[str, Column],
-    slice_of: Column,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, key, order: Column, measures: dict[str, Column], slice_of: Column, hot_rows=HOT_ROWS,
+    all_hot: bool = False,
 ) -> DataFrame:
-    """Add inclusive running sums of ``measures`` per key; rows with equal ``order`` share one value."""
+    """Add inclusive running sums of ``measures`` per key; rows with equal ``order`` share one value.
+
+    ``all_hot`` skips the counting pass and slices every key.
+    """
     keys = _names(key)
-    rows = cut(df, keys, slice_of, hot_rows)
+    zero = F.lit(0)
+    if all_hot:
+        rows = df.withColumn(HOT, F.lit(True)).withColumn(SLICE, slice_of.cast("long"))
+    else:
+        hot = _hot(df, keys, hot_rows)
+        if hot is None:
+            whole = Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+            return df.select("*", *[F.coalesce(F.sum(m).over(whole), zero).alias(n) for n, m in measures.items()])
+        rows = _cut(df, keys, slice_of, hot)
     inner = Window.partitionBy(*keys, SLICE).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
     summed = rows.select("*", *[F.sum(m).over(inner).alias(n) for n, m in measures.items()])
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
@@ -81,33 +117,12 @@ def running_sums(
         .select(*keys, SLICE, *[F.sum(f"_c_{n}").over(before).alias(f"_c_{n}") for n in measures])
     )
     joined = null_safe_join(summed, per_slice, [*keys, SLICE])
-    zero = F.lit(0)
     return joined.select(
         *df.columns,
         *[(F.coalesce(F.col(n), zero) + F.coalesce(F.col(f"_c_{n}"), zero)).alias(n) for n in measures],
     )
 
 
-def sequence_number(
-    df: DataFrame, key, order: Sequence[Column], slice_of: Column, name: str = "seq", hot_rows: int = HOT_ROWS,
-    keep_hot: bool = False,
-) -> DataFrame:
-    """Exact 1-based row number per key in the given total order."""
-    keys = _names(key)
-    rows = cut(df, keys, slice_of, hot_rows)
-    numbered = rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys, SLICE).orderBy(*order)).cast("long"))
-    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    per_slice = (
-        rows.filter(HOT)
-        .groupBy(*keys, SLICE)
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .select(*keys, SLICE, F.sum("_c").over(before).alias("_c"))
-    )
-    joined = null_safe_join(numbered, per_slice, [*keys, SLICE])
-    out = joined.withColumn(name, F.col(name) + F.coalesce(F.col("_c"), F.lit(0)))
-    return out.select(*df.columns, name, *([HOT] if keep_hot else []))
-
-
 def neighbours(
     df: DataFrame,
     key,
@@ -115,13 +130,21 @@ def neighbours(
     slice_of: Column,
     previous: dict[str, Column] | None = None,
     following: dict[str, Column] | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows=HOT_ROWS,
 ) -> DataFrame:
     """Add values of the row before and / or after in the order of each key (null at the ends)."""
     keys = _names(key)
     previous, following = previous or {}, following or {}
-    rows = cut(df, keys, slice_of, hot_rows)
     order_cols = [F.col(c) for c in order]
+    hot = _hot(df, keys, hot_rows)
+    if hot is None:
+        whole = Window.partitionBy(*keys).orderBy(*order_cols)
+        return df.select(
+            "*",
+            *[F.lag(c).over(whole).alias(n) for n, c in previous.items()],
+            *[F.lead(c).over(whole).alias(n) for n, c in following.items()],
+        )
+    rows = _cut(df, keys, slice_of, hot)
     inner = Window.partitionBy(*keys, SLICE).orderBy(*order_cols)
     outer = Window.partitionBy(*keys).orderBy(SLICE)
     position = F.struct(*order_cols)
@@ -152,20 +175,36 @@ def row_frames(
     key,
     order: Sequence[Column],
     size: int,
-    build: Callable[[Window], dict[str, Column]],
+    build: Callable[[Window, Column], dict[str, Column]],
     slice_of: Column,
-    hot_rows: int = HOT_ROWS,
+    hot_rows=HOT_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Columns over the last ``size`` rows of each key.
 
     ``build`` receives the ordered window (without a frame) and the column that holds the row number, and returns
-    columns that look back at most ``size - 1`` rows.  Hot keys are cut into blocks of ``block_rows`` rows, each
-    preceded by a copy of the last ``size - 1`` rows of the block before.
+    columns that look back at most ``size - 1`` rows.  Hot keys are numbered by slices and then cut into blocks of
+    ``block_rows`` rows, each preceded by a copy of the last ``size - 1`` rows of the block before.
     """
     keys = _names(key)
+    hot = _hot(df, keys, hot_rows)
+    if hot is None:
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        numbered = df.withColumn("_seq", F.row_number().over(whole).cast("long"))
+        built = build(whole, F.col("_seq"))
+        return numbered.select("*", *[c.alias(n) for n, c in built.items()]).drop("_seq")
     block_rows = max(block_rows, size)
-    numbered = sequence_number(df, keys, order, slice_of, "_seq", hot_rows, keep_hot=True)
+    rows = _cut(df, keys, slice_of, hot)
+    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    per_slice = (
+        rows.filter(HOT)
+        .groupBy(*keys, SLICE)
+        .agg(F.count(F.lit(1)).alias("_c"))
+        .select(*keys, SLICE, F.sum("_c").over(before).alias("_c"))
+    )
+    in_slice = F.row_number().over(Window.partitionBy(*keys, SLICE).orderBy(*order)).cast("long")
+    joined = null_safe_join(rows.withColumn("_seq", in_slice), per_slice, [*keys, SLICE])
+    numbered = joined.withColumn("_seq", F.col("_seq") + F.coalesce(F.col("_c"), F.lit(0)))
     zero_based = F.col("_seq") - 1
     home = numbered.withColumn(
         "_block", F.when(F.col(HOT), F.floor(zero_based / block_rows)).otherwise(F.lit(0)).cast("long")
@@ -175,8 +214,7 @@ def row_frames(
         F.array(F.col("_block"), F.col("_block") + 1),
     ).otherwise(F.array(F.col("_block")))
     spread = home.withColumn("_at", F.explode(blocks))
-    window = Window.partitionBy(*keys, "_at").orderBy("_seq")
-    built = build(window, F.col("_seq"))
+    built = build(Window.partitionBy(*keys, "_at").orderBy("_seq"), F.col("_seq"))
     framed = spread.select("*", *[c.alias(n) for n, c in built.items()])
     return framed.filter(F.col("_at") == F.col("_block")).select(*df.columns, *built)
 
@@ -188,7 +226,7 @@ def trailing_sums(
     row_id: str,
     spans: dict[str, tuple[int, int]],
     measures: dict[str, Column],
-    hot_rows: int = HOT_ROWS,
+    hot_rows=HOT_ROWS,
     slice_seconds: int = SLICE_SECONDS,
 ) -> DataFrame:
     """Sums over a time range behind each row.
@@ -200,29 +238,36 @@ def trailing_sums(
     again by ``row_id``.
     """
     keys = _names(key)
-    marked = mark_hot(df.withColumn("_us", micros), keys, hot_rows)
-    window = Window.partitionBy(*keys).orderBy("_us")
     names = [f"{m}_{s}" for s in spans for m in measures]
-    cold = marked.filter(~F.col(HOT)).select(
-        *df.columns,
-        *[
-            F.coalesce(F.sum(c).over(window.rangeBetween(lo, hi)), F.lit(0)).alias(f"{m}_{s}")
-            for s, (lo, hi) in spans.items()
-            for m, c in measures.items()
-        ],
-    )
+    timed = df.withColumn("_us", micros)
+
+    def framed(rows: DataFrame) -> DataFrame:
+        window = Window.partitionBy(*keys).orderBy("_us")
+        return rows.select(
+            *df.columns,
+            *[
+                F.coalesce(F.sum(c).over(window.rangeBetween(lo, hi)), F.lit(0)).alias(f"{m}_{s}")
+                for s, (lo, hi) in spans.items()
+                for m, c in measures.items()
+            ],
+        )
+
+    listed = _hot(df, keys, hot_rows)
+    if listed is None:
+        return framed(timed)
+    marked = _mark(timed, keys, listed)
     hot = marked.filter(F.col(HOT)).drop(HOT)
     ends = sorted({hi for _, hi in spans.values()} | {lo - 1 for lo, _ in spans.values()})
     asks = F.array(
         F.struct(F.lit(-1).alias("ask"), F.lit(0).cast("long").alias("shift")),
         *[F.struct(F.lit(i).alias("ask"), F.lit(e).cast("long").alias("shift")) for i, e in enumerate(ends)],
     )
-    payload = F.struct(*[F.col(c) for c in df.columns])
+    own = F.col("_ask.ask") == -1
     points = hot.select(
         *keys,
         F.col(row_id).alias("_id"),
         F.col("_us").alias("_base"),
-        payload.alias("_row"),
+        F.struct(*[F.col(c) for c in df.columns]).alias("_row"),
         *[c.alias(f"_m_{m}") for m, c in measures.items()],
         F.explode(asks).alias("_ask"),
     ).select(
@@ -230,12 +275,12 @@ def trailing_sums(
         "_id",
         F.col("_ask.ask").alias("_ask"),
         (F.col("_base") + F.col("_ask.shift")).alias("_at"),
-        F.when(F.col("_ask.ask") == -1, F.col("_row")).alias("_row"),
-        *[F.when(F.col("_ask.ask") == -1, F.col(f"_m_{m}")).alias(f"_m_{m}") for m in measures],
+        F.when(own, F.col("_row")).alias("_row"),
+        *[F.when(own, F.col(f"_m_{m}")).alias(f"_m_{m}") for m in measures],
     )
     summed = running_sums(
         points, keys, F.col("_at"), {f"_s_{m}": F.col(f"_m_{m}") for m in measures},
-        time_slice(F.col("_at"), slice_seconds), 0,
+        time_slice(F.col("_at"), slice_seconds), all_hot=True,
     )
     answers = summed.groupBy("_id").agg(
         F.any_value("_row", True).alias("_row"),
@@ -254,11 +299,11 @@ def trailing_sums(
             for m in measures
         ],
     )
-    return cold.unionByName(warm).select(*df.columns, *names)
+    return framed(marked.filter(~F.col(HOT))).unionByName(warm).select(*df.columns, *names)
 
 
 def distinct_trailing(
-    df: DataFrame, key, item: str, micros: Column, row_id: str, span: int, name: str, hot_rows: int = HOT_ROWS,
+    df: DataFrame, key, item: str, micros: Column, row_id: str, span: int, name: str, hot_rows=HOT_ROWS,
     slice_seconds: int = SLICE_SECONDS,
 ) -> DataFrame:
     """Distinct ``item`` values per key in (t - span, t].
@@ -267,10 +312,10 @@ def distinct_trailing(
     never overlap for one item, so the distinct count is a running sum of +1 at starts and -1 at ends.
     """
     keys = _names(key)
-    base = df.withColumn("_us", micros)
+    hot = hot_rows if isinstance(hot_rows, HotKeys) else HotKeys(df, keys, hot_rows=hot_rows)
     seen = neighbours(
-        base, [*keys, item], ["_us", row_id], time_slice(F.col("_us"), slice_seconds),
-        following={"_next": F.col("_us")}, hot_rows=hot_rows,
+        df.withColumn("_us", micros), [*keys, item], ["_us", row_id], time_slice(F.col("_us"), slice_seconds),
+        following={"_next": F.col("_us")}, hot_rows=hot,
     )
     end = F.least(F.coalesce(F.col("_next"), F.col("_us") + span), F.col("_us") + span)
     payload = F.struct(*[F.col(c) for c in df.columns])
@@ -286,7 +331,7 @@ def distinct_trailing(
         ),
     )
     counted = running_sums(
-        steps, keys, F.col("_at"), {name: F.col("_d")}, time_slice(F.col("_at"), slice_seconds), hot_rows
+        steps, keys, F.col("_at"), {name: F.col("_d")}, time_slice(F.col("_at"), slice_seconds), hot
     )
     return counted.filter(F.col("_row").isNotNull()).select(
         *[F.col(f"_row.{c}").alias(c) for c in df.columns], F.col(name).cast("long").alias(name)

@@ -422,7 +422,7 @@ def histogram_text(df: DataFrame, keys: list[str], column: str, name: str) -> Da
     return counts.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(entry)), "|").alias(name))
 
 
-def merchant_daily(df: DataFrame, hot_rows: int = tl.HOT_ROWS) -> DataFrame:
+def merchant_daily(df: DataFrame, hot_rows=tl.HOT_ROWS) -> DataFrame:
     """Merchant and date: rates, change of mean score, distributions and peak hours."""
     dated = df.withColumns({"date": F.to_date("ts"), "hour": F.hour("ts")})
     keys = ["merchant_id", "date"]
@@ -454,7 +454,7 @@ def merchant_daily(df: DataFrame, hot_rows: int = tl.HOT_ROWS) -> DataFrame:
     )
 
 
-def user_daily(df: DataFrame, n: int = 3, hot_rows: int = tl.HOT_ROWS) -> DataFrame:
+def user_daily(df: DataFrame, n: int = 3, hot_rows=tl.HOT_ROWS) -> DataFrame:
     """User and date: diversity, preferred hours and merchants, travelled distance, main device."""
     dated = df.withColumns({"date": F.to_date("ts"), "hour": F.hour("ts"), "_us": micros("ts")})
     keys = ["user_id", "date"]
@@ -712,7 +712,7 @@ def daily_trend(df: DataFrame, days: int = 30, as_of=None) -> DataFrame:
 
 def pattern_counters(
     df: DataFrame, high_value: float = 5000.0, burst_seconds: int = 3600, burst_count: int = 3, round_unit: int = 100,
-    hot_rows: int = tl.HOT_ROWS,
+    hot_rows=tl.HOT_ROWS,
 ) -> DataFrame:
     """Counters over the whole table as (metric, value) rows."""
     span = burst_seconds * 1_000_000

@@ -97,7 +97,7 @@ def with_group_stats(df: DataFrame, key: str, value: str, prefix: str = "group")
     return tl.null_safe_join(df, stats, [key])
 
 
-def with_previous(df: DataFrame, columns: Sequence[str], hot_rows: int = tl.HOT_ROWS) -> DataFrame:
+def with_previous(df: DataFrame, columns: Sequence[str], hot_rows=tl.HOT_ROWS) -> DataFrame:
     """Latest earlier transaction of the same user: columns ``prev_*`` and the gap in seconds."""
     base = df.withColumn("_us", micros("ts"))
     linked = tl.neighbours(

@@ -237,7 +237,7 @@ def score_fallback(df: DataFrame) -> DataFrame:
 
 
 def score_with_history(
-    df: DataFrame, merchants: DataFrame, days: int = 30, hot_rows: int = tl.HOT_ROWS
+    df: DataFrame, merchants: DataFrame, days: int = 30, hot_rows=tl.HOT_ROWS
 ) -> DataFrame:
     """Amount, hour, amount against the user's trailing mean, and merchant risk."""
     span = days * 86_400_000_000
@@ -274,7 +274,7 @@ def stream_score(amount: Column, hour: Column, recent: Column, merchant_risk: Co
 
 def score_stream_batch(
     df: DataFrame, merchants: DataFrame, velocity_limit: int = 10, window_seconds: int = 3600,
-    hot_rows: int = tl.HOT_ROWS,
+    hot_rows=tl.HOT_ROWS,
 ) -> DataFrame:
     """Batch twin of the stream score: the user's count over the last hour and the merchant's risk."""
     span = window_seconds * 1_000_000
@@ -341,9 +341,10 @@ def compile_conditions(text: str) -> Column:
     return F.coalesce(reduce(lambda a, b: a & b, clauses), F.lit(False))
 
 
-def rule_facts(df: DataFrame, merchants: DataFrame, users: DataFrame, hot_rows: int = tl.HOT_ROWS) -> DataFrame:
+def rule_facts(df: DataFrame, merchants: DataFrame, users: DataFrame, hot_rows=tl.HOT_ROWS) -> DataFrame:
     """The fields the seeded rules test, derived for every transaction."""
     hour = 3_600_000_000
+    hot_rows = hot_rows if isinstance(hot_rows, tl.HotKeys) else tl.HotKeys(df, "user_id", hot_rows=hot_rows)
     traced = tl.trailing_sums(
         df, "user_id", micros("ts"), "transaction_id", {"hour": (-hour + 1, 0)}, {"n": F.lit(1)}, hot_rows
     )
@@ -402,7 +403,7 @@ def apply_rules(df: DataFrame, rules=SEED_RULES, id_col: str = "transaction_id")
 
 def rapid_fire(
     df: DataFrame, window_seconds: int = 300, min_count: int = 5, max_variation: float = 0.1,
-    hot_rows: int = tl.HOT_ROWS,
+    hot_rows=tl.HOT_ROWS,
 ) -> DataFrame:
     """Transactions that complete a burst of similar amounts by one user."""
     span = window_seconds * 1_000_000
@@ -437,7 +438,7 @@ def round_amounts(df: DataFrame, unit: int = 100, min_share: float = 0.8) -> Dat
 
 
 def geographic_hopping(
-    df: DataFrame, max_kmh: float = 800.0, window_seconds: int = 3600, hot_rows: int = tl.HOT_ROWS
+    df: DataFrame, max_kmh: float = 800.0, window_seconds: int = 3600, hot_rows=tl.HOT_ROWS
 ) -> DataFrame:
     """Consecutive transactions of a user that imply travel faster than ``max_kmh``."""
     located = df.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).withColumn("_us", micros("ts"))
@@ -454,7 +455,7 @@ def geographic_hopping(
 
 
 def merchant_cycling(
-    df: DataFrame, min_merchants: int = 10, window_seconds: int = 1800, hot_rows: int = tl.HOT_ROWS
+    df: DataFrame, min_merchants: int = 10, window_seconds: int = 1800, hot_rows=tl.HOT_ROWS
 ) -> DataFrame:
     """Transactions at which a user has visited many distinct merchants within the window."""
     return tl.distinct_trailing(
@@ -464,7 +465,7 @@ def merchant_cycling(
 
 def card_testing(
     df: DataFrame, low: float = 1.0, high: float = 10.0, min_count: int = 5, window_seconds: int = 600,
-    hot_rows: int = tl.HOT_ROWS,
+    hot_rows=tl.HOT_ROWS,
 ) -> DataFrame:
     """Small amounts that repeat at one merchant within the window."""
     small = df.filter(F.col("amount").between(low, high))
