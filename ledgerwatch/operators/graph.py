@@ -56,3 +56,545 @@ def build_graph(df: DataFrame, users: DataFrame | None = None) -> tuple[DataFram
         .unionByName(merged(["user_id", "merchant_id"], user, merchant, "CUSTOMER_OF"))
     )
     return nodes, edges
+
+
+# ---- components -----------------------------------------------------------------------------
+
+def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """Component of every vertex in ``edges(src, dst)``: the smallest vertex id in reach.
+
+    Alternating large-star and small-star rounds: each vertex only needs the minimum of its neighbours (an aggregate
+    that combines before the shuffle), and the number of rounds grows with the logarithm of the diameter.  Loops
+    keep isolated vertices.  Every round is checkpointed.
+    """
+    vertices = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    current = cut_lineage(
+        edges.filter(F.col("src") != F.col("dst"))
+        .select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()
+    )
+    mark = None
+    for _ in range(max_rounds):
+        both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = (
+            both.join(lowest, "a").filter(F.col("b") > F.col("a"))
+            .select(F.col("b").alias("a"), F.col("m").alias("b")).filter(F.col("a") != F.col("b")).distinct()
+        )
+        root = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(root, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter(F.col("a") != F.col("b"))
+        current = cut_lineage(small.unionByName(root.select("a", F.col("m").alias("b"))).distinct())
+        now = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == mark:
+            break
+        mark = now
+    return vertices.join(current.select(F.col("a").alias("id"), F.col("b").alias("component")), "id", "left").select(
+        "id", F.coalesce("component", "id").alias("component")
+    )
+
+
+def component_rings(edges: DataFrame, min_size: int = 3) -> DataFrame:
+    """Components of at least ``min_size`` vertices, one row per member, with size and confidence."""
+    labels = connected_components(edges)
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= min_size)
+    return labels.join(sizes, "component").withColumn("confidence", F.least(F.lit(1.0), F.col("size") / 20.0))
+
+
+# ---- change log -----------------------------------------------------------------------------
+
+def latest_changes(changes: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Last operation per key: an aggregate, so a key with many changes is combined before the shuffle."""
+    rest = [c for c in changes.columns if c not in key]
+    return changes.groupBy(*key).agg(
+        F.max_by(F.struct(*rest), F.struct(*order)).alias("_last")
+    ).select(*key, *[F.col(f"_last.{c}").alias(c) for c in rest])
+
+
+def sync_graph(
+    nodes: DataFrame, edges: DataFrame, node_changes: DataFrame, edge_changes: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Apply INSERT / UPDATE / DELETE logs ordered by ``seq``; deleting a node detaches its edges.
+
+    Changes carry the columns of their table plus ``op`` and ``seq``.
+    """
+    last = latest_changes(node_changes, ["id"], ["seq"])
+    kept = nodes.join(last.select("id"), "id", "left_anti")
+    out_nodes = kept.unionByName(last.filter(F.col("op") != "DELETE").select(*nodes.columns))
+    out_edges = edges
+    if edge_changes is not None:
+        key = ["src", "dst", "type"]
+        last_edges = latest_changes(edge_changes, key, ["seq"])
+        out_edges = edges.join(last_edges.select(*key), key, "left_anti").unionByName(
+            last_edges.filter(F.col("op") != "DELETE").select(*edges.columns)
+        )
+    gone = last.filter(F.col("op") == "DELETE").select("id")
+    for end in ("src", "dst"):
+        out_edges = out_edges.join(gone.withColumnRenamed("id", end), end, "left_anti")
+    return out_nodes, out_edges.select(*edges.columns)
+
+
+# ---- rings ----------------------------------------------------------------------------------
+
+def device_rings(
+    df: DataFrame, users: DataFrame, min_users: int = 2, min_risk: float = 0.5, k: int = 50
+) -> DataFrame:
+    """Top devices shared by risky users; one row per member, so a large ring never sits in one cell."""
+    members = (
+        df.filter(F.col("device_id").isNotNull()).select("device_id", "user_id").distinct()
+        .join(users.select("user_id", "risk_score").filter(F.col("risk_score") >= min_risk), "user_id")
+    )
+    rings = (
+        members.groupBy("device_id")
+        .agg(F.count(F.lit(1)).alias("user_count"), F.avg("risk_score").alias("avg_risk_score"))
+        .filter(F.col("user_count") >= min_users)
+        .orderBy(F.desc("avg_risk_score"), F.desc("user_count"), "device_id").limit(k)
+    )
+    return members.join(rings, "device_id").select(
+        F.concat(F.lit("device_sharing_"), "device_id").alias("ring_id"), "user_id", "risk_score", "user_count",
+        "avg_risk_score", F.least(F.col("avg_risk_score") * F.col("user_count") / 10, F.lit(1.0)).alias("confidence"),
+    )
+
+
+def transaction_device_rings(
+    df: DataFrame, min_score: float = 0.6, min_users: int = 2, min_mean: float = 0.7, k: int = 5
+) -> DataFrame:
+    """Devices with several users among risky transactions."""
+    return (
+        df.filter(F.col("device_id").isNotNull() & (F.col("fraud_score") > min_score))
+        .groupBy("device_id")
+        .agg(
+            F.count_distinct("user_id").alias("user_count"), F.avg("fraud_score").alias("avg_fraud_score"),
+            F.sum("amount").alias("total_amount"),
+        )
+        .filter((F.col("user_count") >= min_users) & (F.col("avg_fraud_score") > min_mean))
+        .orderBy(F.desc("avg_fraud_score"), "device_id").limit(k)
+        .withColumn("ring_id", F.concat(F.lit("device_"), "device_id"))
+    )
+
+
+def suspicious_users(df: DataFrame, min_score: float = 0.7, min_count: int = 5) -> DataFrame:
+    return df.filter(F.col("fraud_score") > min_score).groupBy("user_id").agg(
+        F.avg("fraud_score").alias("avg_fraud_score"), F.count(F.lit(1)).alias("transaction_count"),
+        F.sum("amount").alias("total_amount"), F.count_if("is_fraud").alias("fraud_count"),
+    ).filter((F.col("transaction_count") > min_count) & (F.col("fraud_count") > 0))
+
+
+def top_fraud_users(df: DataFrame, min_score: float = 0.8, k: int = 10) -> DataFrame:
+    return df.filter((F.col("fraud_score") > min_score) & F.col("is_fraud")).groupBy("user_id").agg(
+        F.avg("fraud_score").alias("avg_fraud_score"), F.count(F.lit(1)).alias("transaction_count"),
+        F.sum("amount").alias("total_amount"),
+    ).orderBy(F.desc("avg_fraud_score"), "user_id").limit(k)
+
+
+def velocity_rings(
+    df: DataFrame, seconds: float | None = 3600, min_count: int = 5, min_score: float = 0.6, k: int = 20, as_of=None
+) -> DataFrame:
+    """Merchants with fast risky users, and every recent user of those merchants (one row per member)."""
+    pairs = since(df, seconds, as_of).groupBy("user_id", "merchant_id").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("fraud_score").alias("s")
+    )
+    fast = (F.col("n") >= min_count) & (F.col("s") > min_score)
+    rings = (
+        pairs.groupBy("merchant_id")
+        .agg(F.avg(F.when(fast, F.col("s"))).alias("avg_fraud_score"), F.count(F.lit(1)).alias("user_count"),
+             F.count_if(fast).alias("fast_users"))
+        .filter((F.col("fast_users") >= 1) & (F.col("user_count") >= 2))
+        .orderBy(F.desc("avg_fraud_score"), F.desc("user_count"), "merchant_id").limit(k)
+    )
+    return pairs.select("merchant_id", "user_id", fast.alias("is_fast")).join(rings, "merchant_id").select(
+        F.concat(F.lit("velocity_"), F.col("merchant_id").cast("string")).alias("ring_id"), "user_id", "is_fast",
+        "user_count", "avg_fraud_score",
+        F.least(F.col("avg_fraud_score") * F.col("user_count") / 5, F.lit(1.0)).alias("confidence"),
+    )
+
+
+def community_rings(
+    communities: DataFrame, risk: DataFrame, min_risk: float = 0.5, min_mean: float = 0.6, min_users: int = 2, k: int = 10
+) -> DataFrame:
+    """Top communities by the mean risk of their risky users.  ``communities``: id, community; ``risk``: id, risk_score."""
+    members = communities.join(risk.filter(F.col("risk_score") > min_risk), "id")
+    return (
+        members.groupBy("community")
+        .agg(F.avg("risk_score").alias("avg_risk_score"), F.count(F.lit(1)).alias("member_count"))
+        .filter((F.col("member_count") >= min_users) & (F.col("avg_risk_score") > min_mean))
+        .orderBy(F.desc("avg_risk_score"), F.desc("member_count"), "community").limit(k)
+        .withColumn("confidence", F.least(F.col("avg_risk_score") * F.col("member_count") / 8, F.lit(1.0)))
+    )
+
+
+def ring_records(rings: DataFrame, members: DataFrame, shown: int = 5) -> DataFrame:
+    """Display records: level, status, and the first members with their roles.
+
+    ``rings``: ring_id, user_count, avg_fraud_score, total_amount; ``members``: ring_id, user_id.
+    """
+    s = F.col("avg_fraud_score")
+    first = tl.top_rows(members.distinct(), "ring_id", [F.col("user_id")], shown, F.col("user_id"), salts=16, rank="_r")
+    listed = first.groupBy("ring_id").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("_r", "user_id"))),
+            lambda m: F.struct(
+                m["user_id"].alias("user_id"), F.when(m["_r"] == 1, "primary").otherwise("secondary").alias("role")
+            ),
+        ).alias("members")
+    )
+    return rings.join(listed, "ring_id").select(
+        "ring_id", F.col("user_count").alias("size"),
+        F.when(s > 0.9, "CRITICAL").when(s > 0.8, "HIGH").when(s > 0.7, "MEDIUM").otherwise("LOW").alias("risk_level"),
+        F.round("total_amount", 2).alias("total_amount"),
+        F.when(s > 0.8, "ACTIVE").otherwise("INVESTIGATING").alias("status"), "members",
+    )
+
+
+# ---- strength, neighbourhoods ---------------------------------------------------------------
+
+def relationship_strength(edges: DataFrame) -> DataFrame:
+    """Strength of each (src, dst, type): mean of four factors, each at most one."""
+    capped = lambda c, top: F.least(F.coalesce(c, F.lit(0.0)) / F.lit(float(top)), F.lit(1.0))
+    days = F.floor((F.unix_seconds(F.max("last_ts")) - F.unix_seconds(F.min("first_ts"))) / 86400)
+    return edges.groupBy("src", "dst", "type").agg(
+        F.count(F.lit(1)).alias("_n"), F.avg(F.coalesce("amount", F.lit(1.0))).alias("_a"),
+        F.max("frequency").alias("_f"), days.alias("_d"),
+    ).select(
+        "src", "dst", "type",
+        ((capped(F.col("_n"), 10) + capped(F.col("_a"), 1000) + capped(F.col("_f"), 50) + capped(F.col("_d"), 365)) / 4).alias("strength"),
+    )
+
+
+def undirected(edges: DataFrame, weight: Column | None = None) -> DataFrame:
+    """Both directions of every pair of different vertices, once, with summed weight ``w``."""
+    w = F.lit(1.0) if weight is None else weight.cast("double")
+    both = edges.select("src", "dst", w.alias("w")).unionByName(
+        edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), w.alias("w"))
+    )
+    return both.filter(F.col("src") != F.col("dst")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+
+
+def entity_network(
+    edges: DataFrame, start: DataFrame, depth: int = 2, min_strength: float | None = None, cap: int | None = 1000
+) -> DataFrame:
+    """Edges within ``depth`` hops of the start vertices ``(id)``, with the hop at which they are reached."""
+    graph = edges
+    if min_strength is not None:
+        strong = relationship_strength(edges).filter(F.col("strength") >= min_strength).drop("strength")
+        graph = edges.join(strong, ["src", "dst", "type"])
+    ends = graph.select("src", "dst", "type")
+    both = ends.select(F.col("src").alias("id"), F.col("dst").alias("other"), "src", "dst", "type").unionByName(
+        ends.select(F.col("dst").alias("id"), F.col("src").alias("other"), "src", "dst", "type")
+    )
+    seen = start.select("id").distinct().withColumn("hop", F.lit(0))
+    found = None
+    for hop in range(1, depth + 1):
+        step = both.join(seen.filter(F.col("hop") == hop - 1).select("id"), "id")
+        part = step.select("src", "dst", "type", F.lit(hop).alias("hop"))
+        found = part if found is None else found.unionByName(part)
+        fresh = step.select(F.col("other").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+        seen = cut_lineage(seen.unionByName(fresh.withColumn("hop", F.lit(hop))))
+    out = found.groupBy("src", "dst", "type").agg(F.min("hop").alias("hop"))
+    return out if cap is None else out.orderBy("hop", "src", "dst", "type").limit(cap)
+
+
+# ---- centrality -----------------------------------------------------------------------------
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """Degree, in- and out-degree, degree centrality, and degree statistics of the neighbours."""
+    ends = edges.select("src", "dst").distinct()
+    sides = ends.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(
+        ends.select(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i"))
+    )
+    flows = sides.groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
+    links = undirected(ends)
+    degree = links.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+    around = links.join(degree.select(F.col("src").alias("dst"), F.col("degree").alias("d")), "dst").groupBy("src").agg(
+        F.avg("d").alias("neighbor_degree_avg"), F.max("d").alias("neighbor_degree_max"), F.min("d").alias("neighbor_degree_min")
+    )
+    n = flows.select(F.count(F.lit(1))).scalar()
+    joined = flows.join(degree.join(around, "src").withColumnRenamed("src", "id"), "id", "left")
+    return joined.withColumn("degree", F.coalesce("degree", F.lit(0))).withColumn(
+        "degree_centrality", F.when(n > 1, F.col("degree") / (n - 1)).otherwise(0.0)
+    )
+
+
+def clustering_coefficients(edges: DataFrame) -> DataFrame:
+    """Share of each vertex's neighbour pairs that are linked.
+
+    Edges point from the lower to the higher degree, so a vertex starts at most sqrt(2 m) of them, hubs included.
+    """
+    links = undirected(edges)
+    degree = links.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
+    ranked = links.join(degree, "src").join(degree.select(F.col("src").alias("dst"), F.col("d").alias("e")), "dst")
+    up = ranked.filter((F.col("d") < F.col("e")) | ((F.col("d") == F.col("e")) & (F.col("src") < F.col("dst")))).select(
+        F.col("src").alias("a"), F.col("dst").alias("b")
+    )
+    wedges = up.join(up.withColumnRenamed("b", "c"), "a").filter(F.col("b") < F.col("c"))
+    closed = links.filter(F.col("src") < F.col("dst")).select(F.col("src").alias("b"), F.col("dst").alias("c"))
+    triangles = wedges.join(closed, ["b", "c"])
+    per_vertex = triangles.select(F.explode(F.array("a", "b", "c")).alias("src")).groupBy("src").agg(F.count(F.lit(1)).alias("t"))
+    pairs = F.col("d") * (F.col("d") - 1) / 2
+    return degree.join(per_vertex, "src", "left").select(
+        F.col("src").alias("id"), F.coalesce("t", F.lit(0)).alias("triangles"),
+        F.when(F.col("d") > 1, F.coalesce("t", F.lit(0)) / pairs).otherwise(0.0).alias("clustering"),
+    )
+
+
+def pagerank(
+    edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6, directed: bool = False
+) -> DataFrame:
+    """PageRank by repeated join and aggregation; stops at ``tolerance`` times the number of vertices (L1)."""
+    links = edges.select("src", "dst", F.lit(1.0).alias("w")).distinct() if directed else undirected(edges.select("src", "dst").distinct())
+    out = links.groupBy("src").agg(F.sum("w").alias("total"))
+    moves = cut_lineage(links.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")))
+    vertices = moves.select(F.col("src").alias("id")).unionByName(moves.select(F.col("dst").alias("id"))).distinct()
+    n = vertices.count()
+    if n == 0:
+        return vertices.withColumn("pagerank", F.lit(0.0))
+    ends = directed and vertices.join(out.select(F.col("src").alias("id")), "id", "left_anti").limit(1).count() > 0
+    base = cut_lineage(vertices)
+    ranks = base.withColumn("rank", F.lit(1.0 / n))
+    for step in range(1, iterations + 1):
+        flow = moves.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(
+            F.sum(F.col("rank") * F.col("p")).alias("flow")
+        )
+        lost = 0.0
+        if ends:
+            flow = cut_lineage(flow)
+            lost = 1.0 - (flow.agg(F.sum("flow")).first()[0] or 0.0)
+        fresh = base.join(flow, "id", "left").select(
+            "id", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("flow", F.lit(0.0))).alias("rank")
+        )
+        if tolerance is not None:
+            fresh = cut_lineage(fresh)
+            moved = fresh.join(ranks.withColumnRenamed("rank", "old"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+            ranks = fresh
+            if moved is not None and moved < tolerance * n:
+                break
+        else:
+            ranks = cut_lineage(fresh) if step % 5 == 0 else fresh
+    return ranks.withColumnRenamed("rank", "pagerank")
+
+
+def betweenness(edges: DataFrame, pivots: int | None = None, normalised: bool = True) -> DataFrame:
+    """Betweenness from shortest paths of ``pivots`` start vertices (all of them = exact), level by level.
+
+    Pivots are the first vertices in hash order; their sums are scaled to the whole vertex set.
+    """
+    links = cut_lineage(undirected(edges).select("src", "dst"))
+    vertices = links.select(F.col("src").alias("id")).distinct()
+    n = vertices.count()
+    used = n if pivots is None else min(pivots, n)
+    starts = vertices if used == n else vertices.orderBy(F.xxhash64("id"), "id").limit(used)
+    levels = [cut_lineage(starts.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("sigma")))]
+    seen = levels[0].select("s", "id")
+    while True:
+        step = levels[-1].join(links, F.col("id") == F.col("src")).groupBy("s", F.col("dst")).agg(F.sum("sigma").alias("sigma"))
+        fresh = cut_lineage(step.select("s", F.col("dst").alias("id"), "sigma").join(seen, ["s", "id"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        levels.append(fresh)
+        seen = cut_lineage(seen.unionByName(fresh.select("s", "id")))
+    credit = levels[-1].withColumn("delta", F.lit(0.0))
+    total = [credit]
+    for upper in reversed(levels[:-1]):
+        lower = credit.select("s", F.col("id").alias("dst"), F.col("sigma").alias("below"), "delta")
+        shares = (
+            upper.join(links, F.col("id") == F.col("src")).join(lower, ["s", "dst"])
+            .groupBy("s", "id").agg(F.sum(F.col("sigma") / F.col("below") * (1.0 + F.col("delta"))).alias("delta"))
+        )
+        credit = cut_lineage(upper.join(shares, ["s", "id"], "left").withColumn("delta", F.coalesce("delta", F.lit(0.0))))
+        total.append(credit)
+    sums = total[0]
+    for part in total[1:]:
+        sums = sums.unionByName(part)
+    per_vertex = sums.filter(F.col("s") != F.col("id")).groupBy("id").agg(F.sum("delta").alias("b"))
+    scale = (n / used) / 2.0
+    if normalised and n > 2:
+        scale *= 2.0 / ((n - 1) * (n - 2))
+    return vertices.join(per_vertex, "id", "left").select("id", (F.coalesce("b", F.lit(0.0)) * F.lit(scale)).alias("betweenness"))
+
+
+# ---- communities ----------------------------------------------------------------------------
+
+def _half(round_no: int, column: str = "src") -> Column:
+    return F.pmod(F.xxhash64(F.col(column)), F.lit(2)) == round_no % 2
+
+
+def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
+    """Communities by label propagation: half of the vertices move per round, ties take the smallest label."""
+    links = cut_lineage(undirected(edges))
+    labels = links.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id"))
+    for r in range(rounds):
+        votes = links.filter(_half(r)).join(labels.select(F.col("id").alias("dst"), "community"), "dst")
+        counts = votes.groupBy("src", "community").agg(F.sum("w").alias("v"))
+        best = counts.groupBy("src").agg(F.min_by("community", F.struct(-F.col("v"), F.col("community"))).alias("new"))
+        labels = cut_lineage(
+            labels.join(best.withColumnRenamed("src", "id"), "id", "left").select("id", F.coalesce("new", "community").alias("community"))
+        )
+    return labels
+
+
+def louvain(edges: DataFrame, levels: int = 2, rounds: int = 4, weight: Column | None = None) -> DataFrame:
+    """Communities by modularity moves (half of the vertices per round), contracted level by level."""
+    links = cut_lineage(undirected(edges, weight))
+    two_m = links.agg(F.sum("w")).first()[0] or 1.0
+    membership = links.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id"))
+    for _ in range(levels):
+        degree = cut_lineage(links.groupBy("src").agg(F.sum("w").alias("k")))
+        state = degree.select("src", "k", F.col("src").alias("c"))
+        for r in range(rounds):
+            totals = state.groupBy("c").agg(F.sum("k").alias("tot"))
+            inner = links.filter(F.col("src") != F.col("dst")).filter(_half(r)).join(
+                state.select(F.col("src").alias("dst"), "c"), "dst"
+            ).groupBy("src", "c").agg(F.sum("w").alias("k_in"))
+            own = state.select("src", "k", F.col("c").alias("home"))
+            stay = own.filter(_half(r)).select("src", F.col("home").alias("c"), F.lit(0.0).alias("k_in"))
+            options = inner.unionByName(stay).groupBy("src", "c").agg(F.sum("k_in").alias("k_in"))
+            rated = options.join(own, "src").join(totals, "c").withColumn(
+                "gain",
+                F.col("k_in") - F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("home"), F.col("k")).otherwise(0.0)) / F.lit(two_m),
+            )
+            order = F.struct(-F.round("gain", 9), (F.col("c") != F.col("home")).cast("int"), F.col("c"))
+            best = rated.groupBy("src").agg(F.min_by("c", order).alias("new"))
+            state = cut_lineage(state.join(best, "src", "left").select("src", "k", F.coalesce("new", "c").alias("c")))
+        chosen = state.select(F.col("src").alias("community"), F.col("c").alias("merged"))
+        membership = cut_lineage(membership.join(chosen, "community").select("id", F.col("merged").alias("community")))
+        ends = state.select(F.col("src"), F.col("c").alias("a"))
+        links = cut_lineage(
+            links.join(ends, "src").join(ends.select(F.col("src").alias("dst"), F.col("a").alias("b")), "dst")
+            .groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w"))
+        )
+    return membership
+
+
+def modularity(edges: DataFrame, communities: DataFrame, weight: Column | None = None) -> DataFrame:
+    links = undirected(edges, weight)
+    two_m = links.select(F.sum("w")).scalar()
+    a = communities.select(F.col("id").alias("src"), F.col("community").alias("c"))
+    b = communities.select(F.col("id").alias("dst"), F.col("community").alias("d"))
+    tagged = links.join(a, "src").join(b, "dst")
+    per = tagged.groupBy("c").agg(F.sum("w").alias("tot"), F.sum(F.when(F.col("c") == F.col("d"), F.col("w")).otherwise(0.0)).alias("inside"))
+    return per.agg(F.sum(F.col("inside") / two_m - F.pow(F.col("tot") / two_m, 2)).alias("modularity"))
+
+
+# ---- walks and samples ----------------------------------------------------------------------
+
+def random_walks(edges: DataFrame, starts: DataFrame, walks: int = 100, length: int = 10, seed: int = 42) -> DataFrame:
+    """Weighted walks: each step takes the neighbour with the smallest exponential clock, seeded by walk and step."""
+    links = undirected(edges, F.col("w") if "w" in edges.columns else None).select("src", F.col("dst").alias("next"), "w")
+    state = starts.select("id").withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(walks - 1)))).select(
+        F.concat_ws("#", F.col("id").cast("string"), F.col("walk").cast("string")).alias("walk_id"),
+        F.col("id").alias("at"), F.array("id").alias("path"),
+    )
+    for step in range(1, length):
+        clock = -F.log(hash_fraction("walk_id", "next", seed=seed + step) + 1e-300) / F.col("w")
+        moved = state.join(links, F.col("at") == F.col("src")).groupBy("walk_id").agg(
+            F.min_by("next", F.struct(clock, F.col("next"))).alias("next"), F.any_value("path").alias("path")
+        )
+        state = moved.select("walk_id", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"))
+        if step % 4 == 0:
+            state = cut_lineage(state)
+    return state.select("walk_id", "path")
+
+
+def neighbourhood_sample(edges: DataFrame, starts: DataFrame, hops: int = 2, per_node: int = 10) -> DataFrame:
+    """Edges to the heaviest neighbours of each frontier vertex, hop by hop."""
+    links = undirected(edges, F.col("w") if "w" in edges.columns else None)
+    frontier, seen, found = starts.select("id").distinct(), starts.select("id").distinct(), None
+    for hop in range(1, hops + 1):
+        step = links.join(frontier.withColumnRenamed("id", "src"), "src")
+        best = tl.top_rows(step, "src", [F.desc("w"), F.col("dst")], per_node, F.col("dst"), salts=16)
+        part = cut_lineage(best.withColumn("hop", F.lit(hop)))
+        found = part if found is None else found.unionByName(part)
+        frontier = part.select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
+        seen = seen.unionByName(frontier)
+    return found
+
+
+def stratified_sample(nodes: DataFrame, per_type: int = 100, seed: int = 42) -> DataFrame:
+    """First ``per_type`` vertices of each type in seeded hash order."""
+    ordered = nodes.withColumn("_h", F.xxhash64(F.col("id"), F.lit(seed)))
+    return tl.top_rows(ordered, "type", [F.col("_h"), F.col("id")], per_type, F.col("id")).drop("_h")
+
+
+# ---- vectors --------------------------------------------------------------------------------
+
+def cosine(a: Column, b: Column) -> Column:
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
+
+
+def similar_nodes(vectors: DataFrame, query: Column, k: int = 10, where: Column | None = None) -> DataFrame:
+    """Exact cosine neighbours of one vector: a scan with a distributed top-k."""
+    chosen = vectors if where is None else vectors.filter(where)
+    return chosen.withColumn("similarity", cosine(F.col("embedding"), query)).orderBy(F.desc("similarity"), "id").limit(k)
+
+
+def similar_nodes_lsh(
+    vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 8, bucket: float = 1.0, max_distance: float = 1.2, seed: int = 42
+) -> DataFrame:
+    """Approximate neighbours of many vectors: random-projection buckets on unit vectors, re-ranked by cosine."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
+    from pyspark.ml.functions import array_to_vector
+
+    def unit(df):
+        return Normalizer(inputCol="_v", outputCol="unit").transform(
+            df.withColumn("_v", array_to_vector(F.col("embedding").cast("array<double>")))
+        ).select("id", "embedding", "unit")
+
+    a, b = unit(queries), unit(vectors)
+    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(b)
+    pairs = model.approxSimilarityJoin(a, b, max_distance, "distance").select(
+        F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("id"),
+        (1 - F.col("distance") * F.col("distance") / 2).alias("similarity"),
+    ).filter(F.col("query_id") != F.col("id"))
+    return tl.top_rows(pairs, "query_id", [F.desc("similarity"), F.col("id")], k, F.col("id"), salts=16)
+
+
+def node_features(edges: DataFrame, pivots: int | None = None) -> DataFrame:
+    """Degree, clustering, PageRank and betweenness of every vertex, each standardised over the vertices."""
+    from ledgerwatch.operators.clustering import standardised
+
+    names = ["degree", "in_degree", "out_degree", "neighbor_degree_avg", "clustering", "pagerank", "betweenness"]
+    table = (
+        degrees(edges).join(clustering_coefficients(edges), "id", "left")
+        .join(pagerank(edges, iterations=20, tolerance=None), "id", "left")
+        .join(betweenness(edges, pivots), "id", "left")
+        .select("id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
+    )
+    return standardised(table, {c: F.col(c) for c in names})
+
+
+def attribute_groups(nodes: DataFrame, attribute: str, min_size: int = 2) -> DataFrame:
+    """Groups of vertices that share an attribute value."""
+    return nodes.filter(F.col(attribute).isNotNull()).groupBy(attribute).agg(F.count(F.lit(1)).alias("size")).filter(
+        F.col("size") >= min_size
+    )
+
+
+def spatial_groups(nodes: DataFrame, distance: float = 100.0, min_size: int = 3) -> DataFrame:
+    """Groups of positioned vertices ``(id, _x, _y, _z)`` linked by steps of at most ``distance``."""
+    from ledgerwatch.operators.clustering import dbscan
+
+    labelled = dbscan(nodes, distance, 1)
+    sizes = labelled.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= min_size)
+    return labelled.join(sizes, "cluster_id").select("id", "cluster_id", "size")
+
+
+def nearby_nodes(nodes: DataFrame, probes: DataFrame, radius: float) -> DataFrame:
+    """Vertices within ``radius`` of each probe ``(probe_id, x, y, z)`` by a join on grid cells."""
+    def cell(c):
+        return F.floor(F.col(c) / F.lit(radius)).cast("long")
+
+    around = F.array(*[F.struct(*[F.lit(d).alias(n) for d, n in zip(o, "abc")]) for o in _cube()])
+    spread = probes.withColumn("_o", F.explode(around)).select(
+        "probe_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"),
+        (cell("x") + F.col("_o.a")).alias("cx"), (cell("y") + F.col("_o.b")).alias("cy"), (cell("z") + F.col("_o.c")).alias("cz"),
+    )
+    placed = nodes.withColumns({"cx": cell("x"), "cy": cell("y"), "cz": cell("z")})
+    gap = F.sqrt(F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2) + F.pow(F.col("z") - F.col("pz"), 2))
+    return placed.join(spread, ["cx", "cy", "cz"]).withColumn("distance", gap).filter(F.col("distance") <= radius).select(
+        "probe_id", "id", "distance"
+    )
+
+
+def _cube():
+    from itertools import product
+
+    return list(product((-1, 0, 1), repeat=3))
