@@ -523,7 +523,8 @@ def cosine(a: Column, b: Column) -> Column:
 def similar_nodes(vectors: DataFrame, query: Column, k: int = 10, where: Column | None = None) -> DataFrame:
     """Exact cosine neighbours of one vector: a scan with a distributed top-k."""
     chosen = vectors if where is None else vectors.filter(where)
-    return chosen.withColumn("similarity", cosine(F.col("embedding"), query)).orderBy(F.desc("similarity"), "id").limit(k)
+    asked = chosen.withColumn("_q", query)
+    return asked.withColumn("similarity", cosine(F.col("embedding"), F.col("_q"))).drop("_q").orderBy(F.desc("similarity"), "id").limit(k)
 
 
 def similar_nodes_lsh(
@@ -558,7 +559,7 @@ def node_features(edges: DataFrame, pivots: int | None = None) -> DataFrame:
         .join(betweenness(edges, pivots), "id", "left")
         .select("id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
     )
-    return standardised(table, {c: F.col(c) for c in names})
+    return standardised(cut_lineage(table), {c: F.col(c) for c in names})
 
 
 def attribute_groups(nodes: DataFrame, attribute: str, min_size: int = 2) -> DataFrame:

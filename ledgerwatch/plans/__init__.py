@@ -3,7 +3,7 @@
 import importlib
 
 FAMILIES = (
-    "views", "tables", "filters", "rules", "joins", "aggregates", "windows", "features", "geo", "graph", "learning",
+    "views", "rules", "tables", "filters", "joins", "aggregates", "windows", "features", "geo", "graph", "learning",
     "anomaly", "text", "streams", "scalars",
 )
 
