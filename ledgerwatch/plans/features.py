@@ -113,14 +113,17 @@ def fea_9(t):
     )
 
 
+CODES = ", ".join(f"'{k}'" for k in [*ft.COUNTRY_RISK, "JP", "MX"])
 RISK = " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in ft.COUNTRY_RISK.items())
 
 
 @query("FEA-10", uses="tx", rounded="country_risk_score", sql=f"""
-SELECT transaction_id, CASE substr(country, 1, 2) {RISK} ELSE 0.5e0 END AS country_risk_score, abs(latitude) > 60 OR abs(longitude) > 150 AS is_unusual_location FROM tx
+SELECT transaction_id, CASE [{CODES}][CAST(regexp_extract(country, '(\\d+)', 1) AS INTEGER) % 16 + 1] {RISK} ELSE 0.5e0 END AS country_risk_score, abs(latitude) > 60 OR abs(longitude) > 150 AS is_unusual_location FROM tx
 """)
 def fea_10(t):
-    coded = t.tx_place.withColumn("country", F.substring("country", 1, 2))
+    codes = F.array(*[F.lit(c) for c in [*ft.COUNTRY_RISK, "JP", "MX"]])
+    number = F.regexp_extract("country", r"(\d+)", 1).cast("int")
+    coded = t.tx_place.withColumn("country", F.get(codes, number % 16))
     return ft.geographic_features(coded).select("transaction_id", "country_risk_score", "is_unusual_location")
 
 

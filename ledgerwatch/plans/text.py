@@ -38,7 +38,7 @@ def txt_1(t):
 @query("TXT-2", uses="tx merchants", rounded="relevance_score", sql=f"""
 WITH d AS (SELECT transaction_id, ts, {terms_sql("concat_ws(' ', 'user', CAST(user_id AS VARCHAR), 'merchant', CAST(merchant_id AS VARCHAR), COALESCE(merchant_name, ''), COALESCE(merchant_category, ''), country)")} AS terms
   FROM tx LEFT JOIN merchants USING (merchant_id))
-SELECT transaction_id, ts, ({tf('crypto')} + {tf('supplier')} + {tf('china')}) / len(terms) AS relevance_score FROM d WHERE {tf('crypto')} > 0 AND {tf('supplier')} > 0 AND {tf('china')} > 0
+SELECT transaction_id, ts, ({tf('crypto')} + {tf('supplier')} + {tf('nation')}) / len(terms) AS relevance_score FROM d WHERE {tf('crypto')} > 0 AND {tf('supplier')} > 0 AND {tf('nation')} > 0
 ORDER BY relevance_score DESC, ts DESC, transaction_id LIMIT 100
 """)
 def txt_2(t):
@@ -47,7 +47,7 @@ def txt_2(t):
         " ", F.lit("user"), F.col("user_id").cast("string"), F.lit("merchant"), F.col("merchant_id").cast("string"),
         F.coalesce("merchant_name", F.lit("")), F.coalesce("merchant_category", F.lit("")), F.col("country"),
     )
-    return tx.match_all(joined, "Crypto Suppliers in China", fields, "ts", "transaction_id").select("transaction_id", "ts", "relevance_score")
+    return tx.match_all(joined, "Crypto Suppliers in the Nations", fields, "ts", "transaction_id").select("transaction_id", "ts", "relevance_score")
 
 
 def bm25(i: int, term: str) -> str:
