@@ -287,23 +287,32 @@ def zone_join(df: DataFrame, zones: DataFrame, cell_degrees: float = 1.0) -> Dat
 def cluster_join(df: DataFrame, clusters: DataFrame, reach: float = 1.0) -> DataFrame:
     """Rows and the clusters whose centre is within ``reach`` times the cluster radius.
 
-    ``clusters``: cluster_id, cluster_lat, cluster_lon, radius_km, cluster_level, confidence.  Clusters are grouped by
-    a power-of-two radius class, so that each class joins on cells of a fitting size.
+    ``clusters``: cluster_id, cluster_lat, cluster_lon, radius_km, cluster_level, confidence.  A cluster is put on the
+    cells of the smallest size class that holds its radius, a row on its own cell of every class: one scan and one
+    equi-join whatever the mix of radii.
     """
-    classes = [0.25, 1.0, 4.0, 16.0, 64.0, 256.0]
     size = F.col("radius_km") * reach
-    parts = []
-    for low, high in zip([0.0, *classes[:-1]], classes):
-        chosen = clusters.filter((size > low) & (size <= high))
-        cells = F.explode(radius_reach("cluster_lat", "cluster_lon", high))
-        spread = chosen.withColumn("_reach", cells)
-        points = df.withColumn("_at", radius_cells("latitude", "longitude", high))
-        parts.append(points.join(spread, (F.col("_at.band") == F.col("_reach.band")) & (F.col("_at.cell") == F.col("_reach.cell"))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    kind, spread, own = F.lit(len(RADIUS_CLASSES) - 1), None, []
+    for i, km in reversed(list(enumerate(RADIUS_CLASSES))):
+        kind = F.when(size <= km, F.lit(i)).otherwise(kind)
+    for i, km in enumerate(RADIUS_CLASSES):
+        cells = radius_reach("cluster_lat", "cluster_lon", km)
+        spread = F.when(F.col("_class") == i, cells) if spread is None else spread.when(F.col("_class") == i, cells)
+        at = radius_cells("latitude", "longitude", km)
+        own.append(F.struct(F.lit(i).alias("class"), at["band"].alias("band"), at["cell"].alias("cell")))
+    placed = clusters.withColumn("_class", kind).withColumn("_reach", F.explode(spread))
+    points = df.withColumn("_at", F.explode(F.array(*own)))
+    met = (
+        (F.col("_at.class") == F.col("_class")) & (F.col("_at.band") == F.col("_reach.band"))
+        & (F.col("_at.cell") == F.col("_reach.cell"))
+    )
     return (
-        out.withColumn("cluster_distance_km", haversine_km("latitude", "longitude", "cluster_lat", "cluster_lon"))
+        points.join(placed, met)
+        .withColumn("cluster_distance_km", haversine_km("latitude", "longitude", "cluster_lat", "cluster_lon"))
         .filter(F.col("cluster_distance_km") <= size)
-        .drop("_at", "_reach")
+        .drop("_at", "_reach", "_class")
     )
+
+
+# Size classes of cluster radii in kilometres; the last one spans the globe.
+RADIUS_CLASSES = [0.25, 1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 20100.0]

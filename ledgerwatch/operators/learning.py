@@ -31,8 +31,8 @@ FEATURES = [
 ]
 
 
-def training_frame(df: DataFrame, days: float | None = 30, limit: int = 100_000, as_of=None) -> DataFrame:
-    """Newest labelled rows with the twelve training features as numbers and a 0/1 label."""
+def training_frame(df: DataFrame, days: float | None = 30, limit: int | None = 100_000, as_of=None) -> DataFrame:
+    """Newest labelled rows with the twelve training features as numbers and a 0/1 label; all rows without a limit."""
     from ledgerwatch.operators.common import since
 
     recent = since(df.filter(F.col("is_fraud").isNotNull()), None if days is None else days * 86400, as_of)
@@ -45,7 +45,7 @@ def training_frame(df: DataFrame, days: float | None = 30, limit: int = 100_000,
     )
     for missing in (c for c in FEATURES if c not in out.columns):
         out = out.withColumn(missing, F.lit(None).cast("double"))
-    newest = out.orderBy(F.desc("ts"), F.desc("transaction_id")).limit(limit)
+    newest = out if limit is None else out.orderBy(F.desc("ts"), F.desc("transaction_id")).limit(limit)
     return coerce_numeric(newest.select("transaction_id", "ts", *FEATURES, "label"), FEATURES, "label")
 
 

@@ -19,7 +19,7 @@ def training(t):
 
 def everything(t):
     """All transactions with the training features (no newest-rows cap)."""
-    return ln.training_frame(t.tx_place, days=None, limit=2_000_000_000)
+    return ln.training_frame(t.tx_place, days=None, limit=None)
 
 
 cte("train", """
