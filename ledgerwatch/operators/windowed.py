@@ -20,24 +20,32 @@ CHANNELS = ("online", "mobile", "pos", "atm")
 
 
 def window_aggregates(
-    df: DataFrame, window: Column, keys: Sequence[str] = ("user_id",), channels: Sequence[str] = CHANNELS, exact: bool = True
+    df: DataFrame, window: Column, keys: Sequence[str] = ("user_id",), channels: Sequence[str] = CHANNELS, exact: bool = True,
+    session: str | None = None,
 ) -> DataFrame:
     """Counts, amounts, parties, mean gap and channel counts per key and window.
 
     The mean gap needs only the first and last time.  ``exact=False`` counts parties approximately, which keeps the
     state of a streaming query small.
+
+    Give the gap as ``session`` for session windows.  Spark plans a distinct count by adding the counted column to the
+    grouping, and pushes later filters on the window bounds below the grouping; both happen before sessions are merged
+    and would change them.  So parties are collected as sets, and the bounds are aggregates of the event times.
     """
     streaming = df.isStreaming
 
     def parties(column: str) -> Column:
         if not exact:
             return F.approx_count_distinct(column)
-        return F.size(F.collect_set(column)).cast("long") if streaming else F.count_distinct(column)
+        return F.size(F.collect_set(column)).cast("long") if streaming or session is not None else F.count_distinct(column)
 
     n = F.count(F.lit(1))
     span = (micros(F.max("ts")) - micros(F.min("ts"))) / 1e6
+    start, end = F.col("w.start"), F.col("w.end")
+    if session is not None:
+        start, end = F.col("_first"), F.col("_last") + F.expr(f"INTERVAL {session}")
     grouped = df.groupBy(*keys, window.alias("w")).agg(
-        n.alias("event_count"), F.sum("amount").alias("total_amount"), F.avg("amount").alias("avg_amount"),
+        F.min("ts").alias("_first"), F.max("ts").alias("_last"), n.alias("event_count"), F.sum("amount").alias("total_amount"), F.avg("amount").alias("avg_amount"),
         F.min("amount").alias("min_amount"), F.max("amount").alias("max_amount"), F.stddev_pop("amount").alias("std_amount"),
         parties("user_id").alias("unique_users"), parties("merchant_id").alias("unique_merchants"),
         F.when(n > 1, span / (n - 1)).alias("avg_time_between_events"),
@@ -48,7 +56,7 @@ def window_aggregates(
         lambda e: e["v"] > 0,
     )
     return grouped.select(
-        *keys, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "event_count", "total_amount",
+        *keys, start.alias("window_start"), end.alias("window_end"), "event_count", "total_amount",
         "avg_amount", "min_amount", "max_amount", "std_amount", "unique_users", "unique_merchants", "avg_time_between_events",
         F.map_from_entries(named).alias("channel_distribution"),
     )

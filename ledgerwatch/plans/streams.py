@@ -32,9 +32,9 @@ def landed(t, df, name, mode="append"):
     return jobs.to_table(df, scratch(t.spark, name), scratch(t.spark, f"{name}-checkpoint"), mode)
 
 
-def windowed(t, window, keys, watermark, name):
+def windowed(t, window, keys, watermark, name, session=None):
     stream = events(t).withWatermark("ts", watermark)
-    return landed(t, wd.window_aggregates(stream, window, keys, KINDS), name).drop("channel_distribution")
+    return landed(t, wd.window_aggregates(stream, window, keys, KINDS, session=session), name).drop("channel_distribution")
 
 
 MEASURES = """COUNT(*) AS event_count, SUM(amount) AS total_amount, AVG(amount) AS avg_amount, MIN(amount) AS min_amount, MAX(amount) AS max_amount,
@@ -67,7 +67,7 @@ SELECT * EXCLUDE (session) FROM (SELECT user_id, MIN(ts) AS window_start, MAX(ts
 WHERE window_end <= (SELECT MAX(ts) FROM ev) - INTERVAL 1 MINUTE
 """)
 def str_3(t):
-    return windowed(t, F.session_window("ts", "6 hours"), ["user_id"], "60 seconds", "session")
+    return windowed(t, F.session_window("ts", "6 hours"), ["user_id"], "60 seconds", "session", "6 hours")
 
 
 @query("STR-4", uses="ev", rounded="total_amount", places=4, sql="""

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The columns of a transaction file.
-CSV_SCHEMA = T.StructType.fromDDL(
+CSV_SCHEMA = (
     "transaction_id string, user_id string, amount double, currency string, merchant_id string, category string, "
     "country string, timestamp string, lat double, lon double, device_id string, ip_address string, user_age int, "
     "user_income string, transaction_hour int, transaction_day_of_week int, is_fraud int"
