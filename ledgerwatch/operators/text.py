@@ -24,14 +24,28 @@ def words(text) -> Column:
 
 
 def stem(word: Column) -> Column:
-    """Light English suffix rules."""
-    return F.regexp_replace(word, "^(.{3,}?)(ing|ed|es|s)$", "$1")
+    """Light English suffix rules: drop ing, ed, es or s if three letters stay."""
+    n = F.length(word)
+
+    def drop(suffix: str) -> Column:
+        return word.endswith(suffix) & (n >= len(suffix) + 3)
+
+    def cut(k: int) -> Column:
+        return F.substring(word, F.lit(1), n - k)
+
+    return F.when(drop("ing"), cut(3)).when(drop("ed") | drop("es"), cut(2)).when(drop("s"), cut(1)).otherwise(word)
 
 
 def terms(text) -> Column:
-    """Lower-case stemmed words without stop words."""
-    stops = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.transform(F.filter(words(text), lambda w: ~F.array_contains(stops, w)), stem)
+    """Lower-case stemmed words without stop words, as an array: for short fields."""
+    return F.transform(F.filter(words(text), lambda w: ~w.isin(STOP_WORDS)), stem)
+
+
+def term_rows(docs: DataFrame, doc_id: str = "doc_id", text="text") -> DataFrame:
+    """One row per term occurrence: for long texts, where generated code on rows beats array functions."""
+    split = docs.select(doc_id, F.explode(F.split(F.lower(col(text)), SEPARATORS)).alias("_w"))
+    kept = split.filter((F.col("_w") != "") & ~F.col("_w").isin(STOP_WORDS))
+    return kept.select(doc_id, stem(F.col("_w")).alias("term"))
 
 
 def query_terms(df: DataFrame, query: str) -> list[str]:
@@ -42,9 +56,7 @@ def query_terms(df: DataFrame, query: str) -> list[str]:
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", text="text") -> DataFrame:
     """Term, document and term frequency."""
-    return docs.select(doc_id, F.explode(terms(text)).alias("term")).groupBy("term", doc_id).agg(
-        F.count(F.lit(1)).alias("tf")
-    )
+    return term_rows(docs, doc_id, text).groupBy("term", doc_id).agg(F.count(F.lit(1)).alias("tf"))
 
 
 def _count(term: str) -> Column:
@@ -78,24 +90,28 @@ def search(
 ) -> DataFrame:
     """Documents with any query term, scored by BM25.
 
-    One pass counts the documents per query term and the mean length, a second one scores; postings are not shuffled.
+    Term occurrences are reduced to one row per document before the shuffle; the collection's figures come from the
+    same rows, and the texts are joined to the final page only.
     """
     wanted = query_terms(docs, query)
-    found = _analysed(docs, wanted, text)
-    stats = found.agg(
-        F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg_len"),
-        *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))],
-    ).first()
-    n, mean = stats["n"], stats["avg_len"] or 1.0
+    per_doc = term_rows(docs, doc_id, text).groupBy(doc_id).agg(
+        F.count(F.lit(1)).alias("_len"), *[F.count_if(F.col("term") == q).alias(f"_tf{i}") for i, q in enumerate(wanted)]
+    )
+    stats = per_doc.agg(
+        F.struct(F.sum("_len").alias("words"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))]).alias("s")
+    ).scalar()
+    n = docs.agg(F.count(F.lit(1))).scalar()
+    mean = stats["words"] / n
     score, any_hit = F.lit(0.0), F.lit(False)
     for i in range(len(wanted)):
-        idf = math.log(1 + (n - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5))
+        idf = F.log(1 + (n - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5))
         tf = F.col(f"_tf{i}").cast("double")
-        score = score + F.lit(idf) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_len") / F.lit(mean)))
+        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_len") / mean))
         any_hit = any_hit | (F.col(f"_tf{i}") > 0)
-    scored = found.filter(any_hit).withColumn("score", score).drop("_len", *[f"_tf{i}" for i in range(len(wanted))])
+    scored = per_doc.filter(any_hit).select(doc_id, score.alias("score"))
     order = list(sort) if sort else [F.desc("score"), F.col(doc_id)]
-    return scored.orderBy(*order).offset(offset).limit(k)
+    page = scored.orderBy(*order).offset(offset).limit(k)
+    return docs.join(F.broadcast(page) if k <= 10_000 else page, doc_id)
 
 
 def highlight(text: Column, query: Sequence[str], before: str = "<em>", after: str = "</em>") -> Column:

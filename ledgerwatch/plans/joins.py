@@ -99,10 +99,10 @@ def joi_5(t):
 
 @query("JOI-6", uses="tx users merchants", rounded="amount risk_score", sql="""
 SELECT transaction_id, amount, risk_score, merchant_name FROM tx LEFT JOIN users USING (user_id)
-LEFT JOIN (SELECT * FROM merchants WHERE merchant_id % 3 <> 0) USING (merchant_id)
+LEFT JOIN (SELECT * FROM merchants WHERE merchant_category <> 'food') USING (merchant_id)
 """)
 def joi_6(t):
-    known = t.merchants.filter(F.col("merchant_id") % 3 != 0)
+    known = t.merchants.filter(F.col("merchant_category") != "food")
     return jn.with_optional_parties(t.tx_merchant, t.users, known).select(
         "transaction_id", "amount", "risk_score", "merchant_name"
     )
@@ -193,9 +193,9 @@ def joi_13(t):
 
 @query("JOI-14", uses="ev merchants", rounded="merchant_risk", sql="""
 SELECT transaction_id, merchant_id, COALESCE(merchant_risk, 0.5e0) AS merchant_risk FROM ev
-LEFT JOIN (SELECT * FROM merchants WHERE merchant_id % 4 <> 1) USING (merchant_id)
+LEFT JOIN (SELECT * FROM merchants WHERE merchant_risk > 0.2) USING (merchant_id)
 """)
 def joi_14(t):
-    return jn.with_merchant(t.ev, t.merchants.filter(F.col("merchant_id") % 4 != 1), 0.5).select(
+    return jn.with_merchant(t.ev, t.merchants.filter(F.col("merchant_risk") > 0.2), 0.5).select(
         "transaction_id", "merchant_id", "merchant_risk"
     )

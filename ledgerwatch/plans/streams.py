@@ -44,26 +44,26 @@ FLOATS = "total_amount avg_amount min_amount max_amount std_amount avg_time_betw
 
 
 @query("STR-1", uses="ev", rounded=FLOATS, places=4, sql=f"""
-SELECT * FROM (SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, time_bucket(INTERVAL '5 minutes', ts) + INTERVAL 5 MINUTE AS window_end, {MEASURES} FROM ev GROUP BY 1, 2)
+SELECT * FROM (SELECT user_id, time_bucket(INTERVAL '5 minutes', ts) AS window_start, time_bucket(INTERVAL '5 minutes', ts) + INTERVAL 5 MINUTE AS window_end, {MEASURES} FROM ev GROUP BY 1, 2, 3)
 WHERE window_end <= (SELECT MAX(ts) FROM ev) - INTERVAL 10 SECOND
 """)
 def str_1(t):
-    return windowed(t, F.window("ts", "5 minutes"), [], "10 seconds", "tumbling")
+    return windowed(t, F.window("ts", "5 minutes"), ["user_id"], "10 seconds", "tumbling")
 
 
 @query("STR-2", uses="ev", rounded=FLOATS, places=4, sql=f"""
-SELECT * FROM (SELECT window_start, window_start + INTERVAL 10 MINUTE AS window_end, {MEASURES} FROM (
- SELECT *, time_bucket(INTERVAL '2 minutes', ts) - to_minutes(CAST(2 * i AS INTEGER)) AS window_start FROM ev, range(5) r(i)) GROUP BY 1, 2)
+SELECT * FROM (SELECT user_id, window_start, window_start + INTERVAL 10 MINUTE AS window_end, {MEASURES} FROM (
+ SELECT *, time_bucket(INTERVAL '2 minutes', ts) - to_minutes(CAST(2 * i AS INTEGER)) AS window_start FROM ev, range(5) r(i)) GROUP BY 1, 2, 3)
 WHERE window_end <= (SELECT MAX(ts) FROM ev) - INTERVAL 30 SECOND
 """)
 def str_2(t):
-    return windowed(t, F.window("ts", "10 minutes", "2 minutes"), [], "30 seconds", "sliding")
+    return windowed(t, F.window("ts", "10 minutes", "2 minutes"), ["user_id"], "30 seconds", "sliding")
 
 
 @query("STR-3", uses="ev", rounded=FLOATS, places=4, sql=f"""
 SELECT * EXCLUDE (session) FROM (SELECT user_id, MIN(ts) AS window_start, MAX(ts) + INTERVAL 6 HOUR AS window_end, session, {MEASURES} FROM (
  SELECT *, SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts, transaction_id) AS session FROM (
-  SELECT *, CASE WHEN ts < LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, transaction_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM ev)) GROUP BY user_id, session)
+  SELECT *, CASE WHEN ts <= LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, transaction_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM ev)) GROUP BY user_id, session)
 WHERE window_end <= (SELECT MAX(ts) FROM ev) - INTERVAL 1 MINUTE
 """)
 def str_3(t):

@@ -132,10 +132,10 @@ def src_9(t):
 
 
 @query("SRC-10", uses="tx lim", rounded="amount fraud_score", sql="""
-SELECT transaction_id, amount, fraud_score, is_fraud, ts FROM tx, lim WHERE ts > as_of - INTERVAL 400 DAY ORDER BY ts DESC, transaction_id DESC LIMIT 1000
+SELECT transaction_id, amount, fraud_score, is_fraud, ts FROM tx, lim WHERE ts > as_of - INTERVAL 400 DAY ORDER BY ts DESC, transaction_id DESC LIMIT 100000
 """)
 def src_10(t):
-    return rd.training_scan(t.tx_slim, 400, 1000).select("transaction_id", "amount", "fraud_score", "is_fraud", "ts")
+    return rd.training_scan(t.tx_slim, 400).select("transaction_id", "amount", "fraud_score", "is_fraud", "ts")
 
 
 @query("SRC-14", uses="tx", rounded="amount", places=4, sql="""
