@@ -65,6 +65,11 @@ def safe_ratio(numerator: Column, denominator: Column, default=0.0) -> Column:
     return F.when(denominator != 0, numerator / denominator).otherwise(F.lit(default))
 
 
+def by_mean(column: str) -> Column:
+    """Descending order by a mean, at nine places: partial sums arrive in any order, and equal means must tie."""
+    return F.desc_nulls_last(F.round(F.col(column), 9))
+
+
 def flag(condition: Column) -> Column:
     return F.when(condition, F.lit(1)).otherwise(F.lit(0))
 

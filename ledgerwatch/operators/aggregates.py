@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerwatch.functions import timeline as tl
-from ledgerwatch.functions.columns import geohash, haversine_km, micros, safe_ratio, time_bucket
+from ledgerwatch.functions.columns import by_mean, geohash, haversine_km, micros, safe_ratio, time_bucket
 from ledgerwatch.operators.common import anchor, event_age, since
 from ledgerwatch.operators.rules import is_round
 
@@ -265,7 +265,7 @@ def risky_parties(
         F.sum("amount").alias("total_amount"),
         F.avg("amount").alias("avg_amount"),
     ).filter(F.col("transaction_count") > min_count)
-    return top(found, k, F.desc("avg_fraud_score"), party)
+    return top(found, k, by_mean("avg_fraud_score"), party)
 
 
 def anomaly_counters(merchants: DataFrame, users: DataFrame, hours: DataFrame) -> DataFrame:
@@ -289,7 +289,7 @@ def top_parties_above(df: DataFrame, party: str, score: float = 0.6, k: int = 10
     found = df.filter(F.col("fraud_score") > score).groupBy(party).agg(
         F.avg("fraud_score").alias("avg_risk_score"), row_count().alias("transaction_count")
     )
-    return top(found, k, F.desc("avg_risk_score"), party)
+    return top(found, k, by_mean("avg_risk_score"), party)
 
 
 def country_analytics(df: DataFrame, seconds: float | None = 30 * DAY, min_count: int = 10, as_of=None) -> DataFrame:
@@ -541,7 +541,7 @@ def top_risky_entities(
     )
     life = df.groupBy(key).agg(row_count().alias("total_transactions"), F.sum("amount").alias("total_amount"))
     joined = entities.select(key, F.col(risk).alias("risk_score")).join(recent, key, "left").join(life, key, "left")
-    ranked = top(joined, k, F.desc("risk_score"), F.desc_nulls_last("avg_fraud_score"), key)
+    ranked = top(joined, k, by_mean("risk_score"), by_mean("avg_fraud_score"), key)
     return ranked.select(
         F.col(key).cast("string").alias("entity_id"), "risk_score",
         F.coalesce("recent_transactions", F.lit(0)).alias("recent_transactions"), "avg_fraud_score",
@@ -555,7 +555,7 @@ def top_risky_devices(df: DataFrame, seconds: float = 30 * DAY, k: int = 10, as_
         F.count_distinct("user_id").alias("user_count"), F.avg("fraud_score").alias("risk_score"), row_count().alias("usage_count")
     )
     recent = since(df, seconds, as_of).groupBy("device_id").agg(F.avg("fraud_score").alias("avg_fraud_score"))
-    return top(life.join(recent, "device_id", "left"), k, F.desc("risk_score"), F.desc("user_count"), "device_id")
+    return top(life.join(recent, "device_id", "left"), k, by_mean("risk_score"), F.desc("user_count"), "device_id")
 
 
 def merchant_fraud_rate(df: DataFrame, merchants: DataFrame, score: float = 0.6) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerwatch.functions import timeline as tl
-from ledgerwatch.functions.columns import hash_fraction
+from ledgerwatch.functions.columns import by_mean, hash_fraction
 from ledgerwatch.operators.common import since
 from ledgerwatch.session import cut_lineage
 
@@ -146,7 +146,7 @@ def device_rings(
         members.groupBy("device_id")
         .agg(F.count(F.lit(1)).alias("user_count"), F.avg("risk_score").alias("avg_risk_score"))
         .filter(F.col("user_count") >= min_users)
-        .orderBy(F.desc("avg_risk_score"), F.desc("user_count"), "device_id").limit(k)
+        .orderBy(by_mean("avg_risk_score"), F.desc("user_count"), "device_id").limit(k)
     )
     return members.join(rings, "device_id").select(
         F.concat(F.lit("device_sharing_"), "device_id").alias("ring_id"), "user_id", "risk_score", "user_count",
@@ -166,7 +166,7 @@ def transaction_device_rings(
             F.sum("amount").alias("total_amount"),
         )
         .filter((F.col("user_count") >= min_users) & (F.col("avg_fraud_score") > min_mean))
-        .orderBy(F.desc("avg_fraud_score"), "device_id").limit(k)
+        .orderBy(by_mean("avg_fraud_score"), "device_id").limit(k)
         .withColumn("ring_id", F.concat(F.lit("device_"), "device_id"))
     )
 
@@ -182,7 +182,7 @@ def top_fraud_users(df: DataFrame, min_score: float = 0.8, k: int = 10) -> DataF
     return df.filter((F.col("fraud_score") > min_score) & F.col("is_fraud")).groupBy("user_id").agg(
         F.avg("fraud_score").alias("avg_fraud_score"), F.count(F.lit(1)).alias("transaction_count"),
         F.sum("amount").alias("total_amount"),
-    ).orderBy(F.desc("avg_fraud_score"), "user_id").limit(k)
+    ).orderBy(by_mean("avg_fraud_score"), "user_id").limit(k)
 
 
 def velocity_rings(
@@ -198,7 +198,7 @@ def velocity_rings(
         .agg(F.avg(F.when(fast, F.col("s"))).alias("avg_fraud_score"), F.count(F.lit(1)).alias("user_count"),
              F.count_if(fast).alias("fast_users"))
         .filter((F.col("fast_users") >= 1) & (F.col("user_count") >= 2))
-        .orderBy(F.desc("avg_fraud_score"), F.desc("user_count"), "merchant_id").limit(k)
+        .orderBy(by_mean("avg_fraud_score"), F.desc("user_count"), "merchant_id").limit(k)
     )
     return pairs.select("merchant_id", "user_id", fast.alias("is_fast")).join(rings, "merchant_id").select(
         F.concat(F.lit("velocity_"), F.col("merchant_id").cast("string")).alias("ring_id"), "user_id", "is_fast",
@@ -216,7 +216,7 @@ def community_rings(
         members.groupBy("community")
         .agg(F.avg("risk_score").alias("avg_risk_score"), F.count(F.lit(1)).alias("member_count"))
         .filter((F.col("member_count") >= min_users) & (F.col("avg_risk_score") > min_mean))
-        .orderBy(F.desc("avg_risk_score"), F.desc("member_count"), "community").limit(k)
+        .orderBy(by_mean("avg_risk_score"), F.desc("member_count"), "community").limit(k)
         .withColumn("confidence", F.least(F.col("avg_risk_score") * F.col("member_count") / 8, F.lit(1.0)))
     )
 

@@ -238,7 +238,7 @@ def agg_14(t):
 PARTY = """
 SELECT {0}, COUNT(*) AS transaction_count, COUNT(*) FILTER (WHERE is_fraud) AS fraud_count, COUNT(*) FILTER (WHERE is_fraud) / COUNT(*) * 100 AS fraud_rate,
   AVG(fraud_score) AS avg_fraud_score, SUM(amount) AS total_amount, AVG(amount) AS avg_amount
-FROM tx, lim WHERE ts > as_of - INTERVAL {1} DAY GROUP BY 1 HAVING COUNT(*) > {2} ORDER BY avg_fraud_score DESC, {0} LIMIT 10
+FROM tx, lim WHERE ts > as_of - INTERVAL {1} DAY GROUP BY 1 HAVING COUNT(*) > {2} ORDER BY ROUND(AVG(fraud_score), 9) DESC, {0} LIMIT 10
 """
 
 
@@ -274,9 +274,9 @@ def agg_16(t):
 
 @query("AGG-17", uses="tx", rounded="avg_risk_score", sql="""
 SELECT * FROM (SELECT 'user' AS kind, user_id AS id, AVG(fraud_score) AS avg_risk_score, COUNT(*) AS transaction_count FROM tx WHERE fraud_score > 0.6
-  GROUP BY user_id ORDER BY avg_risk_score DESC, id LIMIT 10)
+  GROUP BY user_id ORDER BY ROUND(AVG(fraud_score), 9) DESC, id LIMIT 10)
 UNION ALL SELECT * FROM (SELECT 'merchant', merchant_id AS id, AVG(fraud_score) AS avg_risk_score, COUNT(*) FROM tx WHERE fraud_score > 0.6
-  GROUP BY merchant_id ORDER BY avg_risk_score DESC, id LIMIT 10)
+  GROUP BY merchant_id ORDER BY ROUND(AVG(fraud_score), 9) DESC, id LIMIT 10)
 """)
 def agg_17(t):
     u = ag.top_parties_above(t.tx_slim, "user_id").withColumnRenamed("user_id", "id").withColumn("kind", F.lit("user"))
@@ -441,13 +441,13 @@ def agg_30(t):
 @query("AGG-31", uses="tx lim users merchants", rounded="risk_score avg_fraud_score total_amount", places=4, sql="""
 WITH u AS (SELECT 'User' AS kind, CAST(u.user_id AS VARCHAR) AS entity_id, risk_score, COUNT(*) FILTER (WHERE ts > as_of - INTERVAL 365 DAY) AS recent_transactions,
   AVG(fraud_score) FILTER (WHERE ts > as_of - INTERVAL 365 DAY) AS avg_fraud_score, COUNT(transaction_id) AS total_transactions, COALESCE(SUM(amount), 0) AS total_amount, u.user_id AS k
-  FROM users u CROSS JOIN lim LEFT JOIN tx ON tx.user_id = u.user_id GROUP BY u.user_id, risk_score ORDER BY risk_score DESC, avg_fraud_score DESC NULLS LAST, k LIMIT 10),
+  FROM users u CROSS JOIN lim LEFT JOIN tx ON tx.user_id = u.user_id GROUP BY u.user_id, risk_score ORDER BY ROUND(risk_score, 9) DESC, ROUND(avg_fraud_score, 9) DESC NULLS LAST, k LIMIT 10),
 m AS (SELECT 'Merchant' AS kind, CAST(m.merchant_id AS VARCHAR) AS entity_id, merchant_risk AS risk_score, COUNT(*) FILTER (WHERE ts > as_of - INTERVAL 365 DAY) AS recent_transactions,
   AVG(fraud_score) FILTER (WHERE ts > as_of - INTERVAL 365 DAY) AS avg_fraud_score, COUNT(transaction_id) AS total_transactions, COALESCE(SUM(amount), 0) AS total_amount, m.merchant_id AS k
-  FROM merchants m CROSS JOIN lim LEFT JOIN tx ON tx.merchant_id = m.merchant_id GROUP BY m.merchant_id, merchant_risk ORDER BY merchant_risk DESC, avg_fraud_score DESC NULLS LAST, k LIMIT 10),
+  FROM merchants m CROSS JOIN lim LEFT JOIN tx ON tx.merchant_id = m.merchant_id GROUP BY m.merchant_id, merchant_risk ORDER BY ROUND(merchant_risk, 9) DESC, ROUND(avg_fraud_score, 9) DESC NULLS LAST, k LIMIT 10),
 d AS (SELECT 'Device' AS kind, device_id AS entity_id, AVG(fraud_score) AS risk_score, COUNT(DISTINCT user_id) AS recent_transactions,
   AVG(fraud_score) FILTER (WHERE ts > as_of - INTERVAL 365 DAY) AS avg_fraud_score, COUNT(*) AS total_transactions, NULL::DOUBLE AS total_amount, 0 AS k
-  FROM tx, lim GROUP BY device_id ORDER BY risk_score DESC, recent_transactions DESC, device_id LIMIT 10)
+  FROM tx, lim GROUP BY device_id ORDER BY ROUND(AVG(fraud_score), 9) DESC, recent_transactions DESC, device_id LIMIT 10)
 SELECT * EXCLUDE (k) FROM u UNION ALL SELECT * EXCLUDE (k) FROM m UNION ALL SELECT * EXCLUDE (k) FROM d
 """)
 def agg_31(t):

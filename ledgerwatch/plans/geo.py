@@ -39,10 +39,10 @@ def geo_2(t):
 
 
 @query("GEO-3", uses="tx", rounded="distance_km", places=4, sql=f"""
-SELECT * FROM (SELECT transaction_id, {HAV.format('latitude', 'longitude', '(-22.5e0)', '10.5e0')} AS distance_km FROM tx) WHERE distance_km <= 1500
+SELECT * FROM (SELECT transaction_id, {HAV.format('latitude', 'longitude', '(-22.5e0)', '12.5e0')} AS distance_km FROM tx) WHERE distance_km <= 3500
 """)
 def geo_3(t):
-    return geo.within_distance(spots(t), -22.5, 10.5, 1500.0).select("transaction_id", "distance_km")
+    return geo.within_distance(spots(t), -22.5, 12.5, 3500.0).select("transaction_id", "distance_km")
 
 
 STEP = HAV.format("plat", "plon", "latitude", "longitude")

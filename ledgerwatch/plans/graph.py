@@ -90,7 +90,7 @@ def gra_2(t):
 
 @query("GRA-3", uses="tx users", rounded="risk_score avg_risk_score confidence", sql="""
 WITH m AS (SELECT DISTINCT device_id, user_id, risk_score FROM tx JOIN users USING (user_id) WHERE risk_score >= 0.5),
-r AS (SELECT device_id, COUNT(*) AS user_count, AVG(risk_score) AS avg_risk_score FROM m GROUP BY 1 HAVING COUNT(*) >= 2 ORDER BY avg_risk_score DESC, user_count DESC, device_id LIMIT 50)
+r AS (SELECT device_id, COUNT(*) AS user_count, AVG(risk_score) AS avg_risk_score FROM m GROUP BY 1 HAVING COUNT(*) >= 2 ORDER BY ROUND(AVG(risk_score), 9) DESC, user_count DESC, device_id LIMIT 50)
 SELECT 'device_sharing_' || device_id AS ring_id, user_id, risk_score, user_count, avg_risk_score, LEAST(avg_risk_score * user_count / 10, 1) AS confidence FROM m JOIN r USING (device_id)
 """)
 def gra_3(t):
@@ -99,7 +99,7 @@ def gra_3(t):
 
 cte("rings4", """
 SELECT 'device_' || device_id AS ring_id, device_id, COUNT(DISTINCT user_id) AS user_count, AVG(fraud_score) AS avg_fraud_score, SUM(amount) AS total_amount FROM tx
-WHERE fraud_score > 0.6 GROUP BY device_id HAVING COUNT(DISTINCT user_id) >= 2 AND AVG(fraud_score) > 0.7 ORDER BY avg_fraud_score DESC, device_id LIMIT 5
+WHERE fraud_score > 0.6 GROUP BY device_id HAVING COUNT(DISTINCT user_id) >= 2 AND AVG(fraud_score) > 0.7 ORDER BY ROUND(AVG(fraud_score), 9) DESC, device_id LIMIT 5
 """)
 
 
@@ -111,7 +111,7 @@ def gra_4(t):
 @query("GRA-5", uses="tx", rounded="avg_fraud_score total_amount", places=4, sql="""
 SELECT 'suspicious' AS kind, user_id, AVG(fraud_score) AS avg_fraud_score, COUNT(*) AS transaction_count, SUM(amount) AS total_amount FROM tx WHERE fraud_score > 0.7 GROUP BY user_id
 HAVING COUNT(*) > 5 AND COUNT(*) FILTER (WHERE is_fraud) > 0
-UNION ALL SELECT * FROM (SELECT 'top', user_id, AVG(fraud_score) AS a, COUNT(*), SUM(amount) FROM tx WHERE fraud_score > 0.8 AND is_fraud GROUP BY user_id ORDER BY a DESC, user_id LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'top', user_id, AVG(fraud_score) AS a, COUNT(*), SUM(amount) FROM tx WHERE fraud_score > 0.8 AND is_fraud GROUP BY user_id ORDER BY ROUND(AVG(fraud_score), 9) DESC, user_id LIMIT 10)
 """)
 def gra_5(t):
     s = gr.suspicious_users(t.tx_slim).drop("fraud_count").withColumn("kind", F.lit("suspicious"))
@@ -133,7 +133,7 @@ def gra_6(t):
 
 @query("GRA-7", uses="tx lim", rounded="avg_fraud_score confidence", sql="""
 WITH p AS (SELECT user_id, merchant_id, COUNT(*) AS n, AVG(fraud_score) AS s, COUNT(*) >= 2 AND AVG(fraud_score) > 0.6 AS f FROM tx, lim WHERE ts > as_of - INTERVAL 1500 DAY GROUP BY 1, 2),
-r AS (SELECT merchant_id, AVG(s) FILTER (WHERE f) AS avg_fraud_score, COUNT(*) AS user_count FROM p GROUP BY 1 HAVING COUNT(*) FILTER (WHERE f) >= 1 AND COUNT(*) >= 2 ORDER BY avg_fraud_score DESC, user_count DESC, merchant_id LIMIT 20)
+r AS (SELECT merchant_id, AVG(s) FILTER (WHERE f) AS avg_fraud_score, COUNT(*) AS user_count FROM p GROUP BY 1 HAVING COUNT(*) FILTER (WHERE f) >= 1 AND COUNT(*) >= 2 ORDER BY ROUND(avg_fraud_score, 9) DESC, user_count DESC, merchant_id LIMIT 20)
 SELECT 'velocity_' || CAST(merchant_id AS VARCHAR) AS ring_id, user_id, f AS is_fast, user_count, avg_fraud_score, LEAST(avg_fraud_score * user_count / 5, 1) AS confidence FROM p JOIN r USING (merchant_id)
 """)
 def gra_7(t):
