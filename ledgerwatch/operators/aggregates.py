@@ -272,7 +272,7 @@ def anomaly_counters(merchants: DataFrame, users: DataFrame, hours: DataFrame) -
     """Counters derived from the risky-party lists and the hourly trend."""
     return union(
         [
-            merchants.agg(F.count_if(F.col("avg_fraud_score") > 0.8).alias("value")).select(
+            merchants.agg(F.count_if(F.round("avg_fraud_score", 9) > 0.8).alias("value")).select(
                 F.lit("unusual_amounts").alias("metric"), "value"
             ),
             users.agg(F.count_if(F.col("transaction_count") > 50).alias("value")).select(

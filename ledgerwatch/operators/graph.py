@@ -165,7 +165,7 @@ def transaction_device_rings(
             F.count_distinct("user_id").alias("user_count"), F.avg("fraud_score").alias("avg_fraud_score"),
             F.sum("amount").alias("total_amount"),
         )
-        .filter((F.col("user_count") >= min_users) & (F.col("avg_fraud_score") > min_mean))
+        .filter((F.col("user_count") >= min_users) & (F.round("avg_fraud_score", 9) > min_mean))
         .orderBy(by_mean("avg_fraud_score"), "device_id").limit(k)
         .withColumn("ring_id", F.concat(F.lit("device_"), "device_id"))
     )
@@ -192,7 +192,7 @@ def velocity_rings(
     pairs = since(df, seconds, as_of).groupBy("user_id", "merchant_id").agg(
         F.count(F.lit(1)).alias("n"), F.avg("fraud_score").alias("s")
     )
-    fast = (F.col("n") >= min_count) & (F.col("s") > min_score)
+    fast = (F.col("n") >= min_count) & (F.round("s", 9) > min_score)
     rings = (
         pairs.groupBy("merchant_id")
         .agg(F.avg(F.when(fast, F.col("s"))).alias("avg_fraud_score"), F.count(F.lit(1)).alias("user_count"),
@@ -215,7 +215,7 @@ def community_rings(
     return (
         members.groupBy("community")
         .agg(F.avg("risk_score").alias("avg_risk_score"), F.count(F.lit(1)).alias("member_count"))
-        .filter((F.col("member_count") >= min_users) & (F.col("avg_risk_score") > min_mean))
+        .filter((F.col("member_count") >= min_users) & (F.round("avg_risk_score", 9) > min_mean))
         .orderBy(by_mean("avg_risk_score"), F.desc("member_count"), "community").limit(k)
         .withColumn("confidence", F.least(F.col("avg_risk_score") * F.col("member_count") / 8, F.lit(1.0)))
     )

@@ -256,7 +256,7 @@ SELECT hour(ts) AS hour, COUNT(*) FILTER (WHERE is_fraud) / COUNT(*) AS fraud_ra
 @query("AGG-16", uses="tx lim risky_users hours90", rounded="avg_fraud_score avg_amount", places=4, sql="""
 SELECT 'user' AS kind, CAST(user_id AS VARCHAR) AS name, transaction_count AS value, avg_fraud_score, avg_amount FROM risky_users
 UNION ALL SELECT 'counter', 'velocity_anomalies', COUNT(*) FILTER (WHERE transaction_count > 50), NULL, NULL FROM risky_users
-UNION ALL SELECT 'counter', 'unusual_amounts', COUNT(*) FILTER (WHERE avg_fraud_score > 0.8), NULL, NULL FROM risky_users
+UNION ALL SELECT 'counter', 'unusual_amounts', COUNT(*) FILTER (WHERE ROUND(avg_fraud_score, 9) > 0.8e0), NULL, NULL FROM risky_users
 UNION ALL SELECT 'counter', 'time_patterns', COUNT(*) FILTER (WHERE fraud_rate > 0.1e0), NULL, NULL FROM hours90
 """)
 def agg_16(t):

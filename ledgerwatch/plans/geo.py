@@ -13,8 +13,8 @@ YEAR = 365 * 86400
 GRADE = """CASE WHEN f >= 4 THEN 'critical' WHEN f >= 3 THEN 'high' WHEN f >= 2 THEN 'medium' ELSE 'low' END AS risk_level,
   CASE WHEN f >= 4 THEN 0.9e0 WHEN f >= 3 THEN 0.8e0 WHEN f >= 2 THEN 0.6e0 ELSE 0.4e0 END AS confidence"""
 GRADED = """COUNT(*) AS transaction_count, AVG(fraud_score) AS avg_risk, COUNT(DISTINCT user_id) AS unique_users, SUM(amount) AS total_amount,
-  AVG(latitude) AS center_lat, AVG(longitude) AS center_lon, CASE WHEN AVG(fraud_score) > 0.7 THEN 2 WHEN AVG(fraud_score) > 0.5 THEN 1 ELSE 0 END
-  + CASE WHEN COUNT(DISTINCT user_id) > COUNT(*) * 0.7 THEN 2 ELSE 0 END + CASE WHEN SUM(amount) > 50000 THEN 1 ELSE 0 END AS f"""
+  AVG(latitude) AS center_lat, AVG(longitude) AS center_lon, CASE WHEN ROUND(AVG(fraud_score), 9) > 0.7e0 THEN 2 WHEN ROUND(AVG(fraud_score), 9) > 0.5e0 THEN 1 ELSE 0 END
+  + CASE WHEN COUNT(DISTINCT user_id) > COUNT(*) * 0.7e0 THEN 2 ELSE 0 END + CASE WHEN SUM(amount) > 50000 THEN 1 ELSE 0 END AS f"""
 
 
 def spots(t):

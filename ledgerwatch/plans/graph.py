@@ -99,7 +99,7 @@ def gra_3(t):
 
 cte("rings4", """
 SELECT 'device_' || device_id AS ring_id, device_id, COUNT(DISTINCT user_id) AS user_count, AVG(fraud_score) AS avg_fraud_score, SUM(amount) AS total_amount FROM tx
-WHERE fraud_score > 0.6 GROUP BY device_id HAVING COUNT(DISTINCT user_id) >= 2 AND AVG(fraud_score) > 0.7 ORDER BY ROUND(AVG(fraud_score), 9) DESC, device_id LIMIT 5
+WHERE fraud_score > 0.6 GROUP BY device_id HAVING COUNT(DISTINCT user_id) >= 2 AND ROUND(AVG(fraud_score), 9) > 0.7e0 ORDER BY ROUND(AVG(fraud_score), 9) DESC, device_id LIMIT 5
 """)
 
 
@@ -132,7 +132,7 @@ def gra_6(t):
 
 
 @query("GRA-7", uses="tx lim", rounded="avg_fraud_score confidence", sql="""
-WITH p AS (SELECT user_id, merchant_id, COUNT(*) AS n, AVG(fraud_score) AS s, COUNT(*) >= 2 AND AVG(fraud_score) > 0.6 AS f FROM tx, lim WHERE ts > as_of - INTERVAL 1500 DAY GROUP BY 1, 2),
+WITH p AS (SELECT user_id, merchant_id, COUNT(*) AS n, AVG(fraud_score) AS s, COUNT(*) >= 2 AND ROUND(AVG(fraud_score), 9) > 0.6e0 AS f FROM tx, lim WHERE ts > as_of - INTERVAL 1500 DAY GROUP BY 1, 2),
 r AS (SELECT merchant_id, AVG(s) FILTER (WHERE f) AS avg_fraud_score, COUNT(*) AS user_count FROM p GROUP BY 1 HAVING COUNT(*) FILTER (WHERE f) >= 1 AND COUNT(*) >= 2 ORDER BY ROUND(avg_fraud_score, 9) DESC, user_count DESC, merchant_id LIMIT 20)
 SELECT 'velocity_' || CAST(merchant_id AS VARCHAR) AS ring_id, user_id, f AS is_fast, user_count, avg_fraud_score, LEAST(avg_fraud_score * user_count / 5, 1) AS confidence FROM p JOIN r USING (merchant_id)
 """)
