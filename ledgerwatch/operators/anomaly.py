@@ -66,13 +66,15 @@ def user_anomalies(
         F.avg(F.when(recent, F.col("amount"))).alias("mean"), F.avg(F.when(before, F.col("amount"))).alias("usual_mean"),
     ).filter(F.col("n") > 0)
 
-    def typed(source, kind, normal, detected, condition):
-        return source.filter(condition).select(
-            "user_id", F.lit(kind).alias("anomaly_type"), normal.alias("normal_value"), detected.alias("detected_value")
-        )
+    def typed(kind, normal, detected):
+        return F.struct(F.lit(kind).alias("anomaly_type"), normal.alias("normal_value"), detected.alias("detected_value"))
 
-    frequency = typed(facts, "HIGH_FREQUENCY", F.col("usual_n"), F.col("n"), (F.col("usual_n") > 0) & (F.col("n") > F.col("usual_n") * factor))
-    spike = typed(facts, "AMOUNT_SPIKE", F.col("usual_mean"), F.col("mean"), F.col("mean") > F.col("usual_mean") * factor)
+    often = (F.col("usual_n") > 0) & (F.col("n") > F.col("usual_n") * factor)
+    found = F.array(
+        F.when(often, typed("HIGH_FREQUENCY", F.col("usual_n"), F.col("n"))),
+        F.when(F.col("mean") > F.col("usual_mean") * factor, typed("AMOUNT_SPIKE", F.col("usual_mean"), F.col("mean"))),
+    )
+    own_history = facts.select("user_id", F.inline(F.filter(found, lambda e: e.isNotNull())))
     located = df.withColumn("_us", micros("ts"))
     steps = tl.neighbours(
         located, "user_id", ["_us", "transaction_id"], tl.time_slice(F.col("_us")),
@@ -80,8 +82,8 @@ def user_anomalies(
     ).filter((F.col("_us") > F.col("_p")) & (newest - F.col("_us") < F.lit(int(recent_seconds * 1e6))))
     speeds = steps.withColumn("v", haversine_km("_y", "_x", "latitude", "longitude") / ((F.col("_us") - F.col("_p")) / 3.6e9))
     top = speeds.groupBy("user_id").agg(F.max("v").alias("v"))
-    fast = typed(top, "GEOGRAPHIC_VELOCITY", F.lit(max_kmh), F.col("v"), F.col("v") > max_kmh)
+    fast = top.filter(F.col("v") > max_kmh).select("user_id", F.inline(F.array(typed("GEOGRAPHIC_VELOCITY", F.lit(max_kmh), F.col("v")))))
     ratio = F.col("detected_value") / F.col("normal_value")
-    return frequency.unionByName(spike).unionByName(fast).withColumn(
+    return own_history.unionByName(fast).withColumn(
         "severity", F.when(ratio >= factor * 3, "CRITICAL").when(ratio >= factor, "HIGH").otherwise("MEDIUM")
     )

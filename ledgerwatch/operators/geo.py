@@ -13,6 +13,7 @@ from ledgerwatch.operators import clustering as cl
 from ledgerwatch.operators import joins as jn
 from ledgerwatch.operators import windows as wn
 from ledgerwatch.operators.common import since
+from ledgerwatch.session import cut_lineage
 
 LEVEL_RISK = {"CRITICAL": 0.9, "HIGH": 0.7, "MEDIUM": 0.4}
 LOCATION_RISK = {"CRITICAL": 0.8, "HIGH": 0.6, "MEDIUM": 0.4}
@@ -184,7 +185,7 @@ def dbscan_labels(df: DataFrame, eps_km: float = 0.5, min_points: int = 5, secon
 
 def dbscan_clusters(df: DataFrame, eps_km: float = 0.5, min_points: int = 5, seconds: float | None = 86400, as_of=None) -> DataFrame:
     """Clusters with centre, largest distance from it, and risk grade."""
-    labelled = dbscan_labels(df, eps_km, min_points, seconds, as_of).filter(F.col("cluster_id").isNotNull())
+    labelled = cut_lineage(dbscan_labels(df, eps_km, min_points, seconds, as_of).filter(F.col("cluster_id").isNotNull()))
     return _with_radius(labelled, grade(labelled, ["cluster_id"]), "cluster_id")
 
 
@@ -197,8 +198,6 @@ def hotspots(
     The places with the most neighbours lead first (ties: smallest coordinates); a place in the reach of a leader
     does not lead.  Each round settles every place that beats all open places around it.
     """
-    from ledgerwatch.session import cut_lineage
-
     risky = since(df, seconds, as_of).filter(F.col("fraud_score") >= min_score)
     spots = cut_lineage(
         jn.places(risky, (), [F.sum("fraud_score").alias("s"), F.sum("amount").alias("a")])
@@ -244,7 +243,7 @@ def spacetime_labels(df: DataFrame, eps: float = 0.5, min_points: int = 5, secon
 def spacetime_clusters(
     df: DataFrame, eps: float = 0.5, min_points: int = 5, seconds: float | None = 259_200, burst_hours: float = 2.0, as_of=None
 ) -> DataFrame:
-    labelled = spacetime_labels(df, eps, min_points, seconds, as_of).filter(F.col("cluster_id").isNotNull())
+    labelled = cut_lineage(spacetime_labels(df, eps, min_points, seconds, as_of).filter(F.col("cluster_id").isNotNull()))
     spans = temporal_pattern(labelled, ["cluster_id"]).select("cluster_id", "duration_hours")
     return _with_radius(labelled, grade(labelled, ["cluster_id"]), "cluster_id").join(spans, "cluster_id").withColumn(
         "cluster_type", F.when(F.col("duration_hours") <= burst_hours, "burst_activity").otherwise("sustained_activity")

@@ -67,11 +67,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     that combines before the shuffle), and the number of rounds grows with the logarithm of the diameter.  Loops
     keep isolated vertices.  Every round is checkpointed.
     """
-    vertices = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
-    current = cut_lineage(
-        edges.filter(F.col("src") != F.col("dst"))
-        .select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()
-    )
+    pairs = cut_lineage(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    vertices = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    current = pairs.filter(F.col("a") != F.col("b"))
     mark = None
     for _ in range(max_rounds):
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
