@@ -46,3 +46,16 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         "-1L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role", f"'{said}' AS text"
     )
     return chat(rows.unionByName(extra))
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op4_token_output")
+def token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerwatch.llm.records import token_output
+
+    return token_output(table(spark, sf_dir, "documents"), tokenizer_path())
