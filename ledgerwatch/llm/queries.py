@@ -59,3 +59,17 @@ def token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerwatch.llm.records import token_output
 
     return token_output(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op8_warc", """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to
+FROM f
+""")
+def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerwatch.llm.warc import warc
+
+    return warc(table(spark, sf_dir, "pages"))
