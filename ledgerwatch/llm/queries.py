@@ -73,3 +73,11 @@ def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerwatch.llm.warc import warc
 
     return warc(table(spark, sf_dir, "pages"))
+
+
+@query("op6_quality")
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerwatch.llm.quality import quality, train
+
+    docs = table(spark, sf_dir, "documents")
+    return quality(docs, train(docs, table(spark, sf_dir, "labels")))
