@@ -81,3 +81,10 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return quality(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op10_decontamination")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerwatch.llm.decontaminate import find_overlaps
+
+    return find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
