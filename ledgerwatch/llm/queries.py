@@ -88,3 +88,10 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerwatch.llm.decontaminate import find_overlaps
 
     return find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_near_dedup")
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerwatch.llm.near_dedup import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "documents"), percent=85)
