@@ -95,3 +95,10 @@ def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerwatch.llm.near_dedup import near_dedup
 
     return near_dedup(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query("op2_lm_scoring")
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerwatch.llm.ngrams import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
