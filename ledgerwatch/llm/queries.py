@@ -102,3 +102,14 @@ def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerwatch.llm.ngrams import lm_scores
 
     return lm_scores(table(spark, sf_dir, "documents"))
+
+
+#: Shares of the expected tokens that op3 and the pipeline aim at.
+MIX, PIPELINE_MIX = {"clean": 0.90, "junk": 0.08, "toxic": 0.02}, {"clean": 0.98, "toxic": 0.02}
+
+
+@query("op3_mixing")
+def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerwatch.llm.mixing import label_domains, mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), MIX)
