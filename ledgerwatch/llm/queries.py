@@ -113,3 +113,10 @@ def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerwatch.llm.mixing import label_domains, mix_sources
 
     return mix_sources(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), MIX)
+
+
+@query("op1_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerwatch.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("starts", "ends")

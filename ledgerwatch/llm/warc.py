@@ -178,7 +178,7 @@ def read_archives(directory: DataFrame, base: str) -> DataFrame:
 
 
 def _find(base: str):
-    def run(key, urls: pa.Table, blocks: pa.Table) -> pa.Table:
+    def run(key: tuple, urls: pa.Table, blocks: pa.Table) -> pa.Table:
         blocks = blocks.sort_by([("first_key", "ascending"), ("at", "ascending")]).to_pydict()
         found: list[tuple] = []
         if blocks["archive"] and urls.num_rows:
