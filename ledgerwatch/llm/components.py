@@ -14,7 +14,8 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable over the undirected ``edges`` (u, v), for nodes with an edge.
+    """(node, component): the smallest node reachable over the undirected ``edges`` (u, v), for all nodes of an edge but the
+    smallest ones themselves.
 
     Each round hangs every node's larger neighbours, then its smaller ones, onto its smallest neighbour; the edges are
     combined before each shuffle and written once per round. It ends when a round changes nothing, which takes a number

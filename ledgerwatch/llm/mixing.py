@@ -1,6 +1,6 @@
 """Mixing to target weights by soft membership, in DataFrame functions only.
 
-A naive Bayes classifier over hashed words, learned from a labelled table, gives each document a probability for each
+A classifier over the words that tell most, learned from a labelled table, gives each document a probability for each
 domain. Document rates (expected copies, never negative) are fitted by projected gradient steps on the least squares of
 the domains' expected tokens against their targets. A step needs one sum per domain over all documents; a document's rate
 follows from its probabilities and the steps so far, so no state but the steps is carried from one to the next.
@@ -14,60 +14,100 @@ from pyspark.sql import functions as F
 
 from ledgerwatch.llm.common import materialize, prepare
 
-#: Hashed word classes, and the bound of labelled documents that the classifier learns from.
-BUCKETS, FIT_ROWS = 1 << 14, 20_000
-SMOOTHING = 0.1
+#: Classes that words are hashed to, and the bound of labelled documents that the classifier learns from.
+BUCKETS, FIT_ROWS = 1 << 16, 20_000
+#: Classes that get a weight: those whose share differs most between domains, by standard errors.
+WEIGHED, SMOOTHING = 512, 0.5
 #: A rate this close to a whole number counts as that number when copies are drawn.
 SNAP = 0.01
 
 
-def word_list(text: Column) -> Column:
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def lower(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+def word_count(text: Column) -> Column:
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
+
+
+def signs(text: Column) -> Column:
+    """The distinct classes of a text's words (runs of letters) and of its runs of marks."""
+    letters = F.split(lower(text), r"[\x00-\x60\x7B-\x7F]+")
+    marks = F.split(F.coalesce(text, F.lit("")), r"[\x00-\x20A-Za-z0-9\x7F-\x{10FFFF}]+")
+    return F.array_distinct(F.transform(F.array_distinct(F.concat(letters, marks)), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")))
 
 
 def constants(values) -> Column:
     """A constant array, written as one string so that the plan holds one literal."""
-    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+    return F.split(F.lit(",".join(f"{v:.4g}" for v in values)), ",").cast("array<double>")
 
 
 def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str, text_col: str, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Log prior by domain, and log likelihood by domain and bucket of a distinct word.
+    """Multinomial logistic regression on the classes of a text: a base by domain, and weights by domain and class.
 
     ``labelled`` (id, domain) is cut to ``fit_rows`` rows of the smallest hashed ids; of several labels of an id the first
-    by name counts. The driver gets a row per bucket. Without labelled words all domains are equally likely.
+    by name counts. The driver gets a row per class at most, and for each of the fitted texts the numbers of those of its
+    classes that get a weight. Without labelled texts all domains are equally likely.
     """
     chosen = (
         labelled.where(F.col("domain").isin(domains) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("label_id"))
         .agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("label_id"), "label_id").limit(fit_rows)
     )
     known = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "label_id")
+    known = materialize(known.select("domain", signs(F.col("text")).alias("own")), "mixing-fit")
     is_domain = [F.sum((F.col("domain") == d).cast("long")).alias(f"n{k}") for k, d in enumerate(domains)]
     counts = np.zeros((len(domains), BUCKETS))
-    found = known.select("domain", F.explode(F.array_distinct(word_list(F.col("text")))).alias("word")).groupBy(bucket(F.col("word")).alias("bucket")).agg(*is_domain)
-    for row in found.collect():
-        counts[:, row["bucket"]] = row[1:]
-    rows = known.agg(*is_domain).first()
-    prior = np.array([(n or 0) + 1.0 for n in rows])
-    return np.log(prior / prior.sum()), np.log((counts + SMOOTHING) / (counts.sum(1, keepdims=True) + SMOOTHING * BUCKETS))
-
-
-def posteriors(docs: DataFrame, prior: np.ndarray, likelihood: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+    for row in known.select("domain", F.explode("own").alias("sign")).groupBy("sign").agg(*is_domain).collect():
+        counts[:, row["sign"]] = row[1:]
+    texts = np.array([n or 0 for n in known.agg(*is_domain).first()], float)
+
+    def share(c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        yes = c + SMOOTHING
+        return np.log(yes / (n + 2 * SMOOTHING)), 1 / yes - 1 / (n + 2 * SMOOTHING)
+
+    own, own_error = share(counts, texts[:, None])
+    rest, rest_error = share(counts.sum(0) - counts, texts.sum() - texts[:, None])
+    apart = (np.abs(own - rest) / np.sqrt(own_error + rest_error)).max(0)
+    picked = np.sort(np.argsort(-apart, kind="stable")[:WEIGHED])
+    places = np.full(BUCKETS, -1)
+    places[picked] = np.arange(len(picked))
+    place = F.filter(F.transform("own", lambda s: F.get(constants(places), s)), lambda x: x >= 0)
+    rows = known.select("domain", place.alias("at")).orderBy("domain", F.hash("at")).collect()
+    x, y = np.zeros((len(rows), len(picked) + 1), np.float32), np.zeros((len(rows), len(domains)), np.float32)
+    x[:, -1] = 1
+    for i, row in enumerate(rows):
+        x[i, np.array(row["at"], int)] = 1
+        y[i, domains.index(row["domain"])] = 1
+    fitted = regression(x, y)
+    weights = np.zeros((len(domains), BUCKETS))
+    weights[:, picked] = fitted[:-1].T
+    return fitted[-1].astype(float), weights
+
+
+def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 200) -> np.ndarray:
+    """Multinomial logistic regression by accelerated gradient steps; rows of x against one-hot rows of y."""
+    w = old = np.zeros((x.shape[1], y.shape[1]), np.float32)
+    if not len(x):
+        return w
+    bound = 0.5 * np.linalg.norm(x.T @ x / len(x), 2) + ridge
+    for k in range(steps):
+        ahead = w + k / (k + 3) * (w - old)
+        z = x @ ahead
+        e = np.exp(z - z.max(1, keepdims=True))
+        old, w = w, ahead - (x.T @ (e / e.sum(1, keepdims=True) - y) / len(x) + ridge * ahead) / np.float32(bound)
+    return w
+
+
+def posteriors(docs: DataFrame, base: np.ndarray, weights: np.ndarray, id_col: str, text_col: str) -> DataFrame:
     """doc_id, tie, n_tokens, p (array by domain) of every row."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("tie"), word_list(F.col(text_col)).alias("words"))
-    hashed = base.select("doc_id", "tie", F.size("words").cast("long").alias("n_tokens"), F.transform(F.array_distinct("words"), bucket).alias("own"))
-    # against the first domain: one sum less, and the same probabilities
+    text = F.col(text_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("tie"), word_count(text).alias("n_tokens"), signs(text).alias("own"))
 
-    def odds_of(k: int) -> Column:
-        table = constants(likelihood[k] - likelihood[0])
-        return F.aggregate("own", F.lit(float(prior[k] - prior[0])), lambda total, b: total + F.get(table, b))
+    def sum_of(k: int) -> Column:
+        table = constants(weights[k])
+        return F.aggregate("own", F.lit(float(base[k])), lambda total, b: total + F.get(table, b))
 
-    odds = [F.lit(0.0), *(odds_of(k) for k in range(1, len(prior)))]
-    log = hashed.select("doc_id", "tie", "n_tokens", F.array(*odds).alias("log"))
+    log = texts.select("doc_id", "tie", "n_tokens", F.array(*(sum_of(k) for k in range(len(base)))).alias("log"))
     powers = log.select("doc_id", "tie", "n_tokens", F.transform("log", lambda x: F.exp(x - F.array_max("log"))).alias("e"))
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
     return powers.select("doc_id", "tie", "n_tokens", F.transform("e", lambda x: x / total).alias("p"))
@@ -124,13 +164,13 @@ def mix_sources(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
 
     ``labelled`` has the id and a column domain; ``targets`` the weight of each domain among the expected tokens. The
     whole part of a rate is taken as copies, and one more where a hash of the row falls below the rest (``tie`` is a hash
-    of the row too, for joining back; equal rows fall alike). Null and empty texts have no tokens, the prior as membership,
+    of the row too, for joining back; equal rows fall alike). Null and empty texts have no tokens, the base as membership,
     and a rate like others. Labels out of ``targets`` and null labels are not used. Extra columns are not read.
     """
     prepare(docs.sparkSession)
     domains = sorted(targets)
-    prior, likelihood = classifier(docs, labelled, domains, id_col, text_col)
-    known = materialize(posteriors(docs, prior, likelihood, id_col, text_col), "mixing-members")
+    base, weights = classifier(docs, labelled, domains, id_col, text_col)
+    known = materialize(posteriors(docs, base, weights, id_col, text_col), "mixing-members")
     steps, _, _ = fit_rates(known, [targets[d] for d in domains], None if keep is None else domains.index(keep))
     rate = known.withColumn("rate", rate_of(steps, len(domains)))
     snapped = F.when(F.abs(F.col("rate") - F.round("rate")) <= SNAP, F.round("rate")).otherwise(F.col("rate"))
