@@ -48,7 +48,7 @@ def _rows(rows: list[tuple[str, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=["kind", "place", "source", "block"])
 
 
-def _chunks(base: str):
+def _chunks(base: str, chunk_bytes: int):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, rows = None, []
         for batch in stream:
@@ -56,7 +56,7 @@ def _chunks(base: str):
             data, offsets = joined(batch[1])
             a = 0
             while a < len(ids):
-                b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK, "right")) - 1)
+                b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + chunk_bytes, "right")) - 1)
                 b = min(b, len(ids))
                 if out is None:
                     out = SharedFile(base, "chunks")
@@ -173,14 +173,14 @@ def _send_anchors(base: str, count: int):
     return run
 
 
-def _reply_anchors(table: pa.Table) -> pa.Table:
+def _reply_anchors(table: pa.Table, most: int) -> pa.Table:
     """For each chunk of a bucket: which of the anchors it sent are shared, and which of those are crowded."""
     sources, parts = table["source"].to_pylist(), [unpack(b) for b in table["block"].to_pylist()]
     values = [np.cumsum(v, dtype=np.uint64) for v, _ in parts]
     together, docs = np.concatenate(values), np.concatenate([d for _, d in parts]).astype(np.int64)
     some, back = np.unique(together, return_inverse=True)
     total = np.bincount(back, docs, minlength=len(some))
-    bits = ((total > 1).astype(np.uint8) + (total > CROWDED))[back]
+    bits = ((total > 1).astype(np.uint8) + (total > most))[back]
     ends = np.cumsum([len(v) for v in values])
     bucket = table["place"][0].as_py()
     return pa.Table.from_batches([_rows([("shared", s, bucket, pack(bits[e - len(v): e])) for s, v, e in zip(sources, values, ends) if bits[e - len(v): e].any()])])
@@ -344,20 +344,25 @@ def _mark(base: str, count: int):
     return run
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK, crowded: int = CROWDED) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends of every row of ``docs``.
 
     A byte of a text (UTF-8) is removed if a string of LENGTH bytes covers it that also starts in a row with a smaller id;
     all strings are judged on the input. Rows that share an id remove nothing from each other; a null id ranks after all
     others. Null texts are empty, texts of less than LENGTH bytes stay whole. ``starts`` and ``ends`` are the byte ranges
-    of the maximal removed runs. Only the two named columns are read. An empty table gives no rows.
+    of the maximal removed runs. ``chunk_bytes`` and ``crowded`` (the documents from which on an anchor's strings are dealt
+    out one by one) change how the work is cut up, not the result. Only the two named columns are read. An empty table gives no rows.
     """
     spark = prepare(docs.sparkSession)
     base, count = folder(spark, "suffix-chunks"), partitions(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col).alias("text"))
-    chunks = materialize(texts.mapInArrow(_chunks(base), SENT), "suffix-manifest")
+    chunks = materialize(texts.mapInArrow(_chunks(base, chunk_bytes), SENT), "suffix-manifest")
     dealt = chunks.repartition(count)
-    shared = materialize(dealt.mapInArrow(_send_anchors(base, count), SENT).groupBy("place").applyInArrow(_reply_anchors, SENT), "suffix-shared")
+
+    def reply(bucket: pa.Table) -> pa.Table:
+        return _reply_anchors(bucket, crowded)
+
+    shared = materialize(dealt.mapInArrow(_send_anchors(base, count), SENT).groupBy("place").applyInArrow(reply, SENT), "suffix-shared")
     told = chunks.unionByName(shared)
     least = materialize(told.groupBy("place").applyInArrow(_send_records(base, count), SENT).groupBy("place").applyInArrow(_sort_bucket, SENT), "suffix-least")
     return told.unionByName(least).groupBy("place").applyInArrow(_mark(base, count), REMOVED)
