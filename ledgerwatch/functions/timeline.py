@@ -2,7 +2,8 @@
 
 A plain ``Window.partitionBy(key)`` sorts all rows of a key in one task, so a key that holds a large share of the
 table decides the run time.  Every helper here first counts the rows per key (one narrow column, combined map-side)
-and fetches the keys with at least ``hot_rows`` rows; a table of n rows has at most n / hot_rows of them.
+and fetches the keys with at least ``hot_rows`` rows, the MOST_HOT largest of them.  Which plan a key gets changes
+nothing about its values: sums that a hot key takes as differences are carried as decimals, which lose nothing.
 
 * No hot key: the helper is an ordinary window over one shuffle.
 * Hot keys: only those are cut into slices of their order.  Work runs per (key, slice); what must cross a slice border
@@ -21,6 +22,10 @@ from pyspark.sql import functions as F
 from ledgerwatch.session import cut_lineage
 
 HOT_ROWS = 1_000_000
+#: Hot keys are listed on the driver and broadcast: at most so many, whatever the size of the table.
+MOST_HOT = 10_000
+#: Decimals that take part in running sums: places kept of a double, and the digits of a sum.
+EXACT, WIDE = "decimal(30,10)", "decimal(38,10)"
 SLICE_SECONDS = 3_600
 BLOCK_ROWS = 200_000
 
@@ -44,7 +49,8 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 def list_hot_keys(df: DataFrame, key, hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """The keys with at least ``hot_rows`` rows as a small local table, or None."""
     keys = _names(key)
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= hot_rows).select(*keys)
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= hot_rows)
+    counted = counted.orderBy(F.desc("_n"), *keys).limit(MOST_HOT).select(*keys)
     rows = counted.collect()
     return df.sparkSession.createDataFrame(rows, counted.schema) if rows else None
 
@@ -235,9 +241,12 @@ def trailing_sums(
     result columns are named ``{measure}_{label}``.  Ordinary keys use Spark's range frame.  For hot keys that frame
     would be re-added for every row, so they take differences of running sums instead: each row asks for the running
     sum at the two ends of its range, the questions join the same ordered pass as the rows, and the answers meet
-    again by ``row_id``.
+    again by ``row_id``.  Doubles are summed as decimals of ten places there, so that a difference is exact however
+    large the sums before it are.
     """
     keys = _names(key)
+    kinds = dict(df.select(*[c.alias(m) for m, c in measures.items()]).dtypes)
+    floats = {m for m, kind in kinds.items() if kind in ("double", "float")}
     names = [f"{m}_{s}" for s in spans for m in measures]
     timed = df.withColumn("_us", micros)
 
@@ -276,7 +285,10 @@ def trailing_sums(
         F.col("_ask.ask").alias("_ask"),
         (F.col("_base") + F.col("_ask.shift")).alias("_at"),
         F.when(own, F.col("_row")).alias("_row"),
-        *[F.when(own, F.col(f"_m_{m}")).alias(f"_m_{m}") for m in measures],
+        *[
+            F.when(own, F.col(f"_m_{m}").cast(EXACT) if m in floats else F.col(f"_m_{m}")).alias(f"_m_{m}")
+            for m in measures
+        ],
     )
     summed = running_sums(
         points, keys, F.col("_at"), {f"_s_{m}": F.col(f"_m_{m}") for m in measures},
@@ -294,7 +306,7 @@ def trailing_sums(
     warm = answers.select(
         *[F.col(f"_row.{c}").alias(c) for c in df.columns],
         *[
-            (F.col(f"_e{index[hi]}_{m}") - F.col(f"_e{index[lo - 1]}_{m}")).alias(f"{m}_{s}")
+            _difference(F.col(f"_e{index[hi]}_{m}"), F.col(f"_e{index[lo - 1]}_{m}"), m in floats).alias(f"{m}_{s}")
             for s, (lo, hi) in spans.items()
             for m in measures
         ],
@@ -302,6 +314,10 @@ def trailing_sums(
     return framed(marked.filter(~F.col(HOT))).unionByName(warm).select(*df.columns, *names)
 
 
+def _difference(end: Column, before: Column, as_double: bool) -> Column:
+    return (end.cast(WIDE) - before.cast(WIDE)).cast("double") if as_double else end - before
+
+
 def distinct_trailing(
     df: DataFrame, key, item: str, micros: Column, row_id: str, span: int, name: str, hot_rows=HOT_ROWS,
     slice_seconds: int = SLICE_SECONDS,

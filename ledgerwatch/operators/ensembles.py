@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,9 +118,9 @@ def top_models(scores: Column, weights: dict[str, float], k: int = 3) -> Column:
 def risk_messages(scores: Column) -> Column:
     values = F.map_values(scores)
     return present(
-        (agreement(scores) < 0.5, "Low model agreement - conflicting signals"),
-        (_mean(F.transform(values, confidence_of)) < 0.6, "Low prediction confidence"),
-        (F.size(F.filter(values, lambda p: p > 0.7)) > F.size(values) / 2, "Majority of models indicate high fraud risk"),
+        (agreement(scores) < 0.5, "models disagree"),
+        (_mean(F.transform(values, confidence_of)) < 0.6, "models are unsure"),
+        (F.size(F.filter(values, lambda p: p > 0.7)) > F.size(values) / 2, "most models see a high risk"),
     )
 
 
@@ -129,14 +131,24 @@ def weighted_importance(importance: DataFrame, weights: dict[str, float]) -> Dat
     )
 
 
+def _newest(performance: DataFrame, rows: int, row_id: str) -> DataFrame:
+    return tl.top_rows(performance, "model_name", [F.desc("ts"), F.desc(row_id)], rows, F.col(row_id), rank="_r")
+
+
 def decayed_weights(
-    performance: DataFrame, decay: float = 0.95, floor: float = 0.05, cap: float = 0.5, rows: int = 800, row_id: str = "evaluation_id"
+    performance: DataFrame, decay: float = 0.95, floor: float = 0.05, cap: float = 0.5, row_id: str = "evaluation_id"
 ) -> DataFrame:
     """Model weights from performance values, newest first.
 
-    Only the last ``rows`` values of a model are read: the weight of older ones is below the precision of a double.
+    Values whose weight is below 1e-18 of the newest one's are not read: how many rows that leaves follows from ``decay``,
+    and without decay all rows count.
     """
-    recent = tl.top_rows(performance, "model_name", [F.desc("ts"), F.desc(row_id)], rows, F.col(row_id), rank="_r")
+    if not 0 < decay <= 1:
+        raise ValueError("decay lies above 0 and at most at 1")
+    if decay == 1:
+        recent = performance.withColumn("_r", F.lit(1))
+    else:
+        recent = _newest(performance, math.ceil(math.log(1e-18) / math.log(decay)), row_id)
     w = F.pow(F.lit(decay), F.col("_r") - 1)
     means = recent.groupBy("model_name").agg((F.sum(F.col("value") * w) / F.sum(w)).alias("_m"))
     floored = means.withColumn("_m", F.greatest(F.col("_m"), F.lit(floor)))
@@ -176,7 +188,7 @@ def explanation_summary(contributions: DataFrame, row_id: str = "transaction_id"
     )
     return base.select(
         row_id, "positive_contribution", "negative_contribution", (F.col("positive_contribution") + F.col("negative_contribution")).alias("net_contribution"),
-        first["feature"].alias("top_feature"), F.when(first["v"] > 0, "increases fraud risk").otherwise("decreases fraud risk").alias("impact"),
+        first["feature"].alias("top_feature"), F.when(first["v"] > 0, "raises the score").otherwise("lowers the score").alias("impact"),
         F.transform(F.slice("_l", 1, k), lambda e: F.struct(e["feature"].alias("feature"), e["v"].alias("contribution"))).alias("top_features"),
         sentence.alias("explanation"),
     )

@@ -191,12 +191,13 @@ def dbscan_clusters(df: DataFrame, eps_km: float = 0.5, min_points: int = 5, sec
 
 def hotspots(
     df: DataFrame, min_score: float = 0.7, km: float = 2.0, min_count: int = 5, seconds: float | None = 172_800, as_of=None,
-    max_rounds: int = 100,
+    max_rounds: int = 1000,
 ) -> DataFrame:
     """Leaders of dense risky neighbourhoods with the figures of everything within ``km``.
 
     The places with the most neighbours lead first (ties: smallest coordinates); a place in the reach of a leader
-    does not lead.  Each round settles every place that beats all open places around it.
+    does not lead.  Each round settles every place that beats all open places around it; raises when ``max_rounds`` do not
+    suffice.
     """
     risky = since(df, seconds, as_of).filter(F.col("fraud_score") >= min_score)
     spots = cut_lineage(
@@ -227,6 +228,8 @@ def hotspots(
         open_places = cut_lineage(open_places.join(covered, ["latitude", "longitude"], "left_anti"))
         if open_places.isEmpty():
             break
+    else:
+        raise RuntimeError(f"places are still open after {max_rounds} rounds")
     return leaders.join(dense, ["latitude", "longitude"]).withColumn("risk_level", F.lit("high"))
 
 

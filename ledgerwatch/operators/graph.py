@@ -60,12 +60,12 @@ def build_graph(df: DataFrame, users: DataFrame | None = None) -> tuple[DataFram
 
 # ---- components -----------------------------------------------------------------------------
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Component of every vertex in ``edges(src, dst)``: the smallest vertex id in reach.
 
     Alternating large-star and small-star rounds: each vertex only needs the minimum of its neighbours (an aggregate
     that combines before the shuffle), and the number of rounds grows with the logarithm of the diameter.  Loops
-    keep isolated vertices.  Every round is checkpointed.
+    keep isolated vertices.  Every round is checkpointed.  Raises when ``max_rounds`` do not suffice.
     """
     pairs = cut_lineage(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
     vertices = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -85,6 +85,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     return vertices.join(current.select(F.col("a").alias("id"), F.col("b").alias("component")), "id", "left").select(
         "id", F.coalesce("component", "id").alias("component")
     )
@@ -267,9 +269,12 @@ def undirected(edges: DataFrame, weight: Column | None = None) -> DataFrame:
 
 
 def entity_network(
-    edges: DataFrame, start: DataFrame, depth: int = 2, min_strength: float | None = None, cap: int | None = 1000
+    edges: DataFrame, start: DataFrame, depth: int = 2, min_strength: float | None = None, cap: int | None = None
 ) -> DataFrame:
-    """Edges within ``depth`` hops of the start vertices ``(id)``, with the hop at which they are reached."""
+    """Edges within ``depth`` hops of the start vertices ``(id)``, with the hop at which they are reached.
+
+    ``cap`` limits the result to the nearest edges, for a display.
+    """
     graph = edges
     if min_strength is not None:
         strong = relationship_strength(edges).filter(F.col("strength") >= min_strength).drop("strength")

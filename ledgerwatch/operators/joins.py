@@ -288,14 +288,19 @@ def cluster_join(df: DataFrame, clusters: DataFrame, reach: float = 1.0) -> Data
     """Rows and the clusters whose centre is within ``reach`` times the cluster radius.
 
     ``clusters``: cluster_id, cluster_lat, cluster_lon, radius_km, cluster_level, confidence.  A cluster is put on the
-    cells of the smallest size class that holds its radius, a row on its own cell of every class: one scan and one
-    equi-join whatever the mix of radii.
+    cells of the smallest size class that holds its radius, a row on its own cell of every class in use: one scan and one
+    equi-join whatever the mix of radii.  Which of the few classes are in use is asked of the clusters first.
     """
     size = F.col("radius_km") * reach
     kind, spread, own = F.lit(len(RADIUS_CLASSES) - 1), None, []
     for i, km in reversed(list(enumerate(RADIUS_CLASSES))):
         kind = F.when(size <= km, F.lit(i)).otherwise(kind)
+    used = {r[0] for r in clusters.select(kind.alias("c")).distinct().collect()}
+    if not used:
+        used = {0}
     for i, km in enumerate(RADIUS_CLASSES):
+        if i not in used:
+            continue
         cells = radius_reach("cluster_lat", "cluster_lon", km)
         spread = F.when(F.col("_class") == i, cells) if spread is None else spread.when(F.col("_class") == i, cells)
         at = radius_cells("latitude", "longitude", km)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import math
 from collections.abc import Sequence
 
@@ -111,12 +113,12 @@ def search(
     scored = per_doc.filter(any_hit).select(doc_id, score.alias("score"))
     order = list(sort) if sort else [F.desc("score"), F.col(doc_id)]
     page = scored.orderBy(*order).offset(offset).limit(k)
-    return docs.join(F.broadcast(page) if k <= 10_000 else page, doc_id)
+    return docs.join(page, doc_id)
 
 
 def highlight(text: Column, query: Sequence[str], before: str = "<em>", after: str = "</em>") -> Column:
     """The text with every whole query word marked (case-insensitive)."""
-    choices = "|".join(sorted(query, key=len, reverse=True))
+    choices = "|".join(re.escape(w) for w in sorted(query, key=len, reverse=True))
     return F.regexp_replace(text, rf"(?i)(?<![\p{{L}}\p{{N}}])({choices})(?![\p{{L}}\p{{N}}])", f"{before}$1{after}")
 
 

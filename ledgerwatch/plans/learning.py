@@ -153,8 +153,8 @@ def ml_11(t):
 
 @query("ML-12", uses="tx pred", rounded="first_contribution", sql=f"""
 SELECT transaction_id, (SELECT string_agg(n, '>' ORDER BY c DESC, n) FROM (VALUES ('forest', m1 * 0.5e0), ('linear', m2 * 0.2e0), ('boosted', m3 * 0.3e0)) v(n, c)) AS models, GREATEST(m1 * 0.5e0, m2 * 0.2e0, m3 * 0.3e0) AS first_contribution,
-  concat_ws('|', CASE WHEN GREATEST(0, 1 - {_pop('m1', 'm2', 'm3')} * 2) < 0.5 THEN 'Low model agreement - conflicting signals' END, CASE WHEN ({C1} + {C2} + {C3}) / 3 < 0.6 THEN 'Low prediction confidence' END,
-   CASE WHEN CAST(m1 > 0.7 AS INTEGER) + CAST(m2 > 0.7 AS INTEGER) + CAST(m3 > 0.7 AS INTEGER) > 1.5 THEN 'Majority of models indicate high fraud risk' END) AS messages FROM pred
+  concat_ws('|', CASE WHEN GREATEST(0, 1 - {_pop('m1', 'm2', 'm3')} * 2) < 0.5 THEN 'models disagree' END, CASE WHEN ({C1} + {C2} + {C3}) / 3 < 0.6 THEN 'models are unsure' END,
+   CASE WHEN CAST(m1 > 0.7 AS INTEGER) + CAST(m2 > 0.7 AS INTEGER) + CAST(m3 > 0.7 AS INTEGER) > 1.5 THEN 'most models see a high risk' END) AS messages FROM pred
 """)
 def ml_12(t):
     s = F.col("scores")
@@ -238,7 +238,7 @@ SELECT transaction_id, 0.0001e0 * (amount - (SELECT AVG(amount) FROM tx)) AS a,
 @query("ML-18", uses="tx contrib", rounded="positive_contribution negative_contribution net_contribution", sql="""
 SELECT transaction_id, GREATEST(a, 0) + GREATEST(f, 0) + GREATEST(p, 0) AS positive_contribution, LEAST(a, 0) + LEAST(f, 0) + LEAST(p, 0) AS negative_contribution, a + f + p AS net_contribution,
   CASE WHEN abs(a) >= abs(f) AND abs(a) >= abs(p) THEN 'amount' WHEN abs(f) >= abs(p) THEN 'fraud_score' ELSE 'processing_time_ms' END AS top_feature,
-  CASE WHEN CASE WHEN abs(a) >= abs(f) AND abs(a) >= abs(p) THEN a WHEN abs(f) >= abs(p) THEN f ELSE p END > 0 THEN 'increases fraud risk' ELSE 'decreases fraud risk' END AS impact FROM contrib
+  CASE WHEN CASE WHEN abs(a) >= abs(f) AND abs(a) >= abs(p) THEN a WHEN abs(f) >= abs(p) THEN f ELSE p END > 0 THEN 'raises the score' ELSE 'lowers the score' END AS impact FROM contrib
 """)
 def ml_18(t):
     return en.explanation_summary(en.linear_attribution(t.tx_slim, LINEAR)).drop("top_features", "explanation")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -90,9 +91,13 @@ def _sorted_rows(batches, columns):
 def user_velocity_stream(
     events: DataFrame, watermark: str = "1 minute", seconds: int = 300, min_count: int = 5, rows: int = 100, expiry: str = "30 minutes"
 ) -> DataFrame:
-    """Alerts of users with many transactions in a short time; state is the user's last ``rows`` events and expires."""
+    """Alerts of users with many transactions in a short time.
+
+    State is the user's last ``rows`` events, in order, so that an event which arrives late within the watermark takes its
+    place among them; it is kept for ``expiry`` and never for less than ``seconds``.
+    """
     span = seconds * 1_000_000
-    keep_ms = _milliseconds(expiry)
+    keep_ms = max(_milliseconds(expiry), seconds * 1000)
     schema = "transaction_id string, user_id long, transaction_count long, total_amount double, unique_merchants long"
 
     def detect(key, batches, state: GroupState):
@@ -101,17 +106,19 @@ def user_velocity_stream(
         if state.hasTimedOut:
             state.remove()
             return
-        past = list(zip(*state.get)) if state.exists else []
-        out = []
         frame = _sorted_rows(batches, ["us", "transaction_id"])
-        for us, tid, amount, merchant in zip(frame["us"], frame["transaction_id"], frame["amount"], frame["merchant_id"]):
-            past.append((int(us), float(amount), str(merchant)))
-            del past[:-rows]
-            near = [p for p in past if p[0] >= us - span]
-            if len(near) >= min_count:
-                out.append((tid, int(key[0]), len(near), sum(p[1] for p in near), len({p[2] for p in near})))
-        state.update(([p[0] for p in past], [p[1] for p in past], [p[2] for p in past]))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), past[-1][0] // 1000) + keep_ms)
+        old = pd.DataFrame(dict(zip(["us", "amount", "merchant_id", "transaction_id"], state.get if state.exists else [[], [], [], []])))
+        both = pd.concat([old.assign(new=False), frame[list(old.columns)].assign(new=True)]).sort_values(["us", "transaction_id"], kind="stable")
+        us = both["us"].to_numpy("int64")
+        first = np.maximum(np.searchsorted(us, us - span, "left"), np.arange(len(us)) - rows + 1)
+        counts = np.arange(len(us)) + 1 - first
+        sums = np.concatenate([[0.0], np.cumsum(both["amount"].to_numpy("float64"))])
+        hit = np.flatnonzero(both["new"].to_numpy(bool) & (counts >= min_count))
+        merchants, ids = both["merchant_id"].to_numpy(object), both["transaction_id"].to_numpy(object)
+        out = [(ids[i], int(key[0]), int(counts[i]), sums[i + 1] - sums[first[i]], len(set(merchants[first[i]: i + 1]))) for i in hit]
+        kept = both.tail(rows)
+        state.update((kept["us"].tolist(), kept["amount"].tolist(), kept["merchant_id"].tolist(), kept["transaction_id"].tolist()))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(us[-1]) // 1000) + keep_ms)
         if out:
             yield pd.DataFrame(out, columns=["transaction_id", "user_id", "transaction_count", "total_amount", "unique_merchants"])
 
@@ -119,7 +126,7 @@ def user_velocity_stream(
         "user_id", "ts", micros("ts").alias("us"), "transaction_id", "amount", F.col("merchant_id").cast("string").alias("merchant_id")
     )
     return keyed.groupBy("user_id").applyInPandasWithState(
-        detect, schema, "us array<long>, amount array<double>, merchant array<string>", "append", GroupStateTimeout.EventTimeTimeout
+        detect, schema, "us array<long>, amount array<double>, merchant array<string>, id array<string>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -167,35 +174,22 @@ def merchant_anomaly_stream(
 
 
 def expiring_counters(events: DataFrame, watermark: str = "1 minute", idle: str = "30 minutes") -> DataFrame:
-    """Event count per user; a counter is emitted and dropped once its user has been idle in event time."""
-    idle_ms = _milliseconds(idle)
-
-    def count(key, batches, state: GroupState):
-        import pandas as pd
+    """Event count of each user's sessions; a counter is emitted and dropped once its user has been idle in event time.
 
-        if state.hasTimedOut:
-            total, first, last = state.get
-            state.remove()
-            yield pd.DataFrame({"user_id": [int(key[0])], "events": [total], "first_us": [first], "last_us": [last]})
-            return
-        total, first, last = state.get if state.exists else (0, None, None)
-        for frame in batches:
-            total += len(frame)
-            low, high = int(frame["us"].min()), int(frame["us"].max())
-            first = low if first is None else min(first, low)
-            last = high if last is None else max(last, high)
-        state.update((total, first, last))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), last // 1000) + idle_ms)
-
-    keyed = events.withWatermark("ts", watermark).select("user_id", "ts", micros("ts").alias("us"))
-    return keyed.groupBy("user_id").applyInPandasWithState(
-        count, "user_id long, events long, first_us long, last_us long", "events long, first_us long, last_us long", "append",
-        GroupStateTimeout.EventTimeTimeout,
+    A session window: however the events are cut into batches, a gap longer than ``idle`` begins a new counter.
+    """
+    window = F.session_window("ts", idle)
+    counted = events.withWatermark("ts", watermark).withColumn("us", micros("ts")).groupBy("user_id", window.alias("w")).agg(
+        F.count(F.lit(1)).alias("events"), F.min("us").alias("first_us"), F.max("us").alias("last_us")
     )
+    return counted.select("user_id", "events", "first_us", "last_us")
 
 
 def running_features_stream(events: DataFrame, watermark: str = "1 minute", seconds: int = 3600) -> DataFrame:
-    """Every event with the user's count and amount in the last ``seconds`` (the event itself included)."""
+    """Every event with the user's count and amount in the last ``seconds`` (the event itself included).
+
+    State is kept for ``seconds`` behind the newest event, in order, so that late events within it find their place.
+    """
     span = seconds * 1_000_000
     schema = "transaction_id string, user_id long, merchant_id long, amount double, ts timestamp, recent_count long, recent_amount double"
 
@@ -205,21 +199,17 @@ def running_features_stream(events: DataFrame, watermark: str = "1 minute", seco
         if state.hasTimedOut:
             state.remove()
             return
-        past = list(zip(*state.get)) if state.exists else []
-        counts, sums = [], []
         frame = _sorted_rows(batches, ["us", "transaction_id"])
-        times = [p[0] for p in past] + [int(u) for u in frame["us"]]
-        amounts = [p[1] for p in past] + [float(a) for a in frame["amount"]]
-        start, total, at = 0, sum(amounts[: len(past)]), len(past)
-        for at in range(len(past), len(times)):
-            total += amounts[at]
-            while times[start] <= times[at] - span:
-                total -= amounts[start]
-                start += 1
-            counts.append(at - start + 1)
-            sums.append(total)
-        state.update((times[start:], amounts[start:]))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), times[-1] // 1000) + seconds * 1000)
+        old = pd.DataFrame(dict(zip(["us", "amount", "transaction_id"], state.get if state.exists else [[], [], []])))
+        both = pd.concat([old.assign(new=False), frame[list(old.columns)].assign(new=True)]).sort_values(["us", "transaction_id"], kind="stable")
+        us, mine = both["us"].to_numpy("int64"), both["new"].to_numpy(bool)
+        first = np.searchsorted(us, us - span, "right")
+        total = np.concatenate([[0.0], np.cumsum(both["amount"].to_numpy("float64"))])
+        counts = (np.arange(len(us)) + 1 - first)[mine]
+        sums = (total[1:] - total[first])[mine]
+        kept = both[us > us[-1] - 2 * span]
+        state.update((kept["us"].tolist(), kept["amount"].tolist(), kept["transaction_id"].tolist()))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(us[-1]) // 1000) + seconds * 1000)
         yield pd.DataFrame(
             {
                 "transaction_id": frame["transaction_id"], "user_id": int(key[0]), "merchant_id": frame["merchant_id"],
@@ -229,7 +219,7 @@ def running_features_stream(events: DataFrame, watermark: str = "1 minute", seco
 
     keyed = events.withWatermark("ts", watermark).select("user_id", "ts", micros("ts").alias("us"), "transaction_id", "merchant_id", "amount")
     return keyed.groupBy("user_id").applyInPandasWithState(
-        extend, schema, "us array<long>, amount array<double>", "append", GroupStateTimeout.EventTimeTimeout
+        extend, schema, "us array<long>, amount array<double>, id array<string>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -277,7 +267,11 @@ def retry_ledger(bad: DataFrame, attempts: DataFrame | None = None, max_retries:
 
 
 def progress_table(spark: SparkSession, query) -> DataFrame:
-    """Progress records of a streaming query as rows: a handful per run, kept by Spark itself."""
+    """Progress records of a streaming query as rows: a handful per run, kept by Spark itself.
+
+    Raises when the run may have had more batches than Spark keeps (spark.sql.streaming.numRecentProgressUpdates).
+    """
+    _all_kept(spark, query)
     rows = [
         (p.batchId, int(p.numInputRows), float(p.processedRowsPerSecond or 0.0), float(p.durationMs.get("triggerExecution", 0)))
         for p in query.recentProgress
@@ -290,11 +284,19 @@ def run_metrics(progress: DataFrame) -> DataFrame:
     return progress.agg(
         F.sum("input_rows").alias("events_processed"), F.avg("rows_per_second").alias("throughput"),
         F.avg("latency_ms").alias("latency_mean_ms"), F.percentile("latency_ms", 0.95).alias("latency_p95_ms"),
+        F.min("latency_ms").alias("latency_min_ms"), F.max("latency_ms").alias("latency_max_ms"),
     )
 
 
+def _all_kept(spark: SparkSession, query) -> None:
+    kept = int(spark.conf.get("spark.sql.streaming.numRecentProgressUpdates"))
+    if len(query.recentProgress) >= kept:
+        raise ValueError(f"only the last {kept} batches are known; raise spark.sql.streaming.numRecentProgressUpdates")
+
+
 def late_rows(query) -> int:
-    """Rows a finished query dropped behind its watermark."""
+    """Rows a finished query dropped behind its watermark; raises as progress_table() does."""
+    _all_kept(SparkSession.active(), query)
     return sum(int(s.numRowsDroppedByWatermark) for p in query.recentProgress for s in p.stateOperators)
 
 

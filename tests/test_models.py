@@ -148,7 +148,7 @@ def test_explanations(spark):
     rows = [("t", "first", "x", 0.5), ("t", "first", "y", -0.2), ("t", "first", "z", 0.001), ("t", "second", "y", -0.4), ("t", "second", "x", 0.1)]
     df = spark.createDataFrame(rows, "transaction_id string, model_name string, feature string, contribution double")
     row = en.explanation_summary(df.filter("model_name = 'first'")).first()
-    assert (row.top_feature, row.impact) == ("x", "increases fraud risk")
+    assert (row.top_feature, row.impact) == ("x", "raises the score")
     assert row.explanation == "Risk raised by x. Risk lowered by y" and row.net_contribution == pytest.approx(0.301)
     agreed = en.consensus(df, top=2).first()
     assert agreed.consensus_features == ["x", "y"] and agreed.agreement_score == 1.0
