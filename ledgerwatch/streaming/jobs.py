@@ -88,6 +88,17 @@ def _sorted_rows(batches, columns):
     return frame.sort_values(columns)
 
 
+def _with_past(frame, state: GroupState, columns: list[str]):
+    """The rows kept in the state (one array per column) and those of the batch, in order; ``new`` tells them apart."""
+    import pandas as pd
+
+    now = frame[columns].assign(new=True)
+    if not state.exists:
+        return now
+    past = pd.DataFrame({c: list(v) for c, v in zip(columns, state.get)}).assign(new=False)
+    return pd.concat([past, now]).sort_values(["us", "transaction_id"], kind="stable")
+
+
 def user_velocity_stream(
     events: DataFrame, watermark: str = "1 minute", seconds: int = 300, min_count: int = 5, rows: int = 100, expiry: str = "30 minutes"
 ) -> DataFrame:
@@ -107,8 +118,7 @@ def user_velocity_stream(
             state.remove()
             return
         frame = _sorted_rows(batches, ["us", "transaction_id"])
-        old = pd.DataFrame(dict(zip(["us", "amount", "merchant_id", "transaction_id"], state.get if state.exists else [[], [], [], []])))
-        both = pd.concat([old.assign(new=False), frame[list(old.columns)].assign(new=True)]).sort_values(["us", "transaction_id"], kind="stable")
+        both = _with_past(frame, state, ["us", "amount", "merchant_id", "transaction_id"])
         us = both["us"].to_numpy("int64")
         first = np.maximum(np.searchsorted(us, us - span, "left"), np.arange(len(us)) - rows + 1)
         counts = np.arange(len(us)) + 1 - first
@@ -200,8 +210,7 @@ def running_features_stream(events: DataFrame, watermark: str = "1 minute", seco
             state.remove()
             return
         frame = _sorted_rows(batches, ["us", "transaction_id"])
-        old = pd.DataFrame(dict(zip(["us", "amount", "transaction_id"], state.get if state.exists else [[], [], []])))
-        both = pd.concat([old.assign(new=False), frame[list(old.columns)].assign(new=True)]).sort_values(["us", "transaction_id"], kind="stable")
+        both = _with_past(frame, state, ["us", "amount", "transaction_id"])
         us, mine = both["us"].to_numpy("int64"), both["new"].to_numpy(bool)
         first = np.searchsorted(us, us - span, "right")
         total = np.concatenate([[0.0], np.cumsum(both["amount"].to_numpy("float64"))])

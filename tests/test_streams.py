@@ -158,3 +158,32 @@ def test_sessions_match_brute_force(spark, batches, table):
     columns = ["user_id", "window_start", "window_end", "event_count", "unique_merchants"]
     assert rows(got, *columns) == sorted(expected)
     assert rows(got.filter(F.col("window_end") < F.lit(border)), *columns) == sorted(e for e in expected if e[2] < border)
+
+
+def test_detectors_do_not_depend_on_batch_borders(spark, tmp_path):
+    """The same events in one file and in many: equal results, over idle times longer than the default expiry."""
+    rng = np.random.RandomState(3)
+    at = sorted(rng.choice(40_000, 60, replace=False).tolist())
+    events = [(f"e{i:03d}", i % 3, i % 2, float(i), T0 + dt.timedelta(seconds=s), "web") for i, s in enumerate(at)]
+    jobs_of = {
+        "velocity": lambda s: jobs.user_velocity_stream(s, "1 minute", 21_600, 2),
+        "features": lambda s: jobs.running_features_stream(s, "1 minute", 21_600),
+        "counters": lambda s: jobs.expiring_counters(s, "1 minute", "30 minutes"),
+    }
+    for name, build in jobs_of.items():
+        found = []
+        for label, size in (("one", 60), ("many", 7)):
+            parts = [events[i : i + size] for i in range(0, 60, size)]
+            src = stream(spark, land(spark, tmp_path / f"{name}-{label}", parts))
+            found.append(rows(jobs.to_table(build(src), str(tmp_path / f"{name}-{label}-out"), str(tmp_path / f"{name}-{label}-c"))))
+        assert found[0] == found[1] and found[0], name
+
+
+def test_progress_raises_rather_than_forgets(spark):
+    class Run:
+        recentProgress = [None] * int(spark.conf.get("spark.sql.streaming.numRecentProgressUpdates"))
+
+    with pytest.raises(ValueError):
+        jobs.progress_table(spark, Run)
+    with pytest.raises(ValueError):
+        jobs.late_rows(Run)

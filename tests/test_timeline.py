@@ -137,3 +137,19 @@ def test_missing_keys_form_one_group(spark):
     for hot in (1, COLD):
         got = rows(tl.neighbours(df, "k", ["us", "i"], F.col("us"), previous={"p": F.col("us")}, hot_rows=hot), "i", "p")
         assert got == [("a", None), ("b", 1), ("c", None)]
+
+
+def test_hot_sums_forget_large_old_amounts(spark):
+    """A key's old rows are huge; the sums of its last ones must not show them."""
+    many = [(1, f"t{i:04d}", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=30 * i), 9.7e8 + i / 7 if i < 3000 else i / 1000) for i in range(3200)]
+    df = spark.createDataFrame(many, "user_id long, transaction_id string, ts timestamp, amount double")
+    spans = {"w": (-300_000_000 + 1, 0)}
+    measures = {"s": F.col("amount"), "q": F.col("amount") * F.col("amount")}
+    build = lambda h: tl.trailing_sums(df, "user_id", micros("ts"), "transaction_id", spans, measures, h).where("transaction_id >= 't3050'")
+    same(build, "transaction_id", "s_w", "q_w")
+
+
+def test_hot_key_list_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(tl, "MOST_HOT", 3)
+    df = spark.range(100).select((F.col("id") % 10).alias("k"))
+    assert tl.list_hot_keys(df, "k", 5).count() == 3
