@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,9 +22,26 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that they need no installed copy."""
+    if spark.conf.get("spark.ledgerwatch.shipped", None) or any("ledgerwatch.zip" in f for f in spark.sparkContext.listFiles):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(home):  # else the package itself came as an archive
+        path = os.path.join(tempfile.mkdtemp(prefix="ledgerwatch-package-"), "ledgerwatch.zip")
+        with zipfile.ZipFile(path, "w") as out:
+            for folder, _, names in sorted(os.walk(home)):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    file = os.path.join(folder, name)
+                    out.write(file, os.path.join("ledgerwatch", os.path.relpath(file, home)))
+        spark.sparkContext.addPyFile(path)
+    spark.conf.set("spark.ledgerwatch.shipped", "true")
+
+
 def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "8g", **conf) -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     builder = (
