@@ -22,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwatch.llm.common import SharedFile, body, folder, joined, materialize, mix, open_shared, pack, partitions, prepare, unpack
+from ledgerwatch.llm.common import (
+    SENT, SharedFile, body, folder, joined, materialize, mix, open_shared, pack, partitions, prepare, sent_rows as _rows, unpack,
+)
 from ledgerwatch.llm.suffixes import classes
 
 LENGTH, SEED = 50, 24
@@ -36,18 +37,14 @@ CHUNK, PIECE = 4 << 20, 1 << 16
 CROWDED = 1000
 #: Strings in a record at most.
 RECORD = 64
+#: Strings that a task sorts at once.
+STRINGS = 400_000
 #: Order of a null id among ids: after all others.
 NO_ID = (1 << 63) - 1
-SENT = "kind string, place long, source long, block binary"
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
 _SPREAD = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _rows(rows: list[tuple[str, int, int, bytes]]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=["kind", "place", "source", "block"])
-
-
 def _chunks(base: str, chunk_bytes: int):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, rows = None, []
@@ -268,18 +265,17 @@ def _send_records(base: str, count: int):
     return run
 
 
-def _sort_bucket(table: pa.Table) -> pa.Table:
-    """The smallest document of every string of a bucket, told to the chunks that have a larger one."""
-    sources, parts = table["source"].to_pylist(), [unpack(b) for b in table["block"].to_pylist()]
-    route, sizes, least, most, data = (np.concatenate(c) for c in zip(*parts))
+def _least_documents(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """The smallest document of every string of the chunks' records, all of the same routes."""
+    route, sizes, least, _, data = (np.concatenate(c) for c in zip(*parts))
     sizes = sizes.astype(np.int64)
     length = sizes + LENGTH - 1
     starts = np.cumsum(length) - length
+    place = np.arange(length.sum()) - np.repeat(starts, length)
+    sums = np.add.reduceat(mix(_SPREAD[data] + place.astype(np.uint64)), starts)
     data = np.concatenate([data, np.zeros(LENGTH + 16, np.uint8)])
-    # records of other chunks that are the same, told by their first and last strings' bytes: one stands for all
-    sums = np.add.reduceat(mix(_SPREAD[data[: length.sum()]] + (np.arange(length.sum()) - np.repeat(starts, length)).astype(np.uint64)), starts)
-    key = mix(sums + mix(length.astype(np.uint64)) + route)
-    _, one, same = np.unique(key, return_index=True, return_inverse=True)
+    # one record stands for all that are the same
+    _, one, same = np.unique(mix(sums + mix(length.astype(np.uint64)) + route), return_index=True, return_inverse=True)
     lowest = np.full(len(one), NO_ID)
     np.minimum.at(lowest, same, least)
     # strings of a route with a single record agree with none but themselves
@@ -290,22 +286,52 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
     answer = np.repeat(lowest, strings)
     chosen = np.flatnonzero(np.repeat(mixed, strings))
     if len(chosen):
-        place = np.repeat(starts[one] - begin, strings) + np.arange(strings.sum())
-        number = classes(data, place[chosen], LENGTH)
+        at = (np.repeat(starts[one] - begin, strings) + np.arange(strings.sum()))[chosen]
+        number = classes(data, at, LENGTH)
         best = np.full(len(chosen), NO_ID)
         np.minimum.at(best, number, answer[chosen])
         answer[chosen] = best[number]
-    rows, end, bucket = [], 0, table["place"][0].as_py()
-    for source, part in zip(sources, parts):
+    told, end = [], 0
+    for part in parts:
         mine = same[end: end + len(part[0])]
         end += len(part[0])
-        at = np.repeat(begin[mine] - (np.cumsum(strings[mine]) - strings[mine]), strings[mine]) + np.arange(strings[mine].sum())
-        told = answer[at]
-        if (told < np.repeat(part[3], strings[mine])).any():
-            new = np.ones(len(told), bool)
-            new[1:] = told[1:] != told[:-1]
-            where = np.flatnonzero(new)
-            rows.append(("least", source, bucket, pack(where.astype(np.uint32), told[where], np.array([len(told)]))))
+        many = strings[mine]
+        told.append(answer[np.repeat(begin[mine] - (np.cumsum(many) - many), many) + np.arange(many.sum())])
+    return told
+
+
+def _sort_bucket(table: pa.Table) -> pa.Table:
+    """The smallest document of every string of a bucket, told to the chunks that have a larger one.
+
+    Routes are independent of each other, so a bucket is sorted range by range of them, STRINGS strings or so at a time.
+    """
+    sources, parts = table["source"].to_pylist(), [unpack(b) for b in table["block"].to_pylist()]
+    bucket = table["place"][0].as_py()
+    route = np.sort(np.concatenate([p[0] for p in parts]))
+    total = sum(int(p[1].sum(dtype=np.int64)) for p in parts)
+    step = max(1, len(route) * STRINGS // max(total, 1))
+    cuts = np.unique(route[step::step])
+    told: list[list[tuple]] = [[] for _ in parts]
+    borders = []
+    for p in parts:
+        rows = np.concatenate([[0], np.searchsorted(p[0], cuts), [len(p[0])]])
+        ends = np.concatenate([[0], np.cumsum(p[1].astype(np.int64) + LENGTH - 1)])
+        borders.append((rows, ends[rows]))
+    for k in range(len(cuts) + 1):
+        some = [i for i, (rows, _) in enumerate(borders) if rows[k + 1] > rows[k]]
+        if some:
+            cut = [[*(c[borders[i][0][k]: borders[i][0][k + 1]] for c in parts[i][:4]), parts[i][4][borders[i][1][k]: borders[i][1][k + 1]]] for i in some]
+            for i, c, answer in zip(some, cut, _least_documents(cut)):
+                new = np.ones(len(answer), bool)
+                new[1:] = answer[1:] != answer[:-1]
+                where = np.flatnonzero(new)
+                useful = bool((answer < np.repeat(c[3], c[1].astype(np.int64))).any())
+                told[i].append((len(answer), where, answer[where], useful))
+    rows = []
+    for source, answers in zip(sources, told):
+        if any(a[3] for a in answers):
+            before = np.concatenate([[0], np.cumsum([a[0] for a in answers])])
+            rows.append(("least", source, bucket, pack(np.concatenate([a[1] + b for a, b in zip(answers, before)]).astype(np.uint32), np.concatenate([a[2] for a in answers]), before[-1:])))
     return pa.Table.from_batches([_rows(rows)])
 
 
@@ -354,15 +380,20 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out one by one) change how the work is cut up, not the result. Only the two named columns are read. An empty table gives no rows.
     """
     spark = prepare(docs.sparkSession)
-    base, count = folder(spark, "suffix-chunks"), partitions(spark)
+    tasks = partitions(spark)
+    base, count = folder(spark, "suffix-chunks"), 2 * tasks
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col).alias("text"))
     chunks = materialize(texts.mapInArrow(_chunks(base, chunk_bytes), SENT), "suffix-manifest")
-    dealt = chunks.repartition(count)
 
     def reply(bucket: pa.Table) -> pa.Table:
         return _reply_anchors(bucket, crowded)
 
-    shared = materialize(dealt.mapInArrow(_send_anchors(base, count), SENT).groupBy("place").applyInArrow(reply, SENT), "suffix-shared")
-    told = chunks.unionByName(shared)
-    least = materialize(told.groupBy("place").applyInArrow(_send_records(base, count), SENT).groupBy("place").applyInArrow(_sort_bucket, SENT), "suffix-least")
-    return told.unionByName(least).groupBy("place").applyInArrow(_mark(base, count), REMOVED)
+    def by_place(rows: DataFrame):
+        """Groups of a chunk or bucket; the rows are few and the work behind them large, so tasks aren't merged."""
+        return rows.repartition(tasks, "place").groupBy("place")
+
+    sent = by_place(chunks.repartition(tasks).mapInArrow(_send_anchors(base, count), SENT))
+    told = chunks.unionByName(materialize(sent.applyInArrow(reply, SENT), "suffix-shared"))
+    records_ = by_place(told).applyInArrow(_send_records(base, count), SENT)
+    least = materialize(by_place(records_).applyInArrow(_sort_bucket, SENT), "suffix-least")
+    return by_place(told.unionByName(least)).applyInArrow(_mark(base, count), REMOVED)
