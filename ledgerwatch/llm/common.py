@@ -177,5 +177,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * down[starts] + mix((ends - starts).astype(np.uint64)))
 
 
-def batches(names: list[str], types: list[pa.DataType], *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=names)
+#: Rows that tasks send each other: what it is, the bucket or chunk it goes to, where it comes from, packed arrays.
+SENT = "kind string, place long, source long, block binary"
+
+
+def sent_rows(rows: list[tuple[str, int, int, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[]] * 4
+    types = (pa.string(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["kind", "place", "source", "block"])
