@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame

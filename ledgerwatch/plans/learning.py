@@ -304,10 +304,13 @@ def ml_22(t):
 @query("FEA-16")
 def fea_16(t):
     """K-means features of the embeddings and density clusters of three transaction features (iterative fits)."""
-    vectors = ln.cluster_features(t.raw("embeddings"), "embedding", (5, 10), max_iter=10)
-    k = vectors.groupBy(F.lit("kmeans_5").alias("kind"), F.col("kmeans_cluster_5").cast("string").alias("cluster")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("kmeans_distance_ratio_5").alias("ratio")
-    )
+    sizes = (5, 10, 20)
+    vectors = ln.cluster_features(t.raw("embeddings"), "embedding", sizes, max_iter=20)
+    fits = F.explode(F.array(*[
+        F.struct(F.lit(f"kmeans_{k}").alias("kind"), F.col(f"kmeans_cluster_{k}").cast("string").alias("cluster"), F.col(f"kmeans_distance_ratio_{k}").alias("r"))
+        for k in sizes
+    ])).alias("f")
+    k = vectors.select(fits).groupBy("f.kind", "f.cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("f.r").alias("ratio"))
     d = ln.density_features(t.tx_place.select("transaction_id", "latitude", "longitude"), ["latitude", "longitude"], 0.05, 5)
     return k.unionByName(
         d.groupBy(F.lit("dbscan").alias("kind"), F.col("dbscan_cluster").alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.avg("is_dbscan_outlier").alias("ratio"))
