@@ -81,12 +81,24 @@ def test_rules_as_data(spark):
         "transaction_id string, amount double, hour int, transactions_per_hour int, user_type string, distance_from_home double, "
         "time_since_last_tx double, is_new_device boolean, merchant_risk_score double",
     )
-    got = {r.transaction_id: (r.rule_name, r.rules_hit) for r in rl.apply_rules(facts).collect()}
+    got = {r.transaction_id: (r.rule_name, r.rules_hit) for r in rl.apply_rules(facts, rl.seed_rules(spark)).collect()}
     assert set(got) == {"a", "b", "d"}
     assert got["a"][0] == "high_amount_rule" and got["b"][0] == "unusual_hour_rule"
     assert got["d"] == ("merchant_risk_rule", ["merchant_risk_rule", "geographic_rule", "velocity_rule", "new_device_rule"])
 
 
+def test_rule_table_has_actions_weights_and_inactive_rules(spark):
+    rules = spark.createDataFrame(
+        [("small", "THRESHOLD", None, '{"x": {"<": 5}}', '{"action": "flag", "severity": "LOW"}', 2, 0.5, True),
+         ("tiny", "THRESHOLD", None, '{"x": {"<": 2}}', "{}", 1, None, None), ("off", "THRESHOLD", None, '{"x": {"<": 99}}', "{}", 0, 1.0, False)],
+        rl.RULE_SCHEMA,
+    )
+    facts = spark.createDataFrame([("a", 1), ("b", 4), ("c", 9)], "transaction_id string, x int")
+    got = {r.transaction_id: (r.rule_name, r.action, r.rules_hit, r.rule_weight) for r in rl.apply_rules(facts, rules).collect()}
+    assert got == {"a": ("tiny", None, ["tiny", "small"], 1.5), "b": ("small", "flag", ["small"], 0.5)}
+    assert rl.apply_rules(facts, rules.limit(0)).collect() == []
+
+
 def test_rule_range_inside_needs_both_sides(spark):
     df = spark.createDataFrame([(1,), (5,), (9,)], "x int")
     assert [r.x for r in df.filter(rl.compile_conditions('{"x": {">": 2, "<": 8}}')).collect()] == [5]
