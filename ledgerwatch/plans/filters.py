@@ -1,5 +1,7 @@
 """Filter and projection queries."""
 
+import secrets
+
 from pyspark.sql import functions as F
 
 from ledgerwatch.operators import filters as fl
@@ -121,7 +123,8 @@ SELECT transaction_id, sha256(CAST(user_id AS VARCHAR)) AS user_hash,
 FROM tx
 """)
 def fil_9(t):
-    key = "0123456789abcdef"
+    # the key comes from the session; without one, a fresh key serves this run
+    key = t.spark.conf.get("spark.ledgerwatch.columnKey", None) or secrets.token_hex(8)
     masked = fl.protect(
         t.tx_slim.select(
             "transaction_id", F.col("user_id").alias("user_hash"), F.col("device_id").alias("device_masked"), "currency"
