@@ -126,7 +126,8 @@ def fit_rates(known: DataFrame, weights: list[float], keep: int | None = None, t
     """Steps of the projected gradient, targets, and the expected tokens reached, by domain.
 
     The total is that of the table, or with ``keep`` the one at which that domain's documents have a rate of about one.
-    Residuals are weighted by 1 / sum(n p^2), so that a step is near the solution where memberships are clear. It ends when
+    Residuals are measured by the inverse of the matrix of sum(n p p'), in which a full step along the gradient is never too
+    long and, but for rates that it takes to 0, ends at the solution. It ends when
     every domain is within ``tolerance`` of the total, or at the least squares solution of targets that can't be met; it
     raises if neither happens in ``most`` steps.
     """
@@ -143,17 +144,16 @@ def fit_rates(known: DataFrame, weights: list[float], keep: int | None = None, t
     share = np.array(weights) / sum(weights)
     total = row[0] if keep is None else reached[keep] / share[keep]
     targets = total * share
-    scale = 1 / np.maximum(np.diag(moment), 1e-9 * total)
-    rate = 1 / max(np.linalg.eigvals(moment * scale).real.max(), 1e-12)
+    metric = np.linalg.pinv(moment, rcond=1e-9, hermitian=True)
     steps: list[np.ndarray] = []
     loss = np.inf
     for _ in range(most):
         apart = reached - targets
-        now = float((apart**2 * scale).sum())
+        now = float(apart @ metric @ apart)
         if np.abs(apart).max() <= tolerance * total or loss - now <= 1e-10 * now:
             return steps, targets, reached
         loss = now
-        steps.append(rate * apart * scale)
+        steps.append(metric @ apart)
         known_rate = known.select(n.alias("n"), "p", rate_of(steps, count).alias("r"))
         reached = np.array(known_rate.agg(*(F.sum(F.col("n") * F.col("r") * F.get("p", F.lit(k))) for k in range(count))).first())
     raise RuntimeError(f"no solution within {most} steps: {reached} for {targets}")
