@@ -125,7 +125,7 @@ def records(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         rank = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         starts.append(np.repeat(at, parts) + rank * RECORD + a)
         counts.append(np.minimum(np.repeat(size, parts) - rank * RECORD, RECORD))
-        values.append(np.repeat(found[at], parts))
+        values.append(np.repeat(mix(found[at]), parts))  # least values are small ones: spread them over the buckets
         owners.append(np.repeat(owner[at], parts))
     empty = np.zeros(0, np.int64)
     return tuple(np.concatenate(x) if x else empty.astype(t) for x, t in ((starts, np.int64), (counts, np.int64), (values, np.uint64), (owners, np.int64)))
