@@ -126,36 +126,51 @@ def fit_rates(known: DataFrame, weights: list[float], keep: int | None = None, t
     """Steps of the projected gradient, targets, and the expected tokens reached, by domain.
 
     The total is that of the table, or with ``keep`` the one at which that domain's documents have a rate of about one.
-    Residuals are measured by the inverse of the matrix of sum(n p p'), in which a full step along the gradient is never too
-    long and, but for rates that it takes to 0, ends at the solution. It ends when
-    every domain is within ``tolerance`` of the total, or at the least squares solution of targets that can't be met; it
-    raises if neither happens in ``most`` steps.
+    A step goes along the gradient in the metric of the matrix sum(n p p') over the documents whose rate is above 0; it is
+    halved when it takes the squares up. It ends when every domain is within ``tolerance`` of the total, or at the least
+    squares solution of targets that can't be met; it raises if neither happens in ``most`` steps.
     """
     count = len(weights)
     p = [F.get("p", F.lit(k)) for k in range(count)]
-    n = F.col("n_tokens").cast("double")
     pairs = [(i, j) for i in range(count) for j in range(i, count)]
-    row = known.agg(F.sum(n), *(F.sum(n * x) for x in p), *(F.sum(n * p[i] * p[j]) for i, j in pairs)).first()
-    if not row[0]:
+    n, r = F.col("n_tokens").cast("double"), F.col("r")
+    alive = F.when(r > 0, n).otherwise(0.0)
+
+    def sums(steps: list[np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
+        """Tokens of the table, expected tokens by domain, and the matrix of the documents above 0."""
+        rated = known.select("n_tokens", "p", rate_of(steps, count).alias("r"))
+        row = rated.agg(F.sum(n), *(F.sum(n * r * x) for x in p), *(F.sum(alive * p[i] * p[j]) for i, j in pairs)).first()
+        matrix = np.zeros((count, count))
+        for (i, j), v in zip(pairs, row[1 + count:]):
+            matrix[i, j] = matrix[j, i] = v or 0.0
+        return row[0] or 0.0, np.array([v or 0.0 for v in row[1: 1 + count]]), matrix
+
+    tokens, reached, matrix = sums([])
+    if not tokens:
         return [], np.zeros(count), np.zeros(count)
-    reached, moment = np.array(row[1: 1 + count]), np.zeros((count, count))
-    for (i, j), v in zip(pairs, row[1 + count:]):
-        moment[i, j] = moment[j, i] = v
     share = np.array(weights) / sum(weights)
-    total = row[0] if keep is None else reached[keep] / share[keep]
+    total = tokens if keep is None else reached[keep] / share[keep]
     targets = total * share
-    metric = np.linalg.pinv(moment, rcond=1e-9, hermitian=True)
+    metric = np.linalg.pinv(matrix, rcond=1e-9, hermitian=True)
     steps: list[np.ndarray] = []
-    loss = np.inf
+
+    def loss(at: np.ndarray) -> float:
+        return float((at - targets) @ metric @ (at - targets))
+
     for _ in range(most):
         apart = reached - targets
-        now = float(apart @ metric @ apart)
-        if np.abs(apart).max() <= tolerance * total or loss - now <= 1e-10 * now:
+        if np.abs(apart).max() <= tolerance * total:
+            return steps, targets, reached
+        step = np.linalg.pinv(matrix, rcond=1e-9, hermitian=True) @ apart
+        while True:
+            _, tried, after = sums([*steps, step])
+            if loss(tried) <= loss(reached) or np.abs(step).max() < 1e-9:
+                break
+            step = step / 2
+        if loss(reached) - loss(tried) <= 1e-10 * loss(reached):
             return steps, targets, reached
-        loss = now
-        steps.append(metric @ apart)
-        known_rate = known.select(n.alias("n"), "p", rate_of(steps, count).alias("r"))
-        reached = np.array(known_rate.agg(*(F.sum(F.col("n") * F.col("r") * F.get("p", F.lit(k))) for k in range(count))).first())
+        steps.append(step)
+        reached, matrix = tried, after
     raise RuntimeError(f"no solution within {most} steps: {reached} for {targets}")
 
 
