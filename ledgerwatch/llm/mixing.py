@@ -174,25 +174,39 @@ def fit_rates(known: DataFrame, weights: list[float], keep: int | None = None, t
     raise RuntimeError(f"no solution within {most} steps: {reached} for {targets}")
 
 
-def mix_sources(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def largest(count: int, first: int | None = None) -> Column:
+    """1 for the domain of the largest membership and 0 for the others, from the column p; ``first`` wins ties."""
+    order = sorted(range(count), key=lambda k: k != first)
+    best = F.array_position(F.array(*(F.get("p", F.lit(k)) for k in order)), F.array_max("p")) - 1
+    return F.array(*((best == order.index(k)).cast("double") for k in range(count)))
+
+
+def mix_sources(
+    docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: str | None = None, id_col: str = "doc_id", text_col: str = "text", whole: bool = False
+) -> DataFrame:
     """doc_id, tie, n_tokens, p_<domain>..., rate, copies of every row of ``docs``.
 
     ``labelled`` has the id and a column domain; ``targets`` the weight of each domain among the expected tokens. The
     whole part of a rate is taken as copies, and one more where a hash of the row falls below the rest (``tie`` is a hash
     of the row too, for joining back; equal rows fall alike). Null and empty texts have no tokens, the base as membership,
     and a rate like others. Labels out of ``targets`` and null labels are not used. Extra columns are not read.
+    With ``whole`` the rates are fitted with each row counted wholly to the domain of its largest membership (ties go to
+    ``keep``), so all rows of a domain have one rate: 1 for ``keep``, 0 for a domain of weight 0.
     """
     prepare(docs.sparkSession)
     domains = sorted(targets)
     base, weights = classifier(docs, labelled, domains, id_col, text_col)
-    known = materialize(posteriors(docs, base, weights, id_col, text_col), "mixing-members")
+    soft = posteriors(docs, base, weights, id_col, text_col).withColumn("soft", F.col("p"))
+    if whole:
+        soft = soft.withColumn("p", largest(len(domains), None if keep is None else domains.index(keep)))
+    known = materialize(soft, "mixing-members")
     steps, _, _ = fit_rates(known, [targets[d] for d in domains], None if keep is None else domains.index(keep))
     rate = known.withColumn("rate", rate_of(steps, len(domains)))
     snapped = F.when(F.abs(F.col("rate") - F.round("rate")) <= SNAP, F.round("rate")).otherwise(F.col("rate"))
     draw = F.pmod(F.xxhash64("tie", "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = F.floor(snapped) + F.when(draw < snapped - F.floor(snapped), F.lit(1)).otherwise(F.lit(0))
     return rate.select(
-        "doc_id", "tie", "n_tokens", *(F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(domains)), "rate", copies.cast("int").alias("copies")
+        "doc_id", "tie", "n_tokens", *(F.get("soft", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(domains)), "rate", copies.cast("int").alias("copies")
     )
 
 

@@ -105,7 +105,7 @@ def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Shares of the expected tokens that op3 and the pipeline aim at.
-MIX, PIPELINE_MIX = {"clean": 0.90, "junk": 0.08, "toxic": 0.02}, {"clean": 0.98, "toxic": 0.02}
+MIX, PIPELINE_MIX = {"clean": 0.90, "junk": 0.08, "toxic": 0.02}, {"clean": 1.0, "toxic": 0.0}
 
 
 @query("op3_mixing")

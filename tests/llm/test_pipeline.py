@@ -79,6 +79,28 @@ def test_mixing_keeps_clean_documents(spark, stages):
     assert len(clean - kept) <= 0.03 * len(clean)
 
 
+def test_mixing_leaves_no_toxic_documents(spark, stages):
+    from ledgerwatch.llm import mixing
+    from ledgerwatch.llm.queries import PIPELINE_MIX
+
+    given, kept = stages[3]
+    labels = mixing.label_domains(spark.read.parquet(f"{SF}/labels.parquet"), junk=False)
+    rates = mixing.mix_sources(given, labels, PIPELINE_MIX, keep="clean", whole=True).collect()
+    assert all(r["rate"] == (r["p_clean"] >= r["p_toxic"]) == r["copies"] for r in rates)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in rates if r["p_clean"] >= r["p_toxic"])
+    toxic = {r["doc_id"] for r in labels.where("domain = 'toxic'").collect()}
+    passed = {r["doc_id"] for r in kept.select("doc_id").collect()} & toxic
+    assert len(passed) <= 0.02 * len(toxic & {r["doc_id"] for r in rates})
+
+
+@pytest.mark.parametrize("bad", [0, 20, 400, 2000])
+def test_mixing_whatever_share_is_toxic(spark, tmp_path, bad):
+    rows = [(k, f"{'vile' if k < bad else 'kind'} words of text number {k} here", "en", "s", 30) for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(k, 1, int(k < bad)) for k in range(2000)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert sorted(r["doc_id"] for r in pipeline.mixing_stage(spark, docs, str(tmp_path)).collect()) == list(range(bad, 2000))
+
+
 def test_last_stage_encodes_every_row(stages):
     from tokenizers import Tokenizer
 
