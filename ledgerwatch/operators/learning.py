@@ -109,14 +109,17 @@ def compare_models(df: DataFrame, features: Sequence[str], models: dict) -> Data
     return evaluate(out, ["model_name"])
 
 
-def cross_validate(df: DataFrame, features: Sequence[str], model, folds: int = 3, row_id: str = "transaction_id") -> DataFrame:
-    """F1 and accuracy per fold, folds by a hash of the id."""
+def cross_validate(
+    df: DataFrame, features: Sequence[str], model, folds: int = 3, row_id: str = "transaction_id", fit: DataFrame | None = None
+) -> DataFrame:
+    """F1 and accuracy per fold, folds by a hash of the id; models are fitted on the rows of ``fit`` (default: all)."""
     from ledgerwatch.operators.features import fold_of
 
     tagged = df.withColumn("fold", fold_of(row_id, folds))
+    learned = tagged if fit is None else fit.withColumn("fold", fold_of(row_id, folds))
     out = None
     for k in range(folds):
-        scored = score(train(tagged.filter(F.col("fold") != k), features, model), tagged.filter(F.col("fold") == k))
+        scored = score(train(learned.filter(F.col("fold") != k), features, model), tagged.filter(F.col("fold") == k))
         part = scored.select("fold", "score", "label")
         out = part if out is None else out.unionByName(part)
     return evaluate(out, ["fold"])

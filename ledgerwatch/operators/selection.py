@@ -157,13 +157,18 @@ METHODS = {
     "rfe": by_elimination, "lasso": by_lasso, "random_forest_importance": by_forest,
     "mutual_information": by_mutual_information, "pca": by_components,
 }
+#: Methods that fit classifiers.
+FITTED = {"rfe", "random_forest_importance"}
 
 
-def combined(df: DataFrame, features: Sequence[str], methods: Sequence[str], n: int = 50) -> DataFrame:
-    """Run the methods one after another on the features left; sum their scores, divide by the largest, keep the top."""
+def combined(df: DataFrame, features: Sequence[str], methods: Sequence[str], n: int = 50, fit: DataFrame | None = None) -> DataFrame:
+    """Run the methods one after another on the features left; sum their scores, divide by the largest, keep the top.
+
+    Methods that fit classifiers read ``fit`` where it is given, all others ``df``.
+    """
     left, total = list(features), {}
     for name in methods:
-        rows = METHODS[name](df, left).collect()
+        rows = METHODS[name](fit if fit is not None and name in FITTED else df, left).collect()
         for r in rows:
             if r["selected"]:
                 total[r["feature"]] = total.get(r["feature"], 0.0) + (r["score"] or 0.0)

@@ -76,8 +76,7 @@ def ml_4(t):
 @query("ML-5")
 def ml_5(t):
     """Linear support vectors with calibrated probabilities (MLlib fit)."""
-    rows = training(t)
-    scored = ln.CalibratedSVM(rows, USED, 20).score(rows)
+    scored = ln.CalibratedSVM(training(t), USED, 20).score(everything(t))
     return ev.evaluate(scored)
 
 
@@ -247,8 +246,8 @@ def ml_18(t):
 @query("ML-18-trees")
 def ml_18_trees(t):
     """Path contributions of a forest: mean absolute contribution per feature (MLlib fit)."""
-    rows = training(t)
-    model = ln.train(rows, USED, ln.classifiers(5, 4)["random_forest"])
+    rows = everything(t)
+    model = ln.train(training(t), USED, ln.classifiers(5, 4)["random_forest"])
     from pyspark.ml.functions import vector_to_array
 
     scaled = model.transform(rows).withColumn("_f", vector_to_array("features"))
@@ -380,10 +379,10 @@ def fea_21(t):
 @query("FEA-21-models")
 def fea_21_models(t):
     """Selection by forest, lasso, elimination and principal components (MLlib fits)."""
-    rows = training(t).select("transaction_id", "label", *CHOSEN)
+    fit, rows = (x.select("transaction_id", "label", *CHOSEN) for x in (training(t), everything(t)))
     parts = {
-        "random_forest_importance": sel.by_forest(rows, CHOSEN, 3, 5, 4), "lasso": sel.by_lasso(rows, CHOSEN, grid=(0.001, 0.01), folds=2),
-        "rfe": sel.by_elimination(rows, CHOSEN, keep=4, step=1, trees=5, depth=3), "pca": sel.by_components(rows, CHOSEN, 3),
+        "random_forest_importance": sel.by_forest(fit, CHOSEN, 3, 5, 4), "lasso": sel.by_lasso(rows, CHOSEN, grid=(0.001, 0.01), folds=2),
+        "rfe": sel.by_elimination(fit, CHOSEN, keep=4, step=1, trees=5, depth=3), "pca": sel.by_components(rows, CHOSEN, 3),
     }
     out = None
     for name, part in parts.items():
@@ -395,10 +394,10 @@ def fea_21_models(t):
 @query("FEA-22")
 def fea_22(t):
     """Combined selection with cross-validated accuracy and the correlations of the chosen features (MLlib fits)."""
-    rows = training(t).select("transaction_id", "label", *CHOSEN)
-    chosen = sel.combined(rows, CHOSEN, ["correlation_filter", "random_forest_importance", "mutual_information"], 4)
+    fit, rows = (x.select("transaction_id", "label", *CHOSEN) for x in (training(t), everything(t)))
+    chosen = sel.combined(rows, CHOSEN, ["correlation_filter", "random_forest_importance", "mutual_information"], 4, fit)
     names = [r["feature"] for r in chosen.filter("selected").orderBy("feature").collect()]
-    accuracy = ln.cross_validate(rows, names, ln.classifiers(5, 4)["random_forest"], 2).agg(F.avg("accuracy").alias("score"))
+    accuracy = ln.cross_validate(rows, names, ln.classifiers(5, 4)["random_forest"], 2, fit=fit).agg(F.avg("accuracy").alias("score"))
     table = sel.correlation_table(rows, names).select(F.concat_ws("~", "feature_a", "feature_b").alias("feature"), F.col("correlation").alias("score"))
     return (
         chosen.filter("selected").select(F.lit("feature").alias("kind"), "feature", "score")

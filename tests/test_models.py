@@ -156,3 +156,20 @@ def test_explanations(spark):
 
 def test_average_path():
     assert ln.average_path(1) == 0 and ln.average_path(2) == 1 and ln.average_path(256) == pytest.approx(2 * (math.log(255) + 0.5772156649) - 2 * 255 / 256)
+
+
+def test_only_classifier_fits_are_capped(tables, monkeypatch):
+    from ledgerwatch.plans import learning as plans
+
+    monkeypatch.setattr(plans, "training", lambda t: ln.training_frame(t.tx_place, days=None, limit=500))
+    whole = plans.everything(tables)
+    n = whole.count()
+    assert n > 500
+    assert plans.ml_5(tables).first().total == n
+    assert {r.n for r in plans.ml_18_trees(tables).collect()} == {n}
+    got = {(r.kind, r.feature): r.score for r in plans.fea_22(tables).collect()}
+    want = {f"{r.feature_a}~{r.feature_b}": r.correlation for r in sel.correlation_table(whole, sorted(f for k, f in got if k == "feature")).collect()}
+    assert {f: v for (k, f), v in got.items() if k == "correlation"} == pytest.approx(want)
+    found = {(r.method, r.feature): r.score for r in plans.fea_21_models(tables).filter("method IN ('lasso', 'pca')").collect()}
+    for method, part in (("pca", sel.by_components(whole, plans.CHOSEN, 3)), ("lasso", sel.by_lasso(whole, plans.CHOSEN, grid=(0.001, 0.01), folds=2))):
+        assert {f: v for (m, f), v in found.items() if m == method} == pytest.approx({r.feature: r.score for r in part.collect()})
