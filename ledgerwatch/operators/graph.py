@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -341,7 +342,10 @@ def clustering_coefficients(edges: DataFrame) -> DataFrame:
 def pagerank(
     edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6, directed: bool = False
 ) -> DataFrame:
-    """PageRank by repeated join and aggregation; stops at ``tolerance`` times the number of vertices (L1)."""
+    """PageRank by repeated join and aggregation, until five rounds change the ranks by less than ``tolerance`` (L1).
+
+    It raises where ``iterations`` rounds don't get there; without a tolerance it ends after them.
+    """
     links = edges.select("src", "dst", F.lit(1.0).alias("w")).distinct() if directed else undirected(edges.select("src", "dst").distinct())
     out = links.groupBy("src").agg(F.sum("w").alias("total"))
     moves = cut_lineage(links.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")))
@@ -351,7 +355,7 @@ def pagerank(
         return vertices.withColumn("pagerank", F.lit(0.0))
     ends = directed and vertices.join(out.select(F.col("src").alias("id")), "id", "left_anti").limit(1).count() > 0
     base = cut_lineage(vertices)
-    ranks = base.withColumn("rank", F.lit(1.0 / n))
+    ranks = old = base.withColumn("rank", F.lit(1.0 / n))
     for step in range(1, iterations + 1):
         flow = moves.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(
             F.sum(F.col("rank") * F.col("p")).alias("flow")
@@ -360,30 +364,56 @@ def pagerank(
         if ends:
             flow = cut_lineage(flow)
             lost = 1.0 - (flow.agg(F.sum("flow")).first()[0] or 0.0)
-        fresh = base.join(flow, "id", "left").select(
+        ranks = base.join(flow, "id", "left").select(
             "id", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("flow", F.lit(0.0))).alias("rank")
         )
+        if step % 5 == 0 or tolerance is not None and step == iterations:
+            ranks = cut_lineage(ranks)
+            if tolerance is not None:
+                moved = ranks.join(old.withColumnRenamed("rank", "old"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+                if moved < tolerance:
+                    break
+                old = ranks
+    else:
         if tolerance is not None:
-            fresh = cut_lineage(fresh)
-            moved = fresh.join(ranks.withColumnRenamed("rank", "old"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-            ranks = fresh
-            if moved is not None and moved < tolerance * n:
-                break
-        else:
-            ranks = cut_lineage(fresh) if step % 5 == 0 else fresh
+            raise RuntimeError(f"ranks still move by {moved} after {iterations} rounds")
     return ranks.withColumnRenamed("rank", "pagerank")
 
 
-def betweenness(edges: DataFrame, pivots: int | None = None, normalised: bool = True) -> DataFrame:
+def betweenness(
+    edges: DataFrame, pivots: int | None = None, normalised: bool = True, error: float | None = None, miss: float = 0.01, batch: int = 512
+) -> DataFrame:
     """Betweenness from shortest paths of ``pivots`` start vertices (all of them = exact), level by level.
 
-    Pivots are the first vertices in hash order; their sums are scaled to the whole vertex set.
+    Pivots are the first vertices in hash order, ``batch`` at a time; their sums are scaled to the whole vertex set. With
+    ``error`` their number follows from Hoeffding's bound: but for a chance of ``miss`` no normalised value is off by more.
+    A column ``error`` then has the bound reached, 0 where all vertices were pivots.
     """
     links = cut_lineage(undirected(edges).select("src", "dst"))
     vertices = links.select(F.col("src").alias("id")).distinct()
     n = vertices.count()
+    if error is not None and n > 2:
+        pivots = math.ceil(math.log(2 * n / miss) / 2 * (n / (n - 1) / error) ** 2)
     used = n if pivots is None else min(pivots, n)
+    batches = max(1, -(-used // batch))
     starts = vertices if used == n else vertices.orderBy(F.xxhash64("id"), "id").limit(used)
+    starts = cut_lineage(starts.withColumn("_b", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(batches))))
+    per_vertex = None
+    for k in range(batches):
+        part = _dependencies(links, starts.filter(F.col("_b") == k).select("id"))
+        per_vertex = part if per_vertex is None else cut_lineage(per_vertex.unionByName(part).groupBy("id").agg(F.sum("b").alias("b")))
+    scale = (n / max(used, 1)) / 2.0
+    if normalised and n > 2:
+        scale *= 2.0 / ((n - 1) * (n - 2))
+    out = vertices.join(per_vertex, "id", "left").select("id", (F.coalesce("b", F.lit(0.0)) * F.lit(scale)).alias("betweenness"))
+    if error is None:
+        return out
+    reached = 0.0 if used == n else math.sqrt(math.log(2 * n / miss) / (2 * used)) * n / (n - 1)
+    return out.withColumn("error", F.lit(reached * (1.0 if normalised else (n - 1) * (n - 2) / 2.0)))
+
+
+def _dependencies(links: DataFrame, starts: DataFrame) -> DataFrame:
+    """Sums (id, b) of the shares that each vertex has in the shortest paths from ``starts``."""
     levels = [cut_lineage(starts.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("sigma")))]
     seen = levels[0].select("s", "id")
     while True:
@@ -406,11 +436,7 @@ def betweenness(edges: DataFrame, pivots: int | None = None, normalised: bool =
     sums = total[0]
     for part in total[1:]:
         sums = sums.unionByName(part)
-    per_vertex = sums.filter(F.col("s") != F.col("id")).groupBy("id").agg(F.sum("delta").alias("b"))
-    scale = (n / used) / 2.0
-    if normalised and n > 2:
-        scale *= 2.0 / ((n - 1) * (n - 2))
-    return vertices.join(per_vertex, "id", "left").select("id", (F.coalesce("b", F.lit(0.0)) * F.lit(scale)).alias("betweenness"))
+    return cut_lineage(sums.filter(F.col("s") != F.col("id")).groupBy("id").agg(F.sum("delta").alias("b")))
 
 
 # ---- communities ----------------------------------------------------------------------------
@@ -419,43 +445,77 @@ def _half(round_no: int, column: str = "src") -> Column:
     return F.pmod(F.xxhash64(F.col(column)), F.lit(2)) == round_no % 2
 
 
-def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """Communities by label propagation: half of the vertices move per round, ties take the smallest label."""
+def label_propagation(edges: DataFrame, rounds: int | None = None, most: int = 1000) -> DataFrame:
+    """Communities by label propagation, until no vertex wants another label; ties take the smallest label.
+
+    Half of the vertices move per round. After ten rounds only vertices move whose hash is below those of all neighbours
+    that want to move, so that links between equal labels never become fewer and the rounds come to an end; it raises
+    after ``most`` of them. With ``rounds`` it moves halves and stops after so many, settled or not.
+    """
     links = cut_lineage(undirected(edges))
     labels = links.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id"))
-    for r in range(rounds):
-        votes = links.filter(_half(r)).join(labels.select(F.col("id").alias("dst"), "community"), "dst")
+    r = quiet = 0
+    while quiet < 2 and (rounds is None or r < rounds):
+        if r == most:
+            raise RuntimeError(f"labels still move after {most} rounds")
+        halves = rounds is not None or r < 10
+        votes = (links.filter(_half(r)) if halves else links).join(labels.select(F.col("id").alias("dst"), "community"), "dst")
         counts = votes.groupBy("src", "community").agg(F.sum("w").alias("v"))
         best = counts.groupBy("src").agg(F.min_by("community", F.struct(-F.col("v"), F.col("community"))).alias("new"))
-        labels = cut_lineage(
-            labels.join(best.withColumnRenamed("src", "id"), "id", "left").select("id", F.coalesce("new", "community").alias("community"))
-        )
+        wants = cut_lineage(best.join(labels.withColumnRenamed("id", "src"), "src").filter(F.col("new") != F.col("community")).select("src", "new"))
+        if wants.isEmpty():
+            quiet = quiet + 1 if halves else 2
+        else:
+            quiet = 0
+            if not halves:
+                turn = lambda c: F.struct(F.xxhash64(c, F.lit(r)), F.col(c))
+                blocked = links.join(wants.select("src"), "src").join(wants.select(F.col("src").alias("dst")), "dst").filter(turn("dst") < turn("src"))
+                wants = wants.join(blocked.select("src").distinct(), "src", "left_anti")
+            labels = cut_lineage(
+                labels.join(wants.withColumnRenamed("src", "id"), "id", "left").select("id", F.coalesce("new", "community").alias("community"))
+            )
+        r += 1
     return labels
 
 
-def louvain(edges: DataFrame, levels: int = 2, rounds: int = 4, weight: Column | None = None) -> DataFrame:
-    """Communities by modularity moves (half of the vertices per round), contracted level by level."""
+def louvain(
+    edges: DataFrame, levels: int | None = None, rounds: int | None = None, weight: Column | None = None, tolerance: float = 1e-6, most: int = 1000
+) -> DataFrame:
+    """Communities by modularity moves, contracted level by level until a level moves nothing.
+
+    A share of the vertices that gain by a move does it in each round, half of them at first. A round that lowers the
+    modularity is undone and the share halved, down to the one best move. A level ends when no vertex gains or two kept
+    rounds in a row add less than ``tolerance`` each, and raises after ``most`` rounds. ``levels`` and ``rounds`` stop earlier.
+    """
     links = cut_lineage(undirected(edges, weight))
     two_m = links.agg(F.sum("w")).first()[0] or 1.0
     membership = links.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id"))
-    for _ in range(levels):
+    level = 0
+    while levels is None or level < levels:
         degree = cut_lineage(links.groupBy("src").agg(F.sum("w").alias("k")))
         state = degree.select("src", "k", F.col("src").alias("c"))
-        for r in range(rounds):
-            totals = state.groupBy("c").agg(F.sum("k").alias("tot"))
-            inner = links.filter(F.col("src") != F.col("dst")).filter(_half(r)).join(
-                state.select(F.col("src").alias("dst"), "c"), "dst"
-            ).groupBy("src", "c").agg(F.sum("w").alias("k_in"))
-            own = state.select("src", "k", F.col("c").alias("home"))
-            stay = own.filter(_half(r)).select("src", F.col("home").alias("c"), F.lit(0.0).alias("k_in"))
-            options = inner.unionByName(stay).groupBy("src", "c").agg(F.sum("k_in").alias("k_in"))
-            rated = options.join(own, "src").join(totals, "c").withColumn(
-                "gain",
-                F.col("k_in") - F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("home"), F.col("k")).otherwise(0.0)) / F.lit(two_m),
-            )
-            order = F.struct(-F.round("gain", 9), (F.col("c") != F.col("home")).cast("int"), F.col("c"))
-            best = rated.groupBy("src").agg(F.min_by("c", order).alias("new"))
-            state = cut_lineage(state.join(best, "src", "left").select("src", "k", F.coalesce("new", "c").alias("c")))
+        reached, parts, flat, kept, r = _quality(links, state, two_m), 2, 0, 0, 0
+        while flat < 2 and (rounds is None or r < rounds):
+            if r == most:
+                raise RuntimeError(f"vertices still move after {most} rounds")
+            moves = cut_lineage(_moves(links, state, two_m))
+            count = moves.count()
+            if not count:
+                break
+            if single := parts > count:
+                chosen = moves.orderBy(F.desc("rise"), "src").limit(1)
+            else:
+                chosen = moves.filter(F.pmod(F.xxhash64("src", F.lit(r)), F.lit(parts)) == 0)
+            tried = cut_lineage(state.join(chosen.select("src", "new"), "src", "left").select("src", "k", F.coalesce("new", "c").alias("c")))
+            got = _quality(links, tried, two_m)
+            if single or got > reached:
+                flat = flat + 1 if got - reached < tolerance else 0
+                state, reached, parts, kept = tried, got, max(2, parts // 2), kept + 1
+            else:
+                parts *= 2
+            r += 1
+        if not kept:
+            break
         chosen = state.select(F.col("src").alias("community"), F.col("c").alias("merged"))
         membership = cut_lineage(membership.join(chosen, "community").select("id", F.col("merged").alias("community")))
         ends = state.select(F.col("src"), F.col("c").alias("a"))
@@ -463,9 +523,36 @@ def louvain(edges: DataFrame, levels: int = 2, rounds: int = 4, weight: Column |
             links.join(ends, "src").join(ends.select(F.col("src").alias("dst"), F.col("a").alias("b")), "dst")
             .groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w"))
         )
+        level += 1
     return membership
 
 
+def _quality(links: DataFrame, state: DataFrame, two_m: float) -> float:
+    """Modularity of the communities ``c`` of a level."""
+    ends = state.select("src", "c")
+    inside = links.join(ends, "src").join(ends.select(F.col("src").alias("dst"), F.col("c").alias("d")), "dst").filter("c = d").agg(F.sum("w")).first()[0]
+    spread = state.groupBy("c").agg(F.sum("k").alias("tot")).agg(F.sum(F.pow(F.col("tot") / two_m, 2))).first()[0]
+    return (inside or 0.0) / two_m - (spread or 0.0)
+
+
+def _moves(links: DataFrame, state: DataFrame, two_m: float) -> DataFrame:
+    """The best community ``new`` of each vertex that gains by a move, and its ``rise``."""
+    totals = state.groupBy("c").agg(F.sum("k").alias("tot"))
+    inner = links.filter(F.col("src") != F.col("dst")).join(state.select(F.col("src").alias("dst"), "c"), "dst").groupBy("src", "c").agg(F.sum("w").alias("k_in"))
+    own = state.select("src", "k", F.col("c").alias("home"))
+    stay = own.select("src", F.col("home").alias("c"), F.lit(0.0).alias("k_in"))
+    options = inner.unionByName(stay).groupBy("src", "c").agg(F.sum("k_in").alias("k_in"))
+    at_home = F.col("c") == F.col("home")
+    rated = options.join(own, "src").join(totals, "c").withColumn(
+        "gain", F.round(F.col("k_in") - F.col("k") * (F.col("tot") - F.when(at_home, F.col("k")).otherwise(0.0)) / F.lit(two_m), 9)
+    )
+    order = F.struct(-F.col("gain"), (~at_home).cast("int"), F.col("c"))
+    best = rated.groupBy("src").agg(
+        F.min_by("c", order).alias("new"), F.any_value("home").alias("home"), (F.max("gain") - F.max(F.when(at_home, F.col("gain")))).alias("rise")
+    )
+    return best.filter(F.col("new") != F.col("home")).select("src", "new", "rise")
+
+
 def modularity(edges: DataFrame, communities: DataFrame, weight: Column | None = None) -> DataFrame:
     links = undirected(edges, weight)
     two_m = links.select(F.sum("w")).scalar()
@@ -551,16 +638,19 @@ def similar_nodes_lsh(
     return tl.top_rows(pairs, "query_id", [F.desc("similarity"), F.col("id")], k, F.col("id"), salts=16)
 
 
-def node_features(edges: DataFrame, pivots: int | None = None) -> DataFrame:
-    """Degree, clustering, PageRank and betweenness of every vertex, each standardised over the vertices."""
+def node_features(edges: DataFrame, pivots: int | None = None, error: float | None = None) -> DataFrame:
+    """Degree, clustering, PageRank and betweenness of every vertex, each standardised over the vertices.
+
+    With ``error`` a column betweenness_error has the bound of ``betweenness`` before it was standardised.
+    """
     from ledgerwatch.operators.clustering import standardised
 
     names = ["degree", "in_degree", "out_degree", "neighbor_degree_avg", "clustering", "pagerank", "betweenness"]
     table = (
         degrees(edges).join(clustering_coefficients(edges), "id", "left")
-        .join(pagerank(edges, iterations=20, tolerance=None), "id", "left")
-        .join(betweenness(edges, pivots), "id", "left")
-        .select("id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
+        .join(pagerank(edges), "id", "left")
+        .join(betweenness(edges, pivots, error=error).withColumnRenamed("error", "betweenness_error"), "id", "left")
+        .select("id", *(["betweenness_error"] if error is not None else []), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
     )
     return standardised(cut_lineage(table), {c: F.col(c) for c in names})
 

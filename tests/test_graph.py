@@ -121,6 +121,46 @@ def test_label_propagation_finds_cliques(spark):
     assert all(len({got[n] for n in g}) == 1 for g in groups)
 
 
+def test_labels_settle_on_long_graphs(spark):
+    edges = [(f"v{i:02d}", f"v{i + 1:02d}") for i in range(12)] + [(f"p{i}", f"q{i}") for i in range(6)]
+    got, adj = dict(gr.label_propagation(frame(spark, edges)).collect()), adjacency(edges)
+    for v, around in adj.items():
+        votes = Counter(got[u] for u in around)
+        assert got[v] == min(c for c in votes if votes[c] == max(votes.values()))
+    with pytest.raises(RuntimeError):
+        gr.label_propagation(frame(spark, edges), most=1)
+
+
+def test_louvain_ends_where_no_community_gains(spark):
+    edges = [(f"v{i:02d}", f"v{(i + 1) % 14:02d}") for i in range(14)]
+    found = gr.louvain(frame(spark, edges))
+    got, m = dict(found.collect()), len(edges)
+    tot, between = Counter(), Counter()
+    for a, b in edges:
+        tot[got[a]] += 1
+        tot[got[b]] += 1
+        between[frozenset((got[a], got[b]))] += 1
+    for pair, w in between.items():
+        if len(pair) == 2:
+            x, y = pair
+            assert w / m - tot[x] * tot[y] / (2 * m * m) <= 1e-6
+    with pytest.raises(RuntimeError):
+        gr.louvain(frame(spark, edges), most=1)
+
+
+def test_pagerank_raises_before_it_settles(spark, graph):
+    with pytest.raises(RuntimeError):
+        gr.pagerank(frame(spark, graph), iterations=5)
+
+
+def test_betweenness_pivots_follow_the_error(spark, graph):
+    exact = dict(gr.betweenness(frame(spark, graph)).collect())
+    bounded = gr.betweenness(frame(spark, graph), error=0.02, batch=10).collect()
+    assert {r.id: r.betweenness for r in bounded} == pytest.approx(exact) and {r.error for r in bounded} == {0.0}
+    rough = gr.betweenness(frame(spark, graph), error=0.6).collect()
+    assert all(0 < r.error <= 0.6 and abs(r.betweenness - exact[r.id]) <= r.error for r in rough)
+
+
 def test_walks_follow_edges_and_repeat(spark, graph):
     starts = spark.createDataFrame([("hub",), ("x1",)], "id string")
     first = {r.walk_id: r.path for r in gr.random_walks(frame(spark, graph), starts, 20, 6).collect()}
