@@ -101,7 +101,7 @@ def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerwatch.llm.ngrams import lm_scores
 
-    return lm_scores(table(spark, sf_dir, "documents"))
+    return lm_scores(table(spark, sf_dir, "documents"), order=3)
 
 
 #: Shares of the expected tokens that op3 and the pipeline aim at.

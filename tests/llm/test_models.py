@@ -64,6 +64,14 @@ def test_language_model_matches_its_definition(spark, order):
         assert sum(p((front,) * (order - 1) + (w,)) for w in vocabulary) == pytest.approx(1)
 
 
+def test_registered_language_model_sees_two_words_of_context(spark, tmp_path):
+    from ledgerwatch.llm.queries import QUERIES
+
+    rows = odd_docs()
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    assert rounded(tuple(r) for r in QUERIES["op2_lm_scoring"](spark, str(tmp_path)).collect()) == rounded(plain_lm(rows, 3)[0])
+
+
 def test_language_model_without_training_rows(spark):
     held = [k for k in range(60) if zlib.crc32(str(k).encode()) % 5 == 1]
     docs = spark.createDataFrame([(k, "some words", *[None] * 5) for k in held], SCHEMA)
