@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerwatch.llm.common import table
 
@@ -120,3 +121,44 @@ def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerwatch.llm.suffix_dedup import suffix_dedup
 
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("starts", "ends")
+
+
+@query("op12_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerwatch.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def misspelt(doc_id, run):
+    """The run, without one of its letters where the hash of id and run is a multiple of 199 (a null id is empty)."""
+    h = F.crc32(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), run).cast("binary"))
+    n = F.length(run)
+    at = F.pmod(h, n.cast("long")).cast("int")
+    return F.when(F.pmod(h, F.lit(199)) == 0, F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, n))).otherwise(run)
+
+
+@query("op11_spelling_variants")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerwatch.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"), misspelt)
+
+
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """doc_id, text, where the words of a tenth of the ids (a null id is empty) get a periodic end, joined by one blank."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    dealt = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(F.pmod(h, F.lit(10)) == 0, words).alias("words"))
+    n, g = F.size("words").cast("long"), F.col("g")
+    a = F.pmod(g, n)
+    p = F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))) + 1
+    told = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get("words", F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int")))
+    return dealt.select("doc_id", F.when(n > 0, F.array_join(told, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerwatch.llm.periodic import periodic_runs
+
+    return periodic_runs(made_periodic(table(spark, sf_dir, "documents"))).drop("runs", "collapsed", "n_words")
