@@ -38,10 +38,10 @@ def folder(spark: SparkSession, name: str) -> str:
     return path if "://" in path else "file://" + path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and continue from the files: done once, and kept when executors are lost."""
     path = folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

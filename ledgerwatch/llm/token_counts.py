@@ -223,7 +223,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
     spark = prepare(docs.sparkSession)
     base = folder(spark, "token-counts")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col).alias("text"))
-    chunks = materialize(texts.mapInArrow(_cut(base), CHUNK_ROWS), "token-chunks")
+    chunks = materialize(texts.mapInArrow(_cut(base), CHUNK_ROWS), "token-chunks", "zstd")
     words = chunks.where("number IS NOT NULL").select("chunk", "number", "word")
     counted = words.repartition(partitions(spark), "word").sortWithinPartitions("word").mapInArrow(_count(path), COUNTED)
     places = chunks.where("number IS NULL").select("chunk", "file", "at", "size")
