@@ -12,6 +12,7 @@ from ledgerwatch.functions import timeline as tl
 from ledgerwatch.functions.columns import by_mean, hash_fraction
 from ledgerwatch.operators.common import since
 from ledgerwatch.session import cut_lineage
+from ledgerwatch.sources.files import written
 
 
 def node_id(kind: str, column: str) -> Column:
@@ -481,76 +482,108 @@ def label_propagation(edges: DataFrame, rounds: int | None = None, most: int = 1
 def louvain(
     edges: DataFrame, levels: int | None = None, rounds: int | None = None, weight: Column | None = None, tolerance: float = 1e-6, most: int = 1000
 ) -> DataFrame:
-    """Communities by modularity moves, contracted level by level until a level moves nothing.
+    """Communities by modularity moves, contracted level by level until a level moves nothing or adds less than ``tolerance``.
 
-    A share of the vertices that gain by a move does it in each round, half of them at first. A round that lowers the
-    modularity is undone and the share halved, down to the one best move. A level ends when no vertex gains or two kept
-    rounds in a row add less than ``tolerance`` each, and raises after ``most`` rounds. ``levels`` and ``rounds`` stop earlier.
+    Only active vertices are rated: all at first, then those that want to move and the neighbours of those that did. Each
+    round colours the communities by hash; vertices move from one colour to the other, so no two of them swap and nothing
+    has to be undone (see ``CHOSEN``). When no vertex is active all are rated once more. A level ends when none of them
+    gains, or when ``SWEEP`` rounds add less than ``tolerance`` or ``LEAVE``; it raises after ``most`` rounds. ``levels`` and ``rounds`` stop
+    earlier.
     """
-    links = cut_lineage(undirected(edges, weight))
+    links = written(undirected(edges, weight), "louvain-links")
     two_m = links.agg(F.sum("w")).first()[0] or 1.0
     membership = links.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id"))
     level = 0
     while levels is None or level < levels:
-        degree = cut_lineage(links.groupBy("src").agg(F.sum("w").alias("k")))
-        state = degree.select("src", "k", F.col("src").alias("c"))
-        reached, parts, flat, kept, r = _quality(links, state, two_m), 2, 0, 0, 0
-        while flat < 2 and (rounds is None or r < rounds):
-            if r == most:
-                raise RuntimeError(f"vertices still move after {most} rounds")
-            moves = cut_lineage(_moves(links, state, two_m))
-            count = moves.count()
-            if not count:
-                break
-            if single := parts > count:
-                chosen = moves.orderBy(F.desc("rise"), "src").limit(1)
-            else:
-                chosen = moves.filter(F.pmod(F.xxhash64("src", F.lit(r)), F.lit(parts)) == 0)
-            tried = cut_lineage(state.join(chosen.select("src", "new"), "src", "left").select("src", "k", F.coalesce("new", "c").alias("c")))
-            got = _quality(links, tried, two_m)
-            if single or got > reached:
-                flat = flat + 1 if got - reached < tolerance else 0
-                state, reached, parts, kept = tried, got, max(2, parts // 2), kept + 1
-            else:
-                parts *= 2
-            r += 1
-        if not kept:
+        state, gain = _local_moves(links, two_m, rounds, tolerance, most)
+        if state is None:
             break
         chosen = state.select(F.col("src").alias("community"), F.col("c").alias("merged"))
-        membership = cut_lineage(membership.join(chosen, "community").select("id", F.col("merged").alias("community")))
+        membership = written(membership.join(chosen, "community").select("id", F.col("merged").alias("community")), "louvain-membership")
+        level += 1
+        if gain < tolerance:
+            break
         ends = state.select(F.col("src"), F.col("c").alias("a"))
-        links = cut_lineage(
+        links = written(
             links.join(ends, "src").join(ends.select(F.col("src").alias("dst"), F.col("a").alias("b")), "dst")
-            .groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w"))
+            .groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")),
+            "louvain-links",
         )
-        level += 1
     return membership
 
 
-def _quality(links: DataFrame, state: DataFrame, two_m: float) -> float:
-    """Modularity of the communities ``c`` of a level."""
-    ends = state.select("src", "c")
-    inside = links.join(ends, "src").join(ends.select(F.col("src").alias("dst"), F.col("c").alias("d")), "dst").filter("c = d").agg(F.sum("w")).first()[0]
-    spread = state.groupBy("c").agg(F.sum("k").alias("tot")).agg(F.sum(F.pow(F.col("tot") / two_m, 2))).first()[0]
-    return (inside or 0.0) / two_m - (spread or 0.0)
-
-
-def _moves(links: DataFrame, state: DataFrame, two_m: float) -> DataFrame:
-    """The best community ``new`` of each vertex that gains by a move, and its ``rise``."""
-    totals = state.groupBy("c").agg(F.sum("k").alias("tot"))
-    inner = links.filter(F.col("src") != F.col("dst")).join(state.select(F.col("src").alias("dst"), "c"), "dst").groupBy("src", "c").agg(F.sum("w").alias("k_in"))
-    own = state.select("src", "k", F.col("c").alias("home"))
-    stay = own.select("src", F.col("home").alias("c"), F.lit(0.0).alias("k_in"))
-    options = inner.unionByName(stay).groupBy("src", "c").agg(F.sum("k_in").alias("k_in"))
-    at_home = F.col("c") == F.col("home")
-    rated = options.join(own, "src").join(totals, "c").withColumn(
-        "gain", F.round(F.col("k_in") - F.col("k") * (F.col("tot") - F.when(at_home, F.col("k")).otherwise(0.0)) / F.lit(two_m), 9)
-    )
-    order = F.struct(-F.col("gain"), (~at_home).cast("int"), F.col("c"))
-    best = rated.groupBy("src").agg(
-        F.min_by("c", order).alias("new"), F.any_value("home").alias("home"), (F.max("gain") - F.max(F.when(at_home, F.col("gain")))).alias("rise")
-    )
-    return best.filter(F.col("new") != F.col("home")).select("src", "new", "rise")
+def _local_moves(links: DataFrame, two_m: float, rounds: int | None, tolerance: float, most: int) -> tuple[DataFrame | None, float]:
+    """The communities (src, c) of one level, None where no vertex gains, and a lower bound of the modularity gained."""
+    degree = links.groupBy("src").agg(F.sum("w").alias("k"))
+    state = written(degree.select("src", "k", F.col("src").alias("c"), F.lit(True).alias("active")), "louvain-state")
+    gains, found, swept, parts, r = [0.0] * SWEEP, False, True, 1, 0
+    while rounds is None or r < rounds:
+        if r == most:
+            raise RuntimeError(f"vertices still move after {most} rounds")
+        state = _round(links, state, two_m, r, parts)
+        wanting, moving, moved, sure = state.agg(F.count_if("wants"), F.count("new"), F.count("sure"), F.sum("sure")).first()
+        r += 1
+        if not wanting and swept:
+            break
+        swept = not wanting
+        if swept:  # none of the active ones gains: all are rated once more
+            state = state.withColumn("active", F.lit(True))
+        elif moved or parts > moving:
+            gains.append(2.0 * (sure or 0.0) / two_m)
+            found, parts = found or moved > 0, max(1, parts // 2)
+            if len(gains) >= 2 * SWEEP and sum(gains[-SWEEP:]) < max(tolerance, LEAVE * sum(gains)):
+                break
+        elif moving:  # all are in each other's way: fewer vertices may move
+            parts *= 2
+    return (state if found else None), sum(gains)
+
+
+#: Rounds in which a pair of communities gets one chance, on average, to send vertices in either direction.
+SWEEP = 4
+#: A level is left for the next, whose vertices are its communities, when a sweep adds less than this share of its gain.
+LEAVE = 0.01
+#: Active vertices that gain by a move (src, k, home), and the best move that the colours of round :r allow (new, rise).
+RATED = """
+WITH active AS (SELECT src, k, c AS home FROM {state} WHERE active), totals AS (SELECT c, sum(k) AS tot FROM {state} GROUP BY c),
+options AS (
+  SELECT l.src, a.k, a.home, s.c, l.w FROM {links} l JOIN active a ON l.src = a.src JOIN {state} s ON l.dst = s.src WHERE l.src <> l.dst
+  UNION ALL SELECT src, k, home, home, 0D FROM active
+), joined AS (
+  SELECT src, k, home, c, sum(w) AS k_in FROM options GROUP BY src, k, home, c
+), gains AS (
+  SELECT src, k, home, c, c = home AS stays, pmod(xxhash64(home, :r), 2) = 0 AND pmod(xxhash64(c, :r), 2) = 1 AND pmod(xxhash64(src, :r), :parts) = 0 AS allowed,
+    round(k_in - k * (tot - if(c = home, k, 0D)) / :two_m, 9) AS gain
+  FROM joined JOIN totals USING (c)
+), best AS (
+  SELECT src, k, home, max(gain) FILTER (WHERE stays) AS own, max(gain) FILTER (WHERE NOT stays) AS top,
+    min(struct(-gain AS cost, c)) FILTER (WHERE allowed) AS best
+  FROM gains GROUP BY src, k, home
+)
+SELECT src, k, home, if(-best.cost > own, best.c, NULL) AS new, if(-best.cost > own, -best.cost - own, NULL) AS rise FROM best WHERE top > own
+"""
+#: Moves that may be made at once, and how much each adds at least (``sure``, in links).
+#: Communities give or take but never both, so the gains of two moves add up but for pairs that share a community: these
+#: lose at most k k' / 2m each side. A move is made if it gains more than its share of what all moves could cost it.
+CHOSEN = """
+WITH moves AS (SELECT src, k, home, new, rise FROM {rated} WHERE new IS NOT NULL),
+homes AS (SELECT home, sum(k) AS gone FROM moves GROUP BY home), news AS (SELECT new, sum(k) AS come FROM moves GROUP BY new)
+SELECT src, new, rise - k * (gone + come - 2 * k) / (2 * :two_m) AS sure FROM moves JOIN homes USING (home) JOIN news USING (new)
+WHERE rise > k * (gone + come - 2 * k) / (2 * :two_m)
+"""
+#: The state after the moves; active are the vertices that wanted to move and the neighbours of those that did.
+MOVED = """
+WITH near AS (SELECT DISTINCT dst AS src, true AS near FROM {links} l LEFT SEMI JOIN {chosen} m ON l.src = m.src)
+SELECT s.src, s.k, coalesce(m.new, s.c) AS c, r.src IS NOT NULL OR near IS NOT NULL AS active, r.src IS NOT NULL AS wants, r.new, m.sure
+FROM {state} s LEFT JOIN {rated} r ON s.src = r.src LEFT JOIN {chosen} m ON s.src = m.src LEFT JOIN near ON s.src = near.src
+"""
+
+
+def _round(links: DataFrame, state: DataFrame, two_m: float, r: int, parts: int) -> DataFrame:
+    """The state after round r, with who wanted to move and what the moves made add."""
+    spark = links.sparkSession
+    rated = written(spark.sql(RATED, {"r": r, "two_m": two_m, "parts": parts}, links=links, state=state), "louvain-rated")
+    chosen = written(spark.sql(CHOSEN, {"two_m": two_m}, rated=rated), "louvain-moves")
+    return written(spark.sql(MOVED, links=links, state=state, rated=rated, chosen=chosen), "louvain-state")
 
 
 def modularity(edges: DataFrame, communities: DataFrame, weight: Column | None = None) -> DataFrame:

@@ -2,7 +2,8 @@
 
 import itertools
 import random
-from collections import Counter, deque
+import time
+from collections import Counter, defaultdict, deque
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,6 +149,82 @@ def test_louvain_ends_where_no_community_gains(spark):
         gr.louvain(frame(spark, edges), most=1)
 
 
+def plain_louvain(adj):
+    """Sequential moves until none gains, contracted until nothing merges; the modularity reached."""
+    two_m = sum(sum(near.values()) for near in adj.values())
+    home = {v: v for v in adj}
+    links = adj
+    while True:
+        com, deg = {v: v for v in links}, {v: sum(near.values()) for v, near in links.items()}
+        tot, moved, again = Counter(deg), False, True
+        while again:
+            again = False
+            for v in sorted(links):
+                inner = Counter()
+                for u, w in links[v].items():
+                    if u != v:
+                        inner[com[u]] += w
+                tot[com[v]] -= deg[v]
+                best = max([com[v], *sorted(inner)], key=lambda c: round(inner[c] - deg[v] * tot[c] / two_m, 9))
+                if best != com[v]:
+                    com[v], again, moved = best, True, True
+                tot[best] += deg[v]
+        home = {v: com[c] for v, c in home.items()}
+        if not moved:
+            break
+        merged = defaultdict(Counter)
+        for v, near in links.items():
+            for u, w in near.items():
+                merged[com[v]][com[u]] += w
+        links = merged
+    return home
+
+
+def quality(adj, home):
+    two_m = sum(sum(near.values()) for near in adj.values())
+    tot, inside = Counter(), 0
+    for v, near in adj.items():
+        tot[home[v]] += sum(near.values())
+        inside += sum(w for u, w in near.items() if home[u] == home[v])
+    return inside / two_m - sum((t / two_m) ** 2 for t in tot.values())
+
+
+def test_louvain_is_as_good_as_sequential_moves_in_time(spark):
+    rng = random.Random(6)
+    edges = set()
+    for v in range(1600):  # forty groups, and a hub that all groups have links to
+        for _ in range(4):
+            u = rng.choice([v // 40 * 40 + rng.randrange(40), rng.randrange(1600), v // 40 * 40 + rng.randrange(40)])
+            if u != v:
+                edges.add((f"v{min(u, v)}", f"v{max(u, v)}"))
+    edges |= {("hub", f"v{v}") for v in range(0, 1600, 7)}
+    adj = defaultdict(Counter)
+    for a, b in edges:
+        adj[a][b] = adj[b][a] = 1
+    start = time.time()
+    got = dict(gr.louvain(frame(spark, sorted(edges)), levels=1, tolerance=5e-2).collect())
+    assert time.time() - start < 180 and set(got) == set(adj)
+    assert quality(adj, got) > quality(adj, plain_louvain(adj)) - 0.1
+
+
+def test_louvain_moves_never_lose(spark):
+    """What a round claims to add at least is never more than the modularity it adds."""
+    rng = random.Random(3)
+    edges = sorted({(f"{min(a, b):02d}", f"{max(a, b):02d}") for a, b in ((rng.randrange(30), rng.choice([0, 1, rng.randrange(30)])) for _ in range(120)) if a != b})
+    adj = defaultdict(Counter)
+    for a, b in edges:
+        adj[a][b] = adj[b][a] = 1
+    links = gr.undirected(frame(spark, edges))
+    state = links.groupBy("src").agg(F.sum("w").alias("k")).select("src", "k", F.col("src").alias("c"), F.lit(True).alias("active"))
+    before = quality(adj, {v: v for v in adj})
+    for r in range(4):
+        state = gr._round(links, state, 2.0 * len(edges), r, 1)
+        rows = state.collect()
+        after = quality(adj, {x.src: x.c for x in rows})
+        assert after - before >= sum(x.sure or 0.0 for x in rows) / len(edges) - 1e-9
+        before = after
+
+
 def test_pagerank_raises_before_it_settles(spark, graph):
     with pytest.raises(RuntimeError):
         gr.pagerank(frame(spark, graph), iterations=5)
