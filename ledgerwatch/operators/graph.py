@@ -440,6 +440,117 @@ def _dependencies(links: DataFrame, starts: DataFrame) -> DataFrame:
     return cut_lineage(sums.filter(F.col("s") != F.col("id")).groupBy("id").agg(F.sum("delta").alias("b")))
 
 
+#: Random pairs of different vertices (i, s, t): both ends by their number among :n vertices.
+PAIRS = """
+WITH drawn AS (
+  SELECT id AS i, pmod(xxhash64(id, 1), :n) AS a, pmod(xxhash64(id, 2), :n - 1) AS b FROM range({first}, {last})
+)
+SELECT i, x.id AS s, x.d AS d_s, y.id AS t, y.d AS d_t FROM drawn JOIN {numbered} x ON x.number = a JOIN {numbered} y ON y.number = pmod(a + 1 + b, :n)
+"""
+#: The next level of each search: its cheaper side grows by one step, towards vertices which that side has not seen.
+GROW = """
+WITH costs AS (SELECT i, if(sum(d) FILTER (WHERE side = 0) <= sum(d) FILTER (WHERE side = 1), 0, 1) AS side FROM {fronts} GROUP BY i),
+grown AS (
+  SELECT f.i, f.side, l.dst AS v, f.dist + 1 AS dist, sum(f.sigma) AS sigma, any_value(l.d) AS d
+  FROM {fronts} f JOIN costs c ON f.i = c.i AND f.side = c.side JOIN {links} l ON l.src = f.v GROUP BY f.i, f.side, l.dst, f.dist
+)
+SELECT g.* FROM grown g LEFT ANTI JOIN {seen} s ON g.i = s.i AND g.side = s.side AND g.v = s.v
+"""
+#: Where the two sides meet: one vertex of each search, by the share of its shortest paths, as the end of both halves.
+MEET = """
+WITH common AS (
+  SELECT g.i, g.v, -ln(pmod(xxhash64(g.i, g.v, 3), 9007199254740992) / 9007199254740992D + 1e-300) / (g.sigma * o.sigma) AS clock,
+    if(g.side = 0, g.dist, o.dist) AS d0, if(g.side = 0, o.dist, g.dist) AS d1
+  FROM {fresh} g JOIN {fronts} o ON g.i = o.i AND g.v = o.v AND g.side <> o.side
+)
+SELECT i, m.v, m.d0, m.d1 FROM (SELECT i, min_by(struct(v, d0, d1), struct(clock, v)) AS m FROM common GROUP BY i)
+"""
+#: One step back on each half, to a vertex of the level before, by the share of its shortest paths.
+BACK = """
+WITH steps AS (
+  SELECT p.i, p.side, l.dst AS v, p.dist - 1 AS dist, -ln(pmod(xxhash64(p.i, p.side, l.dst, 4), 9007199254740992) / 9007199254740992D + 1e-300) / s.sigma AS clock
+  FROM {path} p JOIN {links} l ON l.src = p.v JOIN {seen} s ON s.i = p.i AND s.side = p.side AND s.v = l.dst AND s.dist = p.dist - 1
+  WHERE p.dist > 1
+)
+SELECT i, side, min_by(v, struct(clock, v)) AS v, any_value(dist) AS dist FROM steps GROUP BY i, side
+"""
+
+
+def sampled_betweenness(edges: DataFrame, error: float = 0.02, miss: float = 0.01, first: int = 8000, most: int = 1 << 24) -> DataFrame:
+    """Normalised betweenness from random shortest paths: id, betweenness, and ``error``, the bound reached.
+
+    A sample is a random pair of vertices and one of its shortest paths, each alike, found by a search from both ends; a
+    vertex's value is its share of inner places. Samples are drawn in batches, ``first`` and then as many as there are, until
+    no value is off by more than ``error`` but for a chance of ``miss``: the bound follows from the variance seen so far
+    (empirical Bernstein, over all vertices and batches). It raises after ``most`` samples. State is one search per sample,
+    never a row per pair of vertices. Fewer than three vertices give zeros.
+    """
+    spark = edges.sparkSession
+    ends = undirected(edges).select("src", "dst")
+    degree = ends.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
+    links = written(ends.join(degree.withColumnRenamed("src", "dst"), "dst").select("src", "dst", "d"), "betweenness-links")
+    numbered, n = _numbered(written(links.select(F.col("dst").alias("id"), "d").distinct(), "betweenness-vertices"))
+    vertices = numbered.select("id")
+    if n < 3:
+        return vertices.select("id", F.lit(0.0).alias("betweenness"), F.lit(0.0).alias("error"))
+    hits, drawn, batch = None, 0, 0
+    while True:
+        last = drawn + max(first, drawn)
+        if last > most:
+            raise RuntimeError(f"values are not within {error} after {drawn} samples")
+        pairs = spark.sql(PAIRS.replace("{first}", str(drawn)).replace("{last}", str(last)), {"n": n}, numbered=numbered)
+        found = _inner_vertices(links, written(pairs, "betweenness-pairs"))
+        hits = written((found if hits is None else hits.unionByName(found)).groupBy("id").agg(F.sum("hits").alias("hits")), "betweenness-hits")
+        drawn, batch = last, batch + 1
+        chance = math.log(4.0 * n * batch * (batch + 1) / miss)
+        share = F.col("hits") / F.lit(float(drawn))
+        spread = hits.agg(F.max(share * (1 - share))).first()[0] or 0.0
+        scale = n / (n - 2)
+        bound = scale * (math.sqrt(2 * spread * chance / (drawn - 1)) + 7 * chance / (3 * (drawn - 1)))
+        if bound <= error:
+            return vertices.join(hits, "id", "left").select("id", (F.coalesce(share, F.lit(0.0)) * scale).alias("betweenness"), F.lit(bound).alias("error"))
+
+
+def _numbered(vertices: DataFrame, per_bucket: int = 10_000) -> tuple[DataFrame, int]:
+    """Vertices with numbers from 0, in hash buckets of some ``per_bucket`` rows each, and how many there are."""
+    n = vertices.count()
+    buckets = max(1, n // per_bucket)
+    dealt = vertices.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
+    sizes = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("id")) - 1
+    return written(dealt.withColumn("place", place).join(starts, "bucket").select("id", "d", (F.col("start") + F.col("place")).alias("number")), "numbered"), n
+
+
+def _inner_vertices(links: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, hits): how often a vertex is inside the random shortest path of a pair (i, s, t)."""
+    spark = links.sparkSession
+    both = "SELECT i, stack(2, 0, s, 0, 1D, d_s, 1, t, 0, 1D, d_t) AS (side, v, dist, sigma, d) FROM {pairs}"
+    fronts = seen = written(spark.sql(both, pairs=pairs), "betweenness-level")
+    met = None
+    while True:
+        fresh = written(spark.sql(GROW, fronts=fronts, links=links, seen=seen), "betweenness-level")
+        if fresh.isEmpty():
+            break
+        meets = written(spark.sql(MEET, fresh=fresh, fronts=fronts), "betweenness-meets")
+        met = meets if met is None else met.unionByName(meets)
+        seen = seen.unionByName(fresh)
+        going = fresh.select("i", "side").distinct().join(meets.select("i"), "i", "left_anti")
+        other = fronts.join(going.select("i", (1 - F.col("side")).alias("side")), ["i", "side"])
+        fronts = written(fresh.join(meets.select("i"), "i", "left_anti").unionByName(other.select(*fresh.columns)), "betweenness-fronts")
+    if met is None:
+        return pairs.select(F.col("s").alias("id"), F.lit(0).cast("long").alias("hits")).limit(0)
+    inner = met.where("d0 > 0 AND d1 > 0").select("v")
+    path = spark.sql("SELECT i, stack(2, 0, v, d0, 1, v, d1) AS (side, v, dist) FROM {met}", met=met)
+    while True:
+        path = written(spark.sql(BACK, path=path, links=links, seen=seen), "betweenness-path")
+        if path.isEmpty():
+            break
+        inner = inner.unionByName(path.select("v"))
+    return inner.groupBy(F.col("v").alias("id")).agg(F.count(F.lit(1)).alias("hits"))
+
+
 # ---- communities ----------------------------------------------------------------------------
 
 def _half(round_no: int, column: str = "src") -> Column:
@@ -674,15 +785,17 @@ def similar_nodes_lsh(
 def node_features(edges: DataFrame, pivots: int | None = None, error: float | None = None) -> DataFrame:
     """Degree, clustering, PageRank and betweenness of every vertex, each standardised over the vertices.
 
-    With ``error`` a column betweenness_error has the bound of ``betweenness`` before it was standardised.
+    With ``error`` betweenness comes from random shortest paths, and a column betweenness_error has its bound before it was
+    standardised; else from ``pivots``.
     """
     from ledgerwatch.operators.clustering import standardised
 
+    between = betweenness(edges, pivots) if error is None else sampled_betweenness(edges, error)
     names = ["degree", "in_degree", "out_degree", "neighbor_degree_avg", "clustering", "pagerank", "betweenness"]
     table = (
         degrees(edges).join(clustering_coefficients(edges), "id", "left")
         .join(pagerank(edges), "id", "left")
-        .join(betweenness(edges, pivots, error=error).withColumnRenamed("error", "betweenness_error"), "id", "left")
+        .join(between.withColumnRenamed("error", "betweenness_error"), "id", "left")
         .select("id", *(["betweenness_error"] if error is not None else []), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
     )
     return standardised(cut_lineage(table), {c: F.col(c) for c in names})

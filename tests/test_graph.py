@@ -238,6 +238,25 @@ def test_betweenness_pivots_follow_the_error(spark, graph):
     assert all(0 < r.error <= 0.6 and abs(r.betweenness - exact[r.id]) <= r.error for r in rough)
 
 
+def test_sampled_betweenness_keeps_its_bound(spark, graph):
+    edges = frame(spark, graph + [("alone1", "alone2")])  # some pairs have no path
+    exact = dict(gr.betweenness(edges).collect())
+    got = gr.sampled_betweenness(edges, error=0.12, first=2000).collect()
+    assert {r.id for r in got} == set(exact) and len({r.error for r in got}) == 1
+    assert all(0 < r.error <= 0.12 and abs(r.betweenness - exact[r.id]) <= r.error for r in got)
+    assert [tuple(r) for r in gr.sampled_betweenness(frame(spark, [("a", "b")])).orderBy("id").collect()] == [("a", 0.0, 0.0), ("b", 0.0, 0.0)]
+    with pytest.raises(RuntimeError):
+        gr.sampled_betweenness(edges, error=1e-4, first=2000, most=1000)
+
+
+def test_random_paths_are_shortest_and_alike(spark):
+    # a diamond: two shortest paths from s to t, each through one of the middle vertices
+    links = gr.undirected(frame(spark, [("s", "a"), ("s", "b"), ("a", "t"), ("b", "t")])).select("src", "dst", F.lit(2).cast("long").alias("d"))
+    pairs = spark.range(2000).selectExpr("id AS i", "'s' AS s", "2L AS d_s", "'t' AS t", "2L AS d_t")
+    got = dict(gr._inner_vertices(links, pairs).collect())
+    assert set(got) == {"a", "b"} and sum(got.values()) == 2000 and abs(got["a"] - 1000) < 120
+
+
 def test_walks_follow_edges_and_repeat(spark, graph):
     starts = spark.createDataFrame([("hub",), ("x1",)], "id string")
     first = {r.walk_id: r.path for r in gr.random_walks(frame(spark, graph), starts, 20, 6).collect()}
