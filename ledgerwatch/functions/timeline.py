@@ -2,8 +2,8 @@
 
 A plain ``Window.partitionBy(key)`` sorts all rows of a key in one task, so a key that holds a large share of the
 table decides the run time.  Every helper here first counts the rows per key (one narrow column, combined map-side)
-and fetches the keys with at least ``hot_rows`` rows, the MOST_HOT largest of them.  Which plan a key gets changes
-nothing about its values: sums that a hot key takes as differences are carried as decimals, which lose nothing.
+and lists all keys with at least ``hot_rows`` rows.  Which plan a key gets changes nothing about its values but the order
+in which doubles are added: no sum is taken as a difference, and none changes its type.
 
 * No hot key: the helper is an ordinary window over one shuffle.
 * Hot keys: only those are cut into slices of their order.  Work runs per (key, slice); what must cross a slice border
@@ -22,10 +22,8 @@ from pyspark.sql import functions as F
 from ledgerwatch.session import cut_lineage
 
 HOT_ROWS = 1_000_000
-#: Hot keys are listed on the driver and broadcast: at most so many, whatever the size of the table.
-MOST_HOT = 10_000
-#: Decimals that take part in running sums: places kept of a double, and the digits of a sum.
-EXACT, WIDE = "decimal(30,10)", "decimal(38,10)"
+#: Up to so many hot keys are broadcast as a local list; more stay a table, which is joined as Spark sees fit.
+BROADCAST_HOT = 10_000
 SLICE_SECONDS = 3_600
 BLOCK_ROWS = 200_000
 
@@ -47,12 +45,14 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def list_hot_keys(df: DataFrame, key, hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """The keys with at least ``hot_rows`` rows as a small local table, or None."""
+    """The keys with at least ``hot_rows`` rows, or None; a local table with a broadcast hint while they are few."""
     keys = _names(key)
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= hot_rows)
-    counted = counted.orderBy(F.desc("_n"), *keys).limit(MOST_HOT).select(*keys)
-    rows = counted.collect()
-    return df.sparkSession.createDataFrame(rows, counted.schema) if rows else None
+    counted = counted.select(*keys)
+    rows = counted.limit(BROADCAST_HOT + 1).collect()
+    if len(rows) > BROADCAST_HOT:
+        return cut_lineage(counted)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, counted.schema)) if rows else None
 
 
 class HotKeys:
@@ -80,8 +80,7 @@ def _hot(df: DataFrame, keys: Sequence[str], hot_rows) -> DataFrame | None:
 
 
 def _mark(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
-    listed = F.broadcast(hot.withColumn(HOT, F.lit(True)))
-    return null_safe_join(df, listed, keys).withColumn(HOT, F.coalesce(F.col(HOT), F.lit(False)))
+    return null_safe_join(df, hot.withColumn(HOT, F.lit(True)), keys).withColumn(HOT, F.coalesce(F.col(HOT), F.lit(False)))
 
 
 def _cut(df: DataFrame, keys: Sequence[str], slice_of: Column, hot: DataFrame) -> DataFrame:
@@ -239,14 +238,11 @@ def trailing_sums(
 
     ``spans`` maps a label to (oldest, newest) offsets in microseconds, both inclusive and zero or negative; the
     result columns are named ``{measure}_{label}``.  Ordinary keys use Spark's range frame.  For hot keys that frame
-    would be re-added for every row, so they take differences of running sums instead: each row asks for the running
-    sum at the two ends of its range, the questions join the same ordered pass as the rows, and the answers meet
-    again by ``row_id``.  Doubles are summed as decimals of ten places there, so that a difference is exact however
-    large the sums before it are.
+    would be re-added for every row, so their ranges are put together from slices of time no longer than the range: the
+    end of the oldest slice, the whole slices between, and the beginning of the newest one.  The first and the last come
+    from an ordered pass over one slice, in which the rows ask at the two ends of their range; all meet by ``row_id``.
     """
     keys = _names(key)
-    kinds = dict(df.select(*[c.alias(m) for m, c in measures.items()]).dtypes)
-    floats = {m for m, kind in kinds.items() if kind in ("double", "float")}
     names = [f"{m}_{s}" for s in spans for m in measures]
     timed = df.withColumn("_us", micros)
 
@@ -266,56 +262,53 @@ def trailing_sums(
         return framed(timed)
     marked = _mark(timed, keys, listed)
     hot = marked.filter(F.col(HOT)).drop(HOT)
-    ends = sorted({hi for _, hi in spans.values()} | {lo - 1 for lo, _ in spans.values()})
-    asks = F.array(
-        F.struct(F.lit(-1).alias("ask"), F.lit(0).cast("long").alias("shift")),
-        *[F.struct(F.lit(i).alias("ask"), F.lit(e).cast("long").alias("shift")) for i, e in enumerate(ends)],
-    )
-    own = F.col("_ask.ask") == -1
+    warm = hot.drop("_us")
+    for label, (lo, hi) in spans.items():
+        length = max(1, min(slice_seconds * 1_000_000, hi - lo))
+        parts = _sums_by_slices(hot, keys, row_id, lo, hi, length, measures).select(
+            F.col("_id").alias(f"_id_{label}"), *[F.col(m).alias(f"{m}_{label}") for m in measures]
+        )
+        warm = warm.join(parts, F.col(row_id) == F.col(f"_id_{label}"))
+    return framed(marked.filter(~F.col(HOT))).unionByName(warm.select(*df.columns, *names)).select(*df.columns, *names)
+
+
+def _sums_by_slices(hot: DataFrame, keys: list[str], row_id: str, lo: int, hi: int, length: int, measures: dict[str, Column]) -> DataFrame:
+    """(_id, measures): each row's sums over [_us + lo, _us + hi], from slices of ``length`` microseconds."""
+    slice_of = lambda at: F.floor(at / F.lit(length)).cast("long")
     points = hot.select(
-        *keys,
-        F.col(row_id).alias("_id"),
-        F.col("_us").alias("_base"),
-        F.struct(*[F.col(c) for c in df.columns]).alias("_row"),
-        *[c.alias(f"_m_{m}") for m, c in measures.items()],
-        F.explode(asks).alias("_ask"),
-    ).select(
-        *keys,
-        "_id",
-        F.col("_ask.ask").alias("_ask"),
-        (F.col("_base") + F.col("_ask.shift")).alias("_at"),
-        F.when(own, F.col("_row")).alias("_row"),
-        *[
-            F.when(own, F.col(f"_m_{m}").cast(EXACT) if m in floats else F.col(f"_m_{m}")).alias(f"_m_{m}")
-            for m in measures
-        ],
-    )
-    summed = running_sums(
-        points, keys, F.col("_at"), {f"_s_{m}": F.col(f"_m_{m}") for m in measures},
-        time_slice(F.col("_at"), slice_seconds), all_hot=True,
+        *keys, F.col(row_id).alias("_id"), F.col("_us").alias("_base"), *[c.alias(f"_m_{m}") for m, c in measures.items()],
+        F.explode(F.array(F.lit("row"), F.lit("old"), F.lit("new"))).alias("_ask"),
     )
-    answers = summed.groupBy("_id").agg(
-        F.any_value("_row", True).alias("_row"),
-        *[
-            F.max(F.when(F.col("_ask") == i, F.col(f"_s_{m}"))).alias(f"_e{i}_{m}")
-            for i in range(len(ends))
-            for m in measures
-        ],
+    own = F.col("_ask") == "row"
+    at = F.col("_base") + F.when(F.col("_ask") == "old", F.lit(lo)).when(F.col("_ask") == "new", F.lit(hi)).otherwise(F.lit(0))
+    points = points.select(
+        *keys, "_id", "_base", "_ask", at.alias("_at"), slice_of(at).alias(SLICE), *[F.when(own, F.col(f"_m_{m}")).alias(f"_m_{m}") for m in measures]
     )
-    index = {e: i for i, e in enumerate(ends)}
-    warm = answers.select(
-        *[F.col(f"_row.{c}").alias(c) for c in df.columns],
-        *[
-            _difference(F.col(f"_e{index[hi]}_{m}"), F.col(f"_e{index[lo - 1]}_{m}"), m in floats).alias(f"{m}_{s}")
-            for s, (lo, hi) in spans.items()
-            for m in measures
-        ],
+    inner = Window.partitionBy(*keys, SLICE).orderBy("_at")
+    up_to, on_from = inner.rangeBetween(Window.unboundedPreceding, 0), inner.rangeBetween(0, Window.unboundedFollowing)
+    one = hi - lo < length  # such a range may lie in one slice; slices of one microsecond then hold it whole
+    edges = points.select(
+        *keys, "_id", "_base", "_ask", SLICE,
+        *[F.when(F.col("_ask") == "new", F.sum(f"_m_{m}").over(up_to)).otherwise(F.sum(f"_m_{m}").over(on_from)).alias(f"_e_{m}") for m in measures],
+    ).filter(~own)
+    whole = (hi - lo) // length  # slices between the two ends: one less than this, or this many
+    outer = Window.partitionBy(*keys).orderBy(SLICE)
+    between = {k: outer.rangeBetween(-k, -1) for k in (whole - 1, whole) if k > 0}
+    per_slice = points.groupBy(*keys, SLICE).agg(*[F.sum(f"_m_{m}").alias(f"_c_{m}") for m in measures]).select(
+        *keys, SLICE, *[F.sum(f"_c_{m}").over(w).alias(f"_w{k}_{m}") for k, w in between.items() for m in measures]
     )
-    return framed(marked.filter(~F.col(HOT))).unionByName(warm).select(*df.columns, *names)
-
-
-def _difference(end: Column, before: Column, as_double: bool) -> Column:
-    return (end.cast(WIDE) - before.cast(WIDE)).cast("double") if as_double else end - before
+    joined = null_safe_join(edges, per_slice, [*keys, SLICE])
+    count = slice_of(F.col("_base") + hi) - slice_of(F.col("_base") + lo) - 1
+
+    def middle(m: str) -> Column:
+        found = F.lit(None)
+        for k in between:
+            found = F.when((F.col("_ask") == "new") & (count == k), F.col(f"_w{k}_{m}")).otherwise(found)
+        return found
+
+    same = F.lit(one) & (F.col("_ask") == "old") & (count == -1)  # counted by the other end already
+    parts = [F.when(~same, F.coalesce(F.col(f"_e_{m}"), F.lit(0)) + F.coalesce(middle(m), F.lit(0))).alias(m) for m in measures]
+    return joined.select("_id", *parts).groupBy("_id").agg(*[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures])
 
 
 def distinct_trailing(

@@ -13,7 +13,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def spark():
     from ledgerwatch.session import local_session
 
-    session = local_session(cpus=8, shuffle_partitions=4)
+    session = local_session(cpus=8, shuffle_partitions=4, **{"spark.default.parallelism": "2"})
     session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerwatch-tests-"))
     yield session
 

@@ -149,7 +149,19 @@ def test_hot_sums_forget_large_old_amounts(spark):
     same(build, "transaction_id", "s_w", "q_w")
 
 
-def test_hot_key_list_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(tl, "MOST_HOT", 3)
+def test_all_hot_keys_are_listed_however_many(spark, log, monkeypatch):
+    monkeypatch.setattr(tl, "BROADCAST_HOT", 3)
     df = spark.range(100).select((F.col("id") % 10).alias("k"))
-    assert tl.list_hot_keys(df, "k", 5).count() == 3
+    assert tl.list_hot_keys(df, "k", 5).count() == 10
+    same(lambda h: windows.gaps(log, hot_rows=h), "transaction_id", "time_diff_prev", "time_diff_next")
+
+
+@pytest.mark.parametrize("size", [1e-11, 1e21, float("inf")])
+def test_hot_sums_hold_any_double(spark, size):
+    many = [(1, f"t{i:03d}", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=37 * (i // 2)), size * (1 + i % 3)) for i in range(60)]
+    df = spark.createDataFrame(many, "user_id long, transaction_id string, ts timestamp, amount double")
+    spans = {"short": (-100_000_000, 0), "day": (-86_400_000_000 + 1, 0), "before": (-100_000_000, -1), "now": (0, 0)}
+    build = lambda h: tl.trailing_sums(df, "user_id", micros("ts"), "transaction_id", spans, {"s": F.col("amount"), "n": F.lit(1)}, h, 300)
+    cold = {r.transaction_id: r for r in build(COLD).collect()}
+    for r in build(5).collect():
+        assert all(r[c] == pytest.approx(cold[r.transaction_id][c], rel=1e-12) for c in r.asDict() if c[:2] in ("s_", "n_"))
