@@ -16,6 +16,7 @@ from ledgerwatch.functions import timeline as tl
 from ledgerwatch.functions.columns import by_mean, geohash, haversine_km, micros, safe_ratio, time_bucket
 from ledgerwatch.operators.common import anchor, event_age, since
 from ledgerwatch.operators.rules import is_round
+from ledgerwatch.sources.writers import refresh_partitions
 
 DAY, HOUR, MINUTE = 86_400, 3_600, 60
 
@@ -141,15 +142,14 @@ def volume_5min(rows: DataFrame) -> DataFrame:
     )
 
 
-def refresh_buckets(
-    stored: DataFrame, facts: DataFrame, aggregate: Callable[[DataFrame], DataFrame], bucket: str, bucket_seconds: int,
-    start: Column, end: Column, ts: str = "ts",
+def refresh_table(
+    path: str, facts: DataFrame, aggregate: Callable[[DataFrame], DataFrame], bucket: str, bucket_seconds: int, start: Column, end: Column,
+    ts: str = "ts", period: str = "month",
 ) -> DataFrame:
-    """A stored bucket table with the buckets of [start, end) computed anew from the facts."""
+    """The stored bucket table at ``path`` with the buckets of [start, end) computed anew; writes the changed partitions only."""
     low, high = time_bucket(bucket_seconds, start), time_bucket(bucket_seconds, end)
-    kept = stored.filter((F.col(bucket) < low) | (F.col(bucket) >= high))
     fresh = aggregate(facts.filter((F.col(ts) >= low) & (F.col(ts) < high)))
-    return kept.unionByName(fresh)
+    return refresh_partitions(path, fresh, bucket, low, high, period)
 
 
 def fraud_stats(df: DataFrame, start=None, end=None, as_of=None) -> DataFrame:

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from ledgerwatch.operators import aggregates as ag
 from ledgerwatch.plans.registry import cte, query
+from ledgerwatch.sources import writers
+from ledgerwatch.sources.files import scratch
 
 DAY = 86400
 
@@ -157,9 +159,10 @@ def agg_7(t):
     last = facts.agg(F.max("ts")).scalar()
     cutoff = F.date_trunc("day", last - F.expr("INTERVAL 90 DAYS"))
     stale = ag.detection_summary(facts.filter(F.col("ts") < cutoff - F.expr("INTERVAL 7 DAYS")), DAY)
-    return ag.refresh_buckets(
-        stale, facts, lambda d: ag.detection_summary(d, DAY), "bucket", DAY, cutoff - F.expr("INTERVAL 30 DAYS"),
-        last + F.expr("INTERVAL 1 DAY"),
+    path = scratch(t.spark, "daily-detections")
+    writers.write_partitioned(stale, path, ts="bucket")
+    return ag.refresh_table(
+        path, facts, lambda d: ag.detection_summary(d, DAY), "bucket", DAY, cutoff - F.expr("INTERVAL 30 DAYS"), last + F.expr("INTERVAL 1 DAY")
     )
 
 

@@ -243,8 +243,9 @@ def str_15(t):
 
 @query("STR-16", uses="ev", sql="SELECT COUNT(*) AS events_processed, true AS has_throughput, true AS has_latency FROM ev")
 def str_16(t):
-    run = jobs.write_batches(events(t), {"events": lambda b: b}, scratch(t.spark, "measured"), scratch(t.spark, "measured-checkpoint"))
-    m = jobs.run_metrics(jobs.progress_table(t.spark, run))
+    with jobs.ProgressLog(t.spark, scratch(t.spark, "progress")) as log:
+        run = jobs.write_batches(events(t), {"events": lambda b: b}, scratch(t.spark, "measured"), scratch(t.spark, "measured-checkpoint"))
+        m = jobs.run_metrics(log.rows(run))
     return m.select(
         "events_processed", (F.col("throughput") > 0).alias("has_throughput"),
         (

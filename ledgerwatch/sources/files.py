@@ -41,6 +41,14 @@ def partitions(spark: SparkSession, path: str, column: str) -> dict[str, str]:
     return found
 
 
+def drop_listed(spark: SparkSession, path: str, column: str, values: set[str]) -> None:
+    """Delete the partitions with these values."""
+    for value, folder in partitions(spark, path, column).items():
+        if value in values:
+            fs, where = _fs(spark, folder)
+            fs.delete(where, True)
+
+
 def drop_partitions(spark: SparkSession, path: str, column: str, before: str) -> list[str]:
     """Delete the partitions whose value sorts before the cutoff; return their values."""
     old = {v: p for v, p in partitions(spark, path, column).items() if v < before and not v.startswith("__")}

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwatch.sources.files import drop_partitions
+from ledgerwatch.sources.files import drop_listed, drop_partitions, written
 
 
 def save_results(scored: DataFrame, summary: DataFrame, folder: str) -> None:
@@ -66,6 +66,25 @@ def write_partitioned(df: DataFrame, path: str, period: str = "month", ts: str =
     return column
 
 
+def refresh_partitions(path: str, fresh: DataFrame, bucket: str, low: Column, high: Column, period: str = "month") -> DataFrame:
+    """Replace the rows of a table with ``low <= bucket < high`` by ``fresh``; only the partitions of that range change.
+
+    ``path`` was written by ``write_partitioned`` with the bucket as time. Rows of the outermost partitions that lie outside
+    the range are read and written again; partitions that get no row are deleted, all others keep their files.
+    """
+    spark, column = fresh.sparkSession, f"{period}_of"
+    stored = spark.read.parquet(path).withColumn(column, F.col(column).cast("string"))
+    first, last = (F.date_format(c, PERIODS[period]) for c in (low, high - F.expr("INTERVAL 1 MICROSECOND")))
+    touched = stored.filter(F.col(column).between(first, last))
+    outside = touched.filter((F.col(bucket) < low) | (F.col(bucket) >= high)).drop(column)
+    rows = written(outside.unionByName(fresh), "refreshed")
+    old = {r[0] for r in touched.select(column).distinct().collect()}
+    new = {r[0] for r in rows.select(F.date_format(bucket, PERIODS[period])).distinct().collect()}
+    write_partitioned(rows, path, period, bucket)
+    drop_listed(spark, path, column, old - new)
+    return spark.read.schema(fresh.schema).parquet(path).drop(column)
+
+
 def expire(spark: SparkSession, path: str, column: str, before: str) -> list[str]:
     """Retention: delete the partitions older than the cutoff."""
     return drop_partitions(spark, path, column, before)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerwatch.functions.columns import micros
@@ -288,6 +290,61 @@ def progress_table(spark: SparkSession, query) -> DataFrame:
     return spark.createDataFrame(rows, "batch_id long, input_rows long, rows_per_second double, latency_ms double")
 
 
+class ProgressLog(StreamingQueryListener):
+    """Writes a row for each progress report of the session's streaming queries to a Parquet table, while they run.
+
+    Unlike a query's own list it keeps every batch: rows go out in groups of ``group`` and when a query ends. Use it as a
+    context around the runs, then read those of one run with ``rows``.
+    """
+
+    SCHEMA = "run_id string, batch_id long, input_rows long, late_rows long, rows_per_second double, latency_ms double"
+
+    def __init__(self, spark: SparkSession, path: str, group: int = 256):
+        self.spark, self.path, self.group = spark, path, group
+        self.held, self.ended, self.changed = [], set(), threading.Condition()
+
+    def __enter__(self) -> ProgressLog:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *failure) -> None:
+        self.spark.streams.removeListener(self)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        late = sum(int(s.numRowsDroppedByWatermark) for s in p.stateOperators)
+        self.held.append(
+            (str(p.runId), p.batchId, int(p.numInputRows), late, float(p.processedRowsPerSecond or 0.0), float(p.durationMs.get("triggerExecution", 0)))
+        )
+        if len(self.held) >= self.group:
+            self._write()
+
+    def onQueryTerminated(self, event) -> None:
+        self._write()
+        with self.changed:
+            self.ended.add(str(event.runId))
+            self.changed.notify_all()
+
+    def _write(self) -> None:
+        if self.held:
+            self.spark.createDataFrame(self.held, self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+            self.held = []
+
+    def rows(self, query, seconds: float = 60.0) -> DataFrame:
+        """All progress rows of a query that has ended; raises if its end is not reported in time."""
+        run = str(query.runId)
+        with self.changed:
+            if not self.changed.wait_for(lambda: run in self.ended, seconds):
+                raise TimeoutError(f"the end of run {run} was not reported")
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path).where(F.col("run_id") == run)
+
+
 def run_metrics(progress: DataFrame) -> DataFrame:
     """Throughput and latency figures of a run."""
     return progress.agg(

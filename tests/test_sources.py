@@ -84,3 +84,18 @@ def test_filter_and_columns_reach_the_scan(tables):
     assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,100000.0)]" in plan
     slim = tables.tx_slim.select("transaction_id", "amount")._jdf.queryExecution().toString()
     assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in slim
+
+
+def test_refresh_writes_only_changed_partitions(spark, tmp_path):
+    path, day = str(tmp_path / "days"), lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    kind = "bucket timestamp, n long"
+    assert wr.write_partitioned(spark.createDataFrame([(day(n), n) for n in range(150)], kind), path, ts="bucket") == "month_of"
+    files = lambda: {v: sorted(p.name for p in (tmp_path / "days" / f"month_of={v}").glob("part-*")) for v in partitions(spark, path, "month_of")}
+    before = files()
+    fresh = spark.createDataFrame([(day(n), -n) for n in range(50, 58)], kind)
+    got = wr.refresh_partitions(path, fresh, "bucket", F.lit(day(50)), F.lit(day(100)))
+    want = [(day(n), -n if 50 <= n < 58 else n) for n in range(150) if n < 58 or n >= 100]
+    assert sorted((r.bucket, r.n) for r in got.collect()) == want
+    after = files()
+    assert {v for v in before if after.get(v) == before[v]} == {"2024-01", "2024-05"}
+    assert set(before) - set(after) == {"2024-03"}  # lost all its rows

@@ -187,3 +187,21 @@ def test_progress_raises_rather_than_forgets(spark):
         jobs.progress_table(spark, Run)
     with pytest.raises(ValueError):
         jobs.late_rows(Run)
+
+
+def test_progress_log_keeps_more_batches_than_the_query(spark, tmp_path, batches):
+    src = stream(spark, land(spark, tmp_path / "in", batches))
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        with jobs.ProgressLog(spark, str(tmp_path / "progress"), group=4) as log:
+            runs = [jobs.write_batches(src, {"e": lambda b: b}, str(tmp_path / f"out{k}"), str(tmp_path / f"c{k}")) for k in range(2)]
+            logged = [log.rows(run) for run in runs]
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    for run, found in zip(runs, logged):
+        assert len(run.recentProgress) <= 2
+        assert [(r.batch_id, r.input_rows) for r in found.where("input_rows > 0").orderBy("batch_id").collect()] == [(k, 150) for k in range(6)]
+        m = jobs.run_metrics(found).first()
+        latencies = [r.latency_ms for r in found.collect()]
+        assert m.events_processed == 900 and (m.latency_min_ms, m.latency_max_ms) == (min(latencies), max(latencies))
+        assert m.latency_mean_ms == pytest.approx(sum(latencies) / len(latencies))
