@@ -6,10 +6,11 @@ import re
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerwatch.functions.columns import col
+from ledgerwatch.sources.files import written
 
 # English stop words of the standard search analyser.
 STOP_WORDS = (
@@ -115,6 +116,72 @@ def search(
     return docs.join(page, doc_id)
 
 
+# ---- stored postings ------------------------------------------------------------------------
+
+#: Documents of one block of a term, at most some; groups of documents that are looked at before the threshold is known.
+BLOCK_DOCS, FIRST_GROUPS = 50_000, 8
+SATURATION, NORM = 1.2, 0.75
+BLOCKS = "term string, `group` long, n long, top double, docs array<struct<doc_id:long,tf:long,len:long>>, bucket int"
+
+
+def write_index(docs: DataFrame, path: str, doc_id: str = "doc_id", text="text", buckets: int = 64) -> None:
+    """An inverted index at ``path``: ``blocks`` of postings by hash of the term, and ``figures`` of the collection.
+
+    Documents are dealt to groups by hash; a block has a term's documents of one group with the term's count and the length,
+    and ``top``, the largest part of a BM25 score (without the term's weight) any of them can have. So a very common term
+    is many rows of bounded size. Texts are read and tokenised once, here.
+    """
+    spark = docs.sparkSession
+    whole = Window.partitionBy(doc_id)
+    per = written(postings(docs, doc_id, text).withColumn("len", F.sum("tf").over(whole)), "postings")
+    n = docs.count()
+    words = per.agg(F.sum("tf")).first()[0] or 0
+    spark.createDataFrame([(n, words, buckets)], "docs long, words long, buckets int").write.mode("overwrite").parquet(f"{path}/figures")
+    mean, groups = words / max(n, 1), max(16, n // BLOCK_DOCS)
+    part = F.col("tf") / (F.col("tf") + SATURATION * (1 - NORM + NORM * F.col("len") / F.lit(mean or 1.0)))
+    blocks = per.groupBy("term", F.pmod(F.xxhash64(doc_id), F.lit(groups)).alias("group")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(part).alias("top"), F.collect_list(F.struct(F.col(doc_id).cast("long").alias("doc_id"), "tf", "len")).alias("docs")
+    )
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    spread = blocks.withColumn("bucket", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "group")
+    spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+
+
+def index_blocks(spark: SparkSession, path: str, wanted: Sequence[str]) -> DataFrame:
+    """The blocks of some terms: only the folders of their hashes are listed, only their row groups read."""
+    buckets = spark.read.parquet(f"{path}/figures").first()["buckets"]
+    dealt = spark.createDataFrame([(w,) for w in wanted], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct()
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
+    return blocks.where(F.col("bucket").isin([r[0] for r in dealt.collect()]) & F.col("term").isin(list(wanted)))
+
+
+def search_index(spark: SparkSession, path: str, query: str, k: int = 100, offset: int = 0) -> DataFrame:
+    """(doc_id, score) of the best documents with any query term by BM25, then the smallest ``doc_id``, from a written index.
+
+    A group of documents can't score above the sum of its blocks' tops. The groups with the highest sums are scored first;
+    the score that the page needs then rules out all groups whose sum is lower, and only the others' postings are read.
+    """
+    wanted = query_terms(spark.range(0), query)
+    blocks, figures = index_blocks(spark, path, wanted), spark.read.parquet(f"{path}/figures").first()
+    heads = blocks.select("term", "group", "n", "top")
+    known = heads.groupBy("term").agg(F.sum("n").alias("df")).withColumn(
+        "weight", F.log(1 + (figures["docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (SATURATION + 1)
+    )
+    weights = F.broadcast(known.select("term", "weight"))  # a row per query term
+    bounds = written(heads.join(weights, "term").groupBy("group").agg(F.sum(F.col("top") * F.col("weight")).alias("bound")), "search-bounds")
+    norm = SATURATION * (1 - NORM + NORM * F.col("p.len") / F.lit(figures["words"] / max(figures["docs"], 1) or 1.0))
+
+    def scored(groups: DataFrame) -> DataFrame:
+        hits = blocks.join(weights, "term").join(groups.select("group"), "group", "left_semi").select("weight", F.explode("docs").alias("p"))
+        return hits.groupBy("p.doc_id").agg(F.sum(F.col("weight") * F.col("p.tf") / (F.col("p.tf") + norm)).alias("score"))
+
+    order = [F.desc(F.round("score", 9)), F.col("doc_id")]
+    first = scored(bounds.orderBy(F.desc("bound"), "group").limit(FIRST_GROUPS)).orderBy(*order).limit(offset + k)
+    found, least = first.agg(F.count(F.lit(1)), F.min("score")).first()
+    live = bounds if found < offset + k else bounds.where(F.col("bound") >= least - 1e-6)
+    return scored(live).orderBy(*order).offset(offset).limit(k)
+
+
 def highlight(text: Column, query: Sequence[str], before: str = "<em>", after: str = "</em>") -> Column:
     """The text with every whole query word marked (case-insensitive)."""
     choices = "|".join(re.escape(w) for w in sorted(query, key=len, reverse=True))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerwatch.operators import text as tx
 from ledgerwatch.plans.registry import cte, query
+from ledgerwatch.sources.files import scratch
 
 STOPS = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
 
@@ -61,20 +62,25 @@ WHERE {" OR ".join(f"{tf(q)} > 0" for q in LIST)} ORDER BY ROUND(score, 9) DESC,
 """)
 
 
+def found(t):
+    """Index the texts, then search the index alone."""
+    path = scratch(t.spark, "text-index")
+    tx.write_index(t.raw("documents"), path)
+    return tx.search_index(t.spark, path, QUERY, 50, 10)
+
+
 @query("TXT-3", uses="analysed hits", rounded="score", sql="SELECT doc_id, score FROM hits")
 def txt_3(t):
-    order = [F.desc(F.round("score", 9)), F.col("doc_id")]
-    return tx.search(t.raw("documents"), QUERY, k=50, offset=10, sort=order).select("doc_id", "score")
+    return found(t)
 
 
 @query("TXT-4", uses="analysed hits", sql=f"""
 SELECT doc_id, CAST(len(list_filter({words_sql('text')}, lambda w: w IN ('ther', 'tion', 'than'))) AS BIGINT) AS marks FROM hits
 """)
 def txt_4(t):
-    order = [F.desc(F.round("score", 9)), F.col("doc_id")]
-    found = tx.search(t.raw("documents"), QUERY, k=50, offset=10, sort=order)
     marked = tx.highlight(F.col("text"), LIST)
-    return found.select("doc_id", ((F.length(marked) - F.length("text")) / 9).cast("long").alias("marks"))
+    page = t.raw("documents").select("doc_id", "text").join(F.broadcast(found(t).select("doc_id")), "doc_id")
+    return page.select("doc_id", ((F.length(marked) - F.length("text")) / 9).cast("long").alias("marks"))
 
 
 TRI = "list_distinct(flatten([[substr('  ' || w || ' ', i, 3) FOR i IN range(1, len(w) + 2)] FOR w IN string_split(lower(name), ' ')]))"
