@@ -14,12 +14,14 @@ Pass a :class:`HotKeys` in place of the number to reuse one counting pass over s
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerwatch.session import cut_lineage
+from ledgerwatch.sources.files import written
 
 HOT_ROWS = 1_000_000
 #: Up to so many hot keys are broadcast as a local list; more stay a table, which is joined as Spark sees fit.
@@ -360,9 +362,29 @@ def top_rows(
     return ranked.withColumnRenamed("_rn", rank) if rank else ranked.drop("_rn")
 
 
-def value_slice(value: Column) -> Column:
-    """A bucket number that grows with the value: 64 buckets per factor of e."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * 64)
+#: Distinct values of one slice, roughly, and the most slices.
+SLICE_VALUES, MOST_SLICES = 500_000, 1024
+
+
+def even_slices(counts: DataFrame, value: str, slice_values: int = SLICE_VALUES) -> Column:
+    """A slice number that grows with ``value``, from bounds between which ``counts`` has like numbers of rows.
+
+    The bounds come from a sketch of the values (combined map-side), so slices are even wherever the values lie; a value
+    that many rows share is one row of ``counts``. Nulls come before all slices, what is no number in the last.
+    """
+    number = F.col(value).cast("double")
+    shares = [i / MOST_SLICES for i in range(1, MOST_SLICES)]
+    n, sketch = counts.agg(F.count(value), F.percentile_approx(number, shares, 20 * MOST_SLICES)).first()
+    wanted = min(MOST_SLICES, max(1, -(-(n or 0) // slice_values), 8 if n and n > 64 else 1))
+    step = MOST_SLICES // wanted
+    bounds = sorted({x for x in (sketch or [])[step - 1:: step] if math.isfinite(x)})
+
+    def tree(lo: int, hi: int) -> str:
+        mid = (lo + hi) // 2
+        return str(lo) if lo == hi else f"if(_v <= {bounds[mid]!r}D, {tree(lo, mid)}, {tree(mid + 1, hi)})"
+
+    found = F.expr(tree(0, len(bounds)).replace("_v", f"cast(`{value}` AS double)"))
+    return F.when(number.isNull(), -1).otherwise(found).cast("long")
 
 
 def exact_quantiles(
@@ -370,13 +392,13 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per group without holding a group in one task.
 
-    Values are counted first (combined map-side), ranks come from sliced running sums of the counts, and only the rows
-    that cover a wanted rank reach the final group-by.
+    Values are counted first (combined map-side) and written, ranks come from running sums of the counts over even slices of
+    the values, and only the rows that cover a wanted rank reach the final group-by.
     """
     keys = _names(group)
     size = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(size.alias("_n"))
-    counts = counts.withColumn(SLICE, value_slice(F.col(value).cast("double")).cast("long"))
+    counts = written(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(size.alias("_n")), "value-counts")
+    counts = counts.withColumn(SLICE, even_slices(counts, value))
     inner = Window.partitionBy(*keys, SLICE).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     all_rows = Window.partitionBy(*keys)
     per_slice = counts.groupBy(*keys, SLICE).agg(F.sum("_n").alias("_c")).select(

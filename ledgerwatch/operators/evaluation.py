@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerwatch.functions import timeline as tl
 from ledgerwatch.operators.aggregates import confusion_counts, rates_from_confusion
 from ledgerwatch.operators.common import since
+from ledgerwatch.sources.files import written
 
 
 def auc(df: DataFrame, keys: Sequence[str] = (), score: str = "score", label: str = "label") -> DataFrame:
@@ -21,10 +22,8 @@ def auc(df: DataFrame, keys: Sequence[str] = (), score: str = "score", label: st
     key = list(keys) or ["_all"]
     base = df if keys else df.withColumn("_all", F.lit(1))
     y = F.col(label).cast("boolean")
-    counts = base.groupBy(*key, score).agg(F.count_if(y).alias("_p"), F.count_if(~y).alias("_n"))
-    ranked = tl.running_sums(
-        counts, key, F.col(score), {"_below": F.col("_n")}, tl.value_slice(F.col(score).cast("double")), all_hot=True
-    )
+    counts = written(base.groupBy(*key, score).agg(F.count_if(y).alias("_p"), F.count_if(~y).alias("_n")), "score-counts")
+    ranked = tl.running_sums(counts, key, F.col(score), {"_below": F.col("_n")}, tl.even_slices(counts, score), all_hot=True)
     wins = F.sum(F.col("_p") * (F.col("_below") - F.col("_n") / 2.0))
     out = ranked.groupBy(*key).agg(wins.alias("_w"), F.sum("_p").alias("_tp"), F.sum("_n").alias("_tn"))
     both = F.col("_tp").cast("double") * F.col("_tn")

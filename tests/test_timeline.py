@@ -165,3 +165,16 @@ def test_hot_sums_hold_any_double(spark, size):
     cold = {r.transaction_id: r for r in build(COLD).collect()}
     for r in build(5).collect():
         assert all(r[c] == pytest.approx(cold[r.transaction_id][c], rel=1e-12) for c in r.asDict() if c[:2] in ("s_", "n_"))
+
+
+def test_slices_are_even_wherever_the_values_lie(spark):
+    rng = np.random.RandomState(5)
+    for values in (0.3 + 0.1 * rng.rand(4000), np.concatenate([rng.randn(4000) * 1e-9, [1e300, -1e300, np.inf, np.nan]])):
+        counts = spark.createDataFrame([(float(v),) for v in values], "v double")
+        sliced = counts.withColumn("s", tl.even_slices(counts, "v", slice_values=100))
+        rows_ = sliced.groupBy("s").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("s").collect()
+        assert len(rows_) > 30 and max(r.n for r in rows_) < 260
+        assert all(a.hi < b.lo for a, b in zip(rows_, rows_[1:]) if not np.isnan(b.lo))
+    same = spark.createDataFrame([(0.35,)] * 50, "v double")
+    assert same.select(tl.even_slices(same, "v", 1).alias("s")).distinct().count() == 1
+    assert same.limit(0).select(tl.even_slices(same.limit(0), "v")).count() == 0
