@@ -9,10 +9,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerwatch.functions.columns import micros
 from ledgerwatch.operators.rules import build_alerts, stream_decision, stream_level, stream_score
+from ledgerwatch.streaming import stateful
 
 
 def run_available(writer, checkpoint: str):
@@ -82,106 +82,50 @@ def split_late(df: DataFrame, folder: str, checkpoint: str, ts: str = "ts", late
 
 # ---- stateful detectors ---------------------------------------------------------------------
 
-def _sorted_rows(batches, columns):
-    import pandas as pd
-
-    frames = list(batches)
-    frame = pd.concat(frames) if len(frames) > 1 else frames[0]
-    return frame.sort_values(columns)
-
-
-def _with_past(frame, state: GroupState, columns: list[str]):
-    """The rows kept in the state (one array per column) and those of the batch, in order; ``new`` tells them apart."""
-    import pandas as pd
-
-    now = frame[columns].assign(new=True)
-    if not state.exists:
-        return now
-    past = pd.DataFrame({c: list(v) for c, v in zip(columns, state.get)}).assign(new=False)
-    return pd.concat([past, now]).sort_values(["us", "transaction_id"], kind="stable")
-
-
 def user_velocity_stream(
-    events: DataFrame, watermark: str = "1 minute", seconds: int = 300, min_count: int = 5, rows: int = 100, expiry: str = "30 minutes"
+    events: DataFrame, watermark: str = "1 minute", seconds: int = 300, min_count: int = 5, rows: int = 100, expiry: str = "30 minutes",
+    corrections: bool = False,
 ) -> DataFrame:
-    """Alerts of users with many transactions in a short time.
+    """Alerts of users with many transactions in a short time, among their last ``rows``.
 
-    State is the user's last ``rows`` events, in order, so that an event which arrives late within the watermark takes its
-    place among them; it is kept for ``expiry`` and never for less than ``seconds``.
+    State is kept by user and time bucket of length ``expiry`` (never less than ``seconds``) until the watermark has passed
+    the bucket; a late event takes its place among the others. With ``corrections`` the alerts that it changes go out again
+    under a higher ``revision``: ``stateful.latest()`` has the last ones.
     """
     span = seconds * 1_000_000
-    keep_ms = max(_milliseconds(expiry), seconds * 1000)
-    schema = "transaction_id string, user_id long, transaction_count long, total_amount double, unique_merchants long"
-
-    def detect(key, batches, state: GroupState):
-        import pandas as pd
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        frame = _sorted_rows(batches, ["us", "transaction_id"])
-        both = _with_past(frame, state, ["us", "amount", "merchant_id", "transaction_id"])
-        us = both["us"].to_numpy("int64")
-        first = np.maximum(np.searchsorted(us, us - span, "left"), np.arange(len(us)) - rows + 1)
-        counts = np.arange(len(us)) + 1 - first
-        sums = np.concatenate([[0.0], np.cumsum(both["amount"].to_numpy("float64"))])
-        hit = np.flatnonzero(both["new"].to_numpy(bool) & (counts >= min_count))
-        merchants, ids = both["merchant_id"].to_numpy(object), both["transaction_id"].to_numpy(object)
-        out = [(ids[i], int(key[0]), int(counts[i]), sums[i + 1] - sums[first[i]], len(set(merchants[first[i]: i + 1]))) for i in hit]
-        kept = both.tail(rows)
-        state.update((kept["us"].tolist(), kept["amount"].tolist(), kept["merchant_id"].tolist(), kept["transaction_id"].tolist()))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(us[-1]) // 1000) + keep_ms)
-        if out:
-            yield pd.DataFrame(out, columns=["transaction_id", "user_id", "transaction_count", "total_amount", "unique_merchants"])
-
-    keyed = events.withWatermark("ts", watermark).select(
-        "user_id", "ts", micros("ts").alias("us"), "transaction_id", "amount", F.col("merchant_id").cast("string").alias("merchant_id")
-    )
-    return keyed.groupBy("user_id").applyInPandasWithState(
-        detect, schema, "us array<long>, amount array<double>, merchant array<string>, id array<string>", "append", GroupStateTimeout.EventTimeTimeout
+    length = max(stateful.milliseconds(expiry) * 1000, span)
+
+    def first(us):
+        return np.maximum(np.searchsorted(us, us - span, "left"), np.arange(len(us)) - rows + 1)
+
+    columns = {"us": "long", "amount": "double", "merchant": "string", "transaction_id": "string"}
+    processor = stateful.Trailing(columns, length, first, stateful.velocity(rows, min_count), corrections)
+    schema = "user_id long, transaction_id string, transaction_count long, total_amount double, unique_merchants long"
+    found = stateful.trailing(
+        events, "user_id", watermark, span, length, processor, schema, amount=F.col("amount"),
+        merchant=F.col("merchant_id").cast("string"), transaction_id=F.col("transaction_id"),
     )
+    last = ["revision"] if corrections else []
+    return found.select("transaction_id", "user_id", "transaction_count", "total_amount", "unique_merchants", *last)
 
 
 def merchant_anomaly_stream(
-    events: DataFrame, watermark: str = "1 hour", count_factor: float = 3.0, amount_factor: float = 5.0, buckets: int = 24
+    events: DataFrame, watermark: str = "1 hour", count_factor: float = 3.0, amount_factor: float = 5.0, buckets: int = 24,
+    expiry: str = "30 days", corrections: bool = False,
 ) -> DataFrame:
-    """Alerts of merchants whose current hour is far above their last hours; state is one sum per kept hour."""
-    schema = (
-        "transaction_id string, merchant_id long, current_count long, baseline_count double, current_amount double, baseline_amount double"
-    )
+    """Alerts of merchants whose current hour is far above their last hours with activity.
 
-    def detect(key, batches, state: GroupState):
-        import pandas as pd
-
-        hours, counts, amounts, seen = ([], [], [], 0)
-        if state.exists:
-            hours, counts, amounts, seen = (list(v) if hasattr(v, "__iter__") else v for v in state.get)
-        out = []
-        frame = _sorted_rows(batches, ["us", "transaction_id"])
-        for us, tid, amount in zip(frame["us"], frame["transaction_id"], frame["amount"]):
-            hour = int(us) // 3_600_000_000
-            if hour not in hours:
-                hours.append(hour), counts.append(0), amounts.append(0.0)
-                seen += 1
-                if len(hours) > buckets:
-                    oldest = hours.index(min(hours))
-                    del hours[oldest], counts[oldest], amounts[oldest]
-            if hour not in hours:
-                continue
-            at = hours.index(hour)
-            counts[at] += 1
-            amounts[at] += float(amount)
-            if seen > buckets:
-                usual_n, usual_a = sum(counts) / len(counts), sum(amounts) / len(amounts)
-                if counts[at] > usual_n * count_factor or amounts[at] > usual_a * amount_factor:
-                    out.append((tid, int(key[0]), counts[at], usual_n, amounts[at], usual_a))
-        state.update((hours, counts, amounts, seen))
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-
-    keyed = events.withWatermark("ts", watermark).select("merchant_id", "ts", micros("ts").alias("us"), "transaction_id", "amount")
-    return keyed.groupBy("merchant_id").applyInPandasWithState(
-        detect, schema, "hours array<long>, counts array<long>, amounts array<double>, seen long", "append", GroupStateTimeout.NoTimeout
+    State holds the events of the hours that the watermark has not passed and one sum for each of the last ``buckets``
+    before them; it goes, and a merchant begins anew, after ``expiry`` (whole hours) without an event. With ``corrections``
+    a late event sends out again all later results it may change, with a ``revision`` and whether they are an ``alert``
+    still. Events without a time are left out.
+    """
+    schema = "transaction_id string, merchant_id long, current_count long, baseline_count double, current_amount double, baseline_amount double"
+    idle = -(-stateful.milliseconds(expiry) // 3_600_000)
+    processor = stateful.HourlyBaseline(count_factor, amount_factor, buckets, idle, corrections)
+    keyed = events.withWatermark("ts", watermark).where("ts IS NOT NULL").select("merchant_id", "ts", micros("ts").alias("us"), "transaction_id", "amount")
+    return keyed.groupBy("merchant_id").transformWithStateInPandas(
+        processor, schema + (", alert boolean, revision long" if corrections else ""), "append", "EventTime"
     )
 
 
@@ -197,55 +141,38 @@ def expiring_counters(events: DataFrame, watermark: str = "1 minute", idle: str
     return counted.select("user_id", "events", "first_us", "last_us")
 
 
-def running_features_stream(events: DataFrame, watermark: str = "1 minute", seconds: int = 3600) -> DataFrame:
+def running_features_stream(events: DataFrame, watermark: str = "1 minute", seconds: int = 3600, corrections: bool = False) -> DataFrame:
     """Every event with the user's count and amount in the last ``seconds`` (the event itself included).
 
-    State is kept for ``seconds`` behind the newest event, in order, so that late events within it find their place.
+    State is kept by user and time bucket of four times ``seconds`` until the watermark has passed the bucket. With
+    ``corrections`` a late event sends out again the events whose window it falls into, under a higher ``revision``.
     """
     span = seconds * 1_000_000
-    schema = "transaction_id string, user_id long, merchant_id long, amount double, ts timestamp, recent_count long, recent_amount double"
-
-    def extend(key, batches, state: GroupState):
-        import pandas as pd
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        frame = _sorted_rows(batches, ["us", "transaction_id"])
-        both = _with_past(frame, state, ["us", "amount", "transaction_id"])
-        us, mine = both["us"].to_numpy("int64"), both["new"].to_numpy(bool)
-        first = np.searchsorted(us, us - span, "right")
-        total = np.concatenate([[0.0], np.cumsum(both["amount"].to_numpy("float64"))])
-        counts = (np.arange(len(us)) + 1 - first)[mine]
-        sums = (total[1:] - total[first])[mine]
-        kept = both[us > us[-1] - 2 * span]
-        state.update((kept["us"].tolist(), kept["amount"].tolist(), kept["transaction_id"].tolist()))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(us[-1]) // 1000) + seconds * 1000)
-        yield pd.DataFrame(
-            {
-                "transaction_id": frame["transaction_id"], "user_id": int(key[0]), "merchant_id": frame["merchant_id"],
-                "amount": frame["amount"], "ts": frame["ts"], "recent_count": counts, "recent_amount": sums,
-            }
-        )
 
-    keyed = events.withWatermark("ts", watermark).select("user_id", "ts", micros("ts").alias("us"), "transaction_id", "merchant_id", "amount")
-    return keyed.groupBy("user_id").applyInPandasWithState(
-        extend, schema, "us array<long>, amount array<double>, id array<string>", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    def first(us):
+        return np.searchsorted(us, us - span, "right")
 
-
-def _milliseconds(text: str) -> int:
-    number, unit = text.split()
-    return int(float(number) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")] * 1000)
+    columns = {"us": "long", "amount": "double", "merchant_id": "long", "transaction_id": "string"}
+    processor = stateful.Trailing(columns, 4 * span, first, stateful.running, corrections)
+    schema = "user_id long, transaction_id string, merchant_id long, amount double, ts timestamp, recent_count long, recent_amount double"
+    found = stateful.trailing(
+        events, "user_id", watermark, span, 4 * span, processor, schema, amount=F.col("amount"),
+        merchant_id=F.col("merchant_id").cast("long"), transaction_id=F.col("transaction_id"),
+    )
+    last = ["revision"] if corrections else []
+    return found.select("transaction_id", "user_id", "merchant_id", "amount", "ts", "recent_count", "recent_amount", *last)
 
 
 # ---- jobs -----------------------------------------------------------------------------------
 
-def feature_job(events: DataFrame, merchants: DataFrame, folder: str, checkpoint: str, seconds: int = 3600):
-    """Events to features: a table for lookups and envelopes for a topic, one state pass."""
+def feature_job(events: DataFrame, merchants: DataFrame, folder: str, checkpoint: str, seconds: int = 3600, corrections: bool = False):
+    """Events to features: a table for lookups and envelopes for a topic, one state pass.
+
+    With ``corrections`` the table has a row for every revision, see ``running_features_stream()``.
+    """
     from ledgerwatch.streaming.sources import envelope
 
-    enriched = running_features_stream(events, seconds=seconds).join(
+    enriched = running_features_stream(events, seconds=seconds, corrections=corrections).join(
         merchants.select("merchant_id", "merchant_risk"), "merchant_id", "left"
     ).withColumns({"hour": F.hour("ts"), "amount_log": F.log1p("amount")})
     return write_batches(
@@ -253,14 +180,19 @@ def feature_job(events: DataFrame, merchants: DataFrame, folder: str, checkpoint
     )
 
 
-def scoring_job(events: DataFrame, merchants: DataFrame, folder: str, checkpoint: str, seconds: int = 3600, velocity_limit: int = 10):
-    """Events to predictions, and alerts for the risky ones."""
-    enriched = running_features_stream(events, seconds=seconds).join(merchants.select("merchant_id", "merchant_risk"), "merchant_id", "left")
+def scoring_job(
+    events: DataFrame, merchants: DataFrame, folder: str, checkpoint: str, seconds: int = 3600, velocity_limit: int = 10, corrections: bool = False
+):
+    """Events to predictions, and alerts for the risky ones.
+
+    With ``corrections`` predictions have a row for every revision; a late event can only raise the score of others.
+    """
+    enriched = running_features_stream(events, seconds=seconds, corrections=corrections).join(merchants.select("merchant_id", "merchant_risk"), "merchant_id", "left")
     score = stream_score(F.col("amount"), F.hour("ts"), F.col("recent_count"), F.col("merchant_risk"), velocity_limit)
     scored = enriched.withColumn("fraud_score", score).withColumns(
         {"risk_level": stream_level(F.col("fraud_score")), "decision": stream_decision(F.col("fraud_score"))}
     )
-    predictions = lambda b: b.select("transaction_id", "fraud_score", "risk_level", "decision", "ts")
+    predictions = lambda b: b.select("transaction_id", "fraud_score", "risk_level", "decision", "ts", *(["revision"] if corrections else []))
     return write_batches(scored, {"predictions": predictions, "alerts": lambda b: build_alerts(b)}, folder, checkpoint)
 
 
