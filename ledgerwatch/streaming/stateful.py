@@ -17,6 +17,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from ledgerwatch.functions.columns import micros
 
 HOUR_US = 3_600_000_000
+#: A time bucket is this many windows long: each one costs a few calls to the state, and one row in so many is a guest.
+SPANS = 16
 #: Rows whose windows are laid side by side at once.
 BLOCK = 4096
 
@@ -75,7 +77,7 @@ class Trailing(StatefulProcessor):
 
         names = [*self.columns, "guest"]
         now = _gathered(rows, names)
-        past = [dict(zip(names, e)) for e in self.kept.get()] if self.kept.exists() else []
+        past = [dict(zip(names, e)) for e in self.kept.get()]
         if not past:
             self.handle.registerTimer(-(-(int(key[1]) + 1) * self.length_us // 1000))
         self.kept.appendValue(tuple(now[c].tolist() for c in names))
@@ -173,22 +175,19 @@ class HourlyBaseline(StatefulProcessor):
         order = np.argsort(at, kind="stable")
         fresh, starts = np.unique(at[order], return_index=True)
         parts = dict(zip(fresh.tolist(), np.split(order, starts[1:])))
-        hours: dict[int, tuple] = {}
-        for (hour,), (us, amount, ids) in self.open.iterator():
-            hours[hour] = (np.array(us, "int64"), np.array(amount, "float64"), np.array(ids, object), np.zeros(len(us), bool))
+        hours = self._held()
+        if not hours or max(parts) > max(hours):
+            end = (max(parts) + 1) * HOUR_US // 1000
+            self.handle.registerTimer(end)
+            self.handle.registerTimer(end + self.idle_hours * 3_600_000)
         for hour, part in parts.items():
             mine = (now["us"][part].astype("int64"), now["amount"][part].astype("float64"), now["transaction_id"][part], np.ones(len(part), bool))
             if hour in hours:
                 mine = tuple(np.concatenate(c) for c in zip(hours[hour], mine))
-            else:
-                end = (hour + 1) * HOUR_US // 1000
-                self.handle.registerTimer(end)
-                self.handle.registerTimer(end + self.idle_hours * 3_600_000)
             by_time = np.lexsort((mine[2].astype(str), mine[0]))
             hours[hour] = tuple(c[by_time] for c in mine)
-            self.open.updateValue((hour,), tuple(c.tolist() for c in hours[hour][:3]))
         out = self._compared(hours, int(now["us"].min()), min(parts))
-        self._close(timerValues.getCurrentWatermarkInMs(), {h: (len(v[0]), float(np.cumsum(v[1])[-1])) for h, v in hours.items()})
+        self._store(timerValues.getCurrentWatermarkInMs(), hours, set(parts))
         if out:
             found = pd.DataFrame({c: np.concatenate([o[c] for o in out]) for c in out[0]})
             found.insert(1, "merchant_id", pd.array([key[0]] * len(found), dtype="Int64"))
@@ -223,23 +222,38 @@ class HourlyBaseline(StatefulProcessor):
             out.append({**found, "alert": odd[pick]} if self.corrections else found)
         return out
 
-    def _close(self, watermark_ms: int, sums: dict[int, tuple[int, float]]) -> None:
-        """Open hours that no event can reach any more become sums; only the last ones of these are kept."""
-        past = [h for h in sums if (h + 1) * HOUR_US // 1000 <= watermark_ms]
-        for hour in past:
-            self.closed.updateValue((hour,), sums[hour])
-            self.open.removeKey((hour,))
+    def _held(self) -> dict[int, tuple]:
+        """The open hours: times, amounts, ids, and that none of them is new."""
+        return {
+            hour: (np.array(us, "int64"), np.array(amount, "float64"), np.array(ids, object), np.zeros(len(us), bool))
+            for (hour,), (us, amount, ids) in self.open.iterator()
+        }
+
+    def _store(self, watermark_ms: int, hours: dict[int, tuple], changed: set[int]) -> None:
+        """Write the changed hours; those that no event can reach any more become sums, of which the last ones are kept."""
+        past = sorted(h for h in hours if (h + 1) * HOUR_US // 1000 <= watermark_ms)
+        rest = [h for h in hours if (h + 1) * HOUR_US // 1000 > watermark_ms]
+        if len(past) > len(rest):  # cheaper to begin anew
+            self.open.clear()
+            changed = set(rest)
+        else:
+            for hour in past:
+                self.open.removeKey((hour,))
+        for hour in rest:
+            if hour in changed:
+                self.open.updateValue((hour,), tuple(c.tolist() for c in hours[hour][:3]))
+        for hour in past[-self.buckets :]:
+            self.closed.updateValue((hour,), (len(hours[hour][0]), float(np.cumsum(hours[hour][1])[-1])))
         if past:
             for hour in sorted(h for (h,) in self.closed.keys())[: -self.buckets]:
                 self.closed.removeKey((hour,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        watermark = timerValues.getCurrentWatermarkInMs()
-        sums = {h: (len(us), float(np.cumsum(amount)[-1])) for (h,), (us, amount, _) in self.open.iterator()}
-        last = max([*sums, *(h for (h,) in self.closed.keys())], default=None)
+        watermark, hours = timerValues.getCurrentWatermarkInMs(), self._held()
+        last = max([*hours, *(h for (h,) in self.closed.keys())], default=None)
         if last is not None and (last + 1 + self.idle_hours) * HOUR_US // 1000 <= watermark:
             for state in (self.open, self.closed, self.arrived):
                 state.clear()
         else:
-            self._close(watermark, sums)
+            self._store(watermark, hours, set())
         return iter([])

@@ -14,6 +14,14 @@ from .conftest import rows
 from .test_streams import SCHEMA, T0, land, stream
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_partitions(spark):
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 @pytest.fixture(scope="module")
 def late():
     """Nine hours of events with ties, in three parts; one event in six arrives a part later than its time says."""
@@ -61,7 +69,7 @@ def test_state_expires(spark, tmp_path):
         return [(f"d{days}-{i}", 1, 1, 10.0, T0 + dt.timedelta(days=days, hours=i), "web") for i in range(n)]
 
     for name, build in (
-        ("velocity", lambda s: jobs.user_velocity_stream(s, "1 minute", 300, 1)),
+        ("velocity", lambda s: jobs.user_velocity_stream(s, "1 minute", 60, 1)),
         ("merchants", lambda s: jobs.merchant_anomaly_stream(s, "1 minute", 0.1, 0.1, 2, expiry="5 days")),
     ):
         src = stream(spark, land(spark, tmp_path / name, [part(0, 6), part(10, 3), part(20, 1)]))
