@@ -323,6 +323,13 @@ def _family_links(sets: DataFrame, families: DataFrame, percent: int, slice_shin
     return inner.unionByName(materialize(outer.groupBy("family", "slice").applyInArrow(_guest_links(percent), "u long, v long"), "near-outer"))
 
 
+def _shared_id_links(usable: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (u, v) from each id that has texts of several classes to the first document of each of them."""
+    several = usable.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias("u"))
+    held = materialize(usable.join(several, F.col("doc_id") == F.col("u"), "left_semi").select("doc_id", F.col("class").alias("of")).distinct(), "near-shared-ids")
+    return held.join(classes.select("class", "rep"), F.col("of") == F.col("class")).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, slice_shingles: int = SLICE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; sets are linked from ``percent`` of Jaccard similarity on.
 
@@ -355,7 +362,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     families = materialize(rest.groupBy("rep").agg(F.min("first").alias("family")), "near-families")
     # a family's first class belongs to it, whatever family it would be counted to itself
     families = materialize(families.unionByName(families.select(F.col("family").alias("rep"), "family")).distinct(), "near-all-families")
-    edges = _family_links(sets, families, percent, slice_shingles)
+    edges = _family_links(sets, families, percent, slice_shingles).unionByName(_shared_id_links(usable, classes))
     places = materialize(components(edges), "near-components")
     own = rest.join(families.groupBy("rep").agg(F.min("family").alias("family")).withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("key", "rep", "family")
     own = materialize(own, "near-own")
@@ -385,7 +392,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         done = was if done is None else materialize(done.unionByName(was), "near-done")
         if not new.isEmpty():
             places = materialize(components(places.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(new)), "near-components")
-    # an id that stands for two classes (rows that share it) is one node already; other ids follow their class
+    # the rows of an id follow their class; classes that share an id are linked by it
     homes = classes.join(places, F.col("rep") == F.col("node"), "left").where("rows > 1 OR component IS NOT NULL").select(F.col("class").alias("of"), F.coalesce("component", "rep").alias("home"))
     found = rows.join(materialize(homes, "near-homes"), F.col("class") == F.col("of"), "left")
     place = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("home", "doc_id")).otherwise(F.col("doc_id"))

@@ -174,6 +174,17 @@ def test_near_dedup_of_edited_copies_of_one_text(spark):
         assert Counter(tuple(r) for r in got.collect()) == want, size
 
 
+def test_near_dedup_unites_classes_that_share_an_id(spark):
+    """An id is one node: 5 has the text of 3 and another one, of which 7 is a near copy; 9 repeats a row of its own."""
+    a, b = " ".join(f"a{k}" for k in range(200)), " ".join(f"b{k}" for k in range(200))
+    rows = [(3, b), (5, a), (5, b), (7, a + " end"), (8, "a text of its own entirely"), (9, "some words of number nine"), (9, "some words of number nine")]
+    rows += [(20, "only here are these words"), (20, "and here are quite other words")]
+    rows = [(i, t, *[None] * 5) for i, t in rows]
+    got = near.near_dedup(spark.createDataFrame(rows, SCHEMA).repartition(3), percent=85).select("doc_id", "component_id", "kept")
+    want = [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (8, 8, True), (9, 9, True), (9, 9, True), (20, 20, True), (20, 20, True)]
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
 def test_near_dedup_of_no_rows(spark):
     assert near.near_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
 
