@@ -24,6 +24,7 @@ FEATURES = (
 ).split()
 #: Bound of the labelled rows that the model is fitted on; the driver holds one measured row for each.
 FIT_ROWS = 20_000
+FIT_KEYS = ["doc_id", "tie", "label"]
 
 
 def _distinct(owner: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,14 +199,14 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 24, rounds: int = 120, pairs:
 def _measured(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in stream:
         found = measure(batch["text"])
-        yield pa.RecordBatch.from_arrays([batch["label"], *(pa.array(found[:, k]) for k in range(len(FEATURES)))], names=["label", *FEATURES])
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in FIT_KEYS), *(pa.array(found[:, k]) for k in range(len(FEATURES)))], names=[*FIT_KEYS, *FEATURES])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> Model:
     """Fit on at most ``fit_rows`` labelled documents of folds 1 to 4 (those of the smallest hashed ids).
 
-    Several labels of one document count as their rounded mean, null labels and labels without a document not at all. The
-    bound keeps what the driver gathers (a row of numbers each) and the broadcast list of ids fixed at any input size.
+    Several labels of one document count as their rounded mean, null labels and labels without a document not at all. Of
+    rows that share an id one counts, that of the smallest hash of the text. The bound keeps what the driver gathers (a row of numbers each) and the broadcast list of ids fixed at any input size.
     """
     prepare(docs.sparkSession)
     chosen = (
@@ -214,9 +215,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     )
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "label")
-    schema = "label int, " + ", ".join(f"{f} double" for f in FEATURES)
-    found = rows.mapInArrow(_measured, schema).orderBy(*FEATURES, "label").toPandas()
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.xxhash64("text").alias("tie"), "label", "text")
+    schema = "doc_id long, tie long, label int, " + ", ".join(f"{f} double" for f in FEATURES)
+    once = rows.mapInArrow(_measured, schema).groupBy("doc_id").agg(F.min(F.struct("tie", "label", *FEATURES)).alias("row"))
+    found = once.select("row.*").orderBy(*FEATURES, "label").toPandas()
     return fit(found[FEATURES].to_numpy(float).reshape(-1, len(FEATURES)), found["label"].to_numpy(float))
 
 

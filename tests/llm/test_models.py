@@ -97,6 +97,30 @@ def test_quality_of_odd_rows(spark):
     assert quality.quality(docs.limit(0), quality.train(docs.limit(0), labels)).collect() == []
 
 
+def test_quality_fits_one_row_of_an_id(spark, monkeypatch):
+    """Rows that repeat a labelled id do not add to what the driver holds, nor change the model."""
+    base = [(k, f"text number {k}, " * (k % 9 + 1), *[None] * 5) for k in range(40)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    shapes, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y: shapes.append(x.shape) or fit(x, y))
+    once = quality.train(spark.createDataFrame(base, SCHEMA), labels)
+    again = quality.train(spark.createDataFrame(base * 30, SCHEMA).repartition(5), labels)
+    assert shapes[0] == shapes[1] and shapes[0][0] == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(40))
+    assert all((a == b).all() for a, b in zip(once.tables, again.tables))
+
+
+def test_quality_scores_are_sums_of_table_entries():
+    rng = np.random.default_rng(1)
+    x = rng.random((300, 4))
+    x[:20, 2] = x[0, 2]
+    model = quality.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float))
+    bin_of = lambda k, v: sum(v >= b for b in model.borders[k])
+    for row, score in zip(x, model.score(x)):
+        total = model.base + sum(model.tables[k][bin_of(k, row[k])] for k in range(4))
+        total += sum(t[bin_of(i, row[i]), bin_of(j, row[j])] for i, j, t in model.pairs)
+        assert score == pytest.approx(1 / (1 + np.exp(-total)))
+
+
 def test_measures_do_not_depend_on_the_batch():
     texts = [(t or "").encode() for _, t, *_ in odd_docs()]
     whole = quality.measure(pa.array(texts, pa.binary()))
