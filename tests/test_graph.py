@@ -274,6 +274,21 @@ def test_heavy_edges_are_walked_more(spark):
     assert 0.83 < share < 0.96
 
 
+def test_walks_from_hubs_draw_once(spark):
+    """Hubs are left by one number per walk, not by a clock per neighbour, with the chances of the weights."""
+    edges = spark.createDataFrame([("m:0", f"u:{i:03d}", 1.0 + i % 4) for i in range(400)] + [("m:0", "u:big", 1000.0)], "src string, dst string, w double")
+    starts = spark.createDataFrame([("m:0",), ("u:000",)], "id string")
+    walk = lambda **kw: {r.walk_id: r.path for r in gr.random_walks(edges, starts, 1500, 3, **kw).collect()}
+    drawn, again, clocks = walk(hub=100, slice_rows=64), walk(hub=100, slice_rows=64), walk(hub=1000)
+    assert drawn == again and drawn != clocks and set(drawn) == set(clocks) and len(drawn) == 3000
+    for paths in (drawn, clocks):
+        first = [p[1] for w, p in paths.items() if w.startswith("m:0#")]
+        assert first.count("u:big") / 1500 == pytest.approx(0.5, abs=0.05)
+        assert sum(int(u[2:]) % 4 == 3 for u in first if u != "u:big") / 1500 == pytest.approx(0.2, abs=0.04)
+        assert all(p[2] == "m:0" for w, p in paths.items() if w.startswith("m:0#"))
+        assert all(p[1] == "m:0" and p[2] != "m:0" for w, p in paths.items() if w.startswith("u:000#"))
+
+
 def test_neighbourhood_sample_and_strata(spark, graph):
     got = gr.neighbourhood_sample(frame(spark, graph), spark.createDataFrame([("hub",)], "id string"), 2, 3).collect()
     per_node = Counter((r.hop, r.src) for r in got)
