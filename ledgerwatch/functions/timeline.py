@@ -28,6 +28,11 @@ HOT_ROWS = 1_000_000
 BROADCAST_HOT = 10_000
 SLICE_SECONDS = 3_600
 BLOCK_ROWS = 200_000
+#: A range frame adds all its rows again for every row; keys with a stretch as long as a range that holds more rows than this
+#: get their trailing sums from slices.
+DENSE_ROWS = 500
+#: A range is put together from at least so many slices where they would else be shorter than ``slice_seconds``.
+RANGE_SLICES = 32
 
 HOT, SLICE = "_hot", "_slice"
 
@@ -50,11 +55,22 @@ def list_hot_keys(df: DataFrame, key, hot_rows: int = HOT_ROWS) -> DataFrame | N
     """The keys with at least ``hot_rows`` rows, or None; a local table with a broadcast hint while they are few."""
     keys = _names(key)
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= hot_rows)
-    counted = counted.select(*keys)
-    rows = counted.limit(BROADCAST_HOT + 1).collect()
+    return _listed(counted.select(*keys))
+
+
+def _listed(found: DataFrame) -> DataFrame | None:
+    rows = found.limit(BROADCAST_HOT + 1).collect()
     if len(rows) > BROADCAST_HOT:
-        return cut_lineage(counted)
-    return F.broadcast(df.sparkSession.createDataFrame(rows, counted.schema)) if rows else None
+        return cut_lineage(found)
+    return F.broadcast(found.sparkSession.createDataFrame(rows, found.schema)) if rows else None
+
+
+def list_dense_keys(df: DataFrame, key, micros: Column, length: int, hot_rows: int = HOT_ROWS, dense_rows: int | None = None) -> DataFrame | None:
+    """As list_hot_keys(), with the keys that have more than ``dense_rows`` rows in one stretch of ``length`` microseconds."""
+    keys = _names(key)
+    stretches = df.groupBy(*keys, F.floor(micros / F.lit(max(1, length))).alias(SLICE)).agg(F.count(F.lit(1)).alias("_n"))
+    dense = F.max(F.when(F.col(SLICE).isNotNull(), F.col("_n"))) > (DENSE_ROWS if dense_rows is None else dense_rows)
+    return _listed(stretches.groupBy(*keys).agg(F.coalesce(dense, F.lit(False)).alias("_d"), F.sum("_n").alias("_n")).filter(F.col("_d") | (F.col("_n") >= hot_rows)).select(*keys))
 
 
 class HotKeys:
@@ -72,6 +88,13 @@ class HotKeys:
             self.found[name] = None if quiet else list_hot_keys(df, keys, self.hot_rows)
         return self.found[name]
 
+    def dense(self, df: DataFrame, keys: Sequence[str], micros: Column, length: int) -> DataFrame | None:
+        """Keys that are hot, or dense over ``length``; one counting pass per key and length."""
+        name = (*keys, length)
+        if name not in self.found:
+            self.found[name] = list_dense_keys(df, keys, micros, length, self.hot_rows)
+        return self.found[name]
+
     def settle(self, df: DataFrame) -> DataFrame:
         """Cut the lineage between steps where hot keys make the plans branch."""
         return cut_lineage(df) if any(v is not None for v in self.found.values()) else df
@@ -239,10 +262,11 @@ def trailing_sums(
     """Sums over a time range behind each row.
 
     ``spans`` maps a label to (oldest, newest) offsets in microseconds, both inclusive and zero or negative; the
-    result columns are named ``{measure}_{label}``.  Ordinary keys use Spark's range frame.  For hot keys that frame
-    would be re-added for every row, so their ranges are put together from slices of time no longer than the range: the
-    end of the oldest slice, the whole slices between, and the beginning of the newest one.  The first and the last come
-    from an ordered pass over one slice, in which the rows ask at the two ends of their range; all meet by ``row_id``.
+    result columns are named ``{measure}_{label}``.  Ordinary keys use Spark's range frame.  That frame adds all its rows
+    again for every row, so for keys that are hot, or dense over the longest range, ranges are put together from slices of
+    time no longer than the range: the end of the oldest slice, the whole slices between, and the beginning of the newest
+    one.  The first and the last come from ordered passes over one slice, in which the times of the rows ask at the two ends
+    of their range.  Rows of one key and time share their sums, so ids may repeat; rows without a time share a frame.
     """
     keys = _names(key)
     names = [f"{m}_{s}" for s in spans for m in measures]
@@ -259,39 +283,43 @@ def trailing_sums(
             ],
         )
 
-    listed = _hot(df, keys, hot_rows)
+    longest = max((hi - lo for lo, hi in spans.values()), default=0)
+    listed = (
+        hot_rows.dense(df, keys, micros, longest) if isinstance(hot_rows, HotKeys) else list_dense_keys(df, keys, micros, longest, hot_rows)
+    )
     if listed is None:
         return framed(timed)
     marked = _mark(timed, keys, listed)
-    hot = marked.filter(F.col(HOT)).drop(HOT)
-    warm = hot.drop("_us")
+    sliced = F.col(HOT) & F.col("_us").isNotNull()
+    hot = marked.filter(sliced).drop(HOT)
+    times = hot.groupBy(*keys, "_us").agg(*[F.sum(c).alias(f"_m_{m}") for m, c in measures.items()])
+    warm = hot
     for label, (lo, hi) in spans.items():
-        length = max(1, min(slice_seconds * 1_000_000, hi - lo))
-        parts = _sums_by_slices(hot, keys, row_id, lo, hi, length, measures).select(
-            F.col("_id").alias(f"_id_{label}"), *[F.col(m).alias(f"{m}_{label}") for m in measures]
-        )
-        warm = warm.join(parts, F.col(row_id) == F.col(f"_id_{label}"))
-    return framed(marked.filter(~F.col(HOT))).unionByName(warm.select(*df.columns, *names)).select(*df.columns, *names)
+        length = max(1, min(max(slice_seconds * 1_000_000, (hi - lo) // RANGE_SLICES), hi - lo))
+        parts = _sums_by_slices(times, keys, lo, hi, length, list(measures)).withColumnsRenamed({m: f"{m}_{label}" for m in measures})
+        warm = null_safe_join(warm, parts, [*keys, "_us"])
+    return framed(marked.filter(~sliced)).unionByName(warm.select(*df.columns, *names)).select(*df.columns, *names)
 
 
-def _sums_by_slices(hot: DataFrame, keys: list[str], row_id: str, lo: int, hi: int, length: int, measures: dict[str, Column]) -> DataFrame:
-    """(_id, measures): each row's sums over [_us + lo, _us + hi], from slices of ``length`` microseconds."""
+def _sums_by_slices(times: DataFrame, keys: list[str], lo: int, hi: int, length: int, measures: list[str]) -> DataFrame:
+    """(keys, _us, measures): sums over [_us + lo, _us + hi] for every time of a key, from slices of ``length`` microseconds.
+
+    ``times`` has one row per key and time with the sums ``_m_`` of its rows.
+    """
     slice_of = lambda at: F.floor(at / F.lit(length)).cast("long")
-    points = hot.select(
-        *keys, F.col(row_id).alias("_id"), F.col("_us").alias("_base"), *[c.alias(f"_m_{m}") for m, c in measures.items()],
-        F.explode(F.array(F.lit("row"), F.lit("old"), F.lit("new"))).alias("_ask"),
-    )
+    points = times.withColumn("_ask", F.explode(F.array(F.lit("row"), F.lit("old"), F.lit("new"))))
     own = F.col("_ask") == "row"
-    at = F.col("_base") + F.when(F.col("_ask") == "old", F.lit(lo)).when(F.col("_ask") == "new", F.lit(hi)).otherwise(F.lit(0))
+    at = F.col("_us") + F.when(F.col("_ask") == "old", F.lit(lo)).when(F.col("_ask") == "new", F.lit(hi)).otherwise(F.lit(0))
     points = points.select(
-        *keys, "_id", "_base", "_ask", at.alias("_at"), slice_of(at).alias(SLICE), *[F.when(own, F.col(f"_m_{m}")).alias(f"_m_{m}") for m in measures]
+        *keys, "_us", "_ask", at.alias("_at"), slice_of(at).alias(SLICE), *[F.when(own, F.col(f"_m_{m}")).alias(f"_m_{m}") for m in measures]
     )
-    inner = Window.partitionBy(*keys, SLICE).orderBy("_at")
-    up_to, on_from = inner.rangeBetween(Window.unboundedPreceding, 0), inner.rangeBetween(0, Window.unboundedFollowing)
+    # both are running sums, from either end: a frame that ends with the slice would be added again for every row
+    inner = Window.partitionBy(*keys, SLICE)
+    up_to, on_from = (inner.orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("_at"), F.desc("_at")))
     one = hi - lo < length  # such a range may lie in one slice; slices of one microsecond then hold it whole
     edges = points.select(
-        *keys, "_id", "_base", "_ask", SLICE,
-        *[F.when(F.col("_ask") == "new", F.sum(f"_m_{m}").over(up_to)).otherwise(F.sum(f"_m_{m}").over(on_from)).alias(f"_e_{m}") for m in measures],
+        *keys, "_us", "_ask", SLICE, *[F.sum(f"_m_{m}").over(up_to).alias(f"_u_{m}") for m in measures],
+        *[F.sum(f"_m_{m}").over(on_from).alias(f"_o_{m}") for m in measures],
     ).filter(~own)
     whole = (hi - lo) // length  # slices between the two ends: one less than this, or this many
     outer = Window.partitionBy(*keys).orderBy(SLICE)
@@ -300,17 +328,21 @@ def _sums_by_slices(hot: DataFrame, keys: list[str], row_id: str, lo: int, hi: i
         *keys, SLICE, *[F.sum(f"_c_{m}").over(w).alias(f"_w{k}_{m}") for k, w in between.items() for m in measures]
     )
     joined = null_safe_join(edges, per_slice, [*keys, SLICE])
-    count = slice_of(F.col("_base") + hi) - slice_of(F.col("_base") + lo) - 1
+    count = slice_of(F.col("_us") + hi) - slice_of(F.col("_us") + lo) - 1
+    newest = F.col("_ask") == "new"
 
     def middle(m: str) -> Column:
         found = F.lit(None)
         for k in between:
-            found = F.when((F.col("_ask") == "new") & (count == k), F.col(f"_w{k}_{m}")).otherwise(found)
+            found = F.when(newest & (count == k), F.col(f"_w{k}_{m}")).otherwise(found)
         return found
 
-    same = F.lit(one) & (F.col("_ask") == "old") & (count == -1)  # counted by the other end already
-    parts = [F.when(~same, F.coalesce(F.col(f"_e_{m}"), F.lit(0)) + F.coalesce(middle(m), F.lit(0))).alias(m) for m in measures]
-    return joined.select("_id", *parts).groupBy("_id").agg(*[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures])
+    same = F.lit(one) & ~newest & (count == -1)  # counted by the other end already
+    parts = [
+        F.when(~same, F.coalesce(F.when(newest, F.col(f"_u_{m}")).otherwise(F.col(f"_o_{m}")), F.lit(0)) + F.coalesce(middle(m), F.lit(0))).alias(m)
+        for m in measures
+    ]
+    return joined.select(*keys, "_us", *parts).groupBy(*keys, "_us").agg(*[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures])
 
 
 def distinct_trailing(

@@ -178,3 +178,19 @@ def test_slices_are_even_wherever_the_values_lie(spark):
     same = spark.createDataFrame([(0.35,)] * 50, "v double")
     assert same.select(tl.even_slices(same, "v", 1).alias("s")).distinct().count() == 1
     assert same.limit(0).select(tl.even_slices(same.limit(0), "v")).count() == 0
+
+
+def test_dense_keys_take_sums_from_slices(spark, monkeypatch):
+    """Keys with many rows in one range are sliced however few rows they have; ids may repeat, keys and times be missing."""
+    monkeypatch.setattr(tl, "DENSE_ROWS", 40)
+    start = dt.datetime(2024, 1, 1)
+    many = [(k, f"t{i // 2:03d}" if i % 7 else None, start + dt.timedelta(seconds=step * (i // 3)), float(i)) for k, step in ((1, 5), (None, 9), (2, 900)) for i in range(240)]
+    df = spark.createDataFrame(many + [(1, "late", None, 1.0), (1, "later", None, 2.0)], "k long, transaction_id string, ts timestamp, amount double")
+    assert {r.k for r in tl.list_dense_keys(df, "k", micros("ts"), 300_000_000, COLD, 40).collect()} == {1, None}
+    spans = {"w": (-300_000_000 + 1, 0), "b": (-60_000_000, -1)}
+    build = lambda: tl.trailing_sums(df, "k", micros("ts"), "transaction_id", spans, {"n": F.lit(1), "s": F.col("amount")}, COLD, 100)
+    sliced = rows(build().fillna(-1), "amount", "k", "n_w", "n_b", "s_w", "s_b")
+    plan = build()._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(tl, "list_dense_keys", lambda *a: None)
+    assert sliced == rows(build().fillna(-1), "amount", "k", "n_w", "n_b", "s_w", "s_b") and len(sliced) == 722
+    assert "_hot" in plan and "unboundedfollowing" not in plan
