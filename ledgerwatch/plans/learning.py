@@ -8,7 +8,7 @@ from ledgerwatch.operators import learning as ln
 from ledgerwatch.operators import selection as sel
 from ledgerwatch.plans.aggregates import evaluations
 from ledgerwatch.plans.registry import cte, query
-from ledgerwatch.sources.files import scratch
+from ledgerwatch.sources.files import scratch, written
 
 USED = ["amount", "fraud_score", "latitude", "longitude", "processing_time_ms", "hour_of_day", "day_of_week", "is_weekend", "is_business_hour"]
 
@@ -376,10 +376,15 @@ def fea_21(t):
     return out
 
 
+def selectable(t):
+    """Rows to fit and all rows, written once: each pass of a fit would else join and broadcast the tables again."""
+    return tuple(written(x.select("transaction_id", "label", *CHOSEN), "selectable") for x in (training(t), everything(t)))
+
+
 @query("FEA-21-models")
 def fea_21_models(t):
     """Selection by forest, lasso, elimination and principal components (MLlib fits)."""
-    fit, rows = (x.select("transaction_id", "label", *CHOSEN) for x in (training(t), everything(t)))
+    fit, rows = selectable(t)
     parts = {
         "random_forest_importance": sel.by_forest(fit, CHOSEN, 3, 5, 4), "lasso": sel.by_lasso(rows, CHOSEN, grid=(0.001, 0.01), folds=2),
         "rfe": sel.by_elimination(fit, CHOSEN, keep=4, step=1, trees=5, depth=3), "pca": sel.by_components(rows, CHOSEN, 3),
@@ -394,7 +399,7 @@ def fea_21_models(t):
 @query("FEA-22")
 def fea_22(t):
     """Combined selection with cross-validated accuracy and the correlations of the chosen features (MLlib fits)."""
-    fit, rows = (x.select("transaction_id", "label", *CHOSEN) for x in (training(t), everything(t)))
+    fit, rows = selectable(t)
     chosen = sel.combined(rows, CHOSEN, ["correlation_filter", "random_forest_importance", "mutual_information"], 4, fit)
     names = [r["feature"] for r in chosen.filter("selected").orderBy("feature").collect()]
     accuracy = ln.cross_validate(rows, names, ln.classifiers(5, 4)["random_forest"], 2, fit=fit).agg(F.avg("accuracy").alias("score"))

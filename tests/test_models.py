@@ -173,3 +173,13 @@ def test_only_classifier_fits_are_capped(tables, monkeypatch):
     found = {(r.method, r.feature): r.score for r in plans.fea_21_models(tables).filter("method IN ('lasso', 'pca')").collect()}
     for method, part in (("pca", sel.by_components(whole, plans.CHOSEN, 3)), ("lasso", sel.by_lasso(whole, plans.CHOSEN, grid=(0.001, 0.01), folds=2))):
         assert {f: v for (m, f), v in found.items() if m == method} == pytest.approx({r.feature: r.score for r in part.collect()})
+
+
+def test_selection_reads_its_rows_from_files(tables):
+    """The passes of the fits read rows that were written once; none joins or broadcasts the tables again."""
+    from ledgerwatch.plans import learning
+
+    fit, every = learning.selectable(tables)
+    for df, source in ((fit, learning.training(tables)), (every, learning.everything(tables))):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+        assert df.exceptAll(source.select(*df.columns)).isEmpty() and df.count() == source.count() > 100
