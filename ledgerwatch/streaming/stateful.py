@@ -19,6 +19,8 @@ from ledgerwatch.functions.columns import micros
 HOUR_US = 3_600_000_000
 #: A time bucket is this many windows long: each one costs a few calls to the state, and one row in so many is a guest.
 SPANS = 16
+#: Keys of a time bucket share the state of so many groups: the calls to it don't grow with the keys.
+GROUPS = 256
 #: Rows whose windows are laid side by side at once.
 BLOCK = 4096
 
@@ -46,7 +48,7 @@ def _gathered(rows: Iterator, names: list[str]) -> dict[str, np.ndarray]:
 def bucketed(events: DataFrame, span_us: int, length_us: int) -> DataFrame:
     """Events under the time bucket they lie in and, as guests, under the next one if its windows reach back to them.
 
-    With (key, bucket) as the key of the state, a key with very many events is spread over as many tasks as it has buckets,
+    With the bucket in the key of the state, a key with very many events is spread over as many tasks as it has buckets,
     every window still finds its rows in one place, and a bucket's state can go when the watermark has passed its end.
     """
     at = F.expr(f"us div {length_us} - IF(us < 0 AND us % {length_us} <> 0, 1, 0)")
@@ -58,15 +60,16 @@ def bucketed(events: DataFrame, span_us: int, length_us: int) -> DataFrame:
 
 
 class Trailing(StatefulProcessor):
-    """Rows of a key and time bucket; ``measure`` gives the results of those whose windows have new rows.
+    """Rows of a group of keys in a time bucket; ``measure`` gives the results of those whose windows have new rows.
 
     The state is a list with one element of arrays per batch: a batch appends and rewrites nothing. ``measure`` takes the
-    columns in order of time and id, and the places of the rows asked for, and returns output columns and a mask of the rows
-    to emit; ``first`` says where each row's window begins.
+    columns in order of key, time and id, and the places of the rows asked for, and returns output columns and a mask of the
+    rows to emit; ``first`` says where each row's window begins, from times that leave more than ``span_us`` between keys.
     """
 
-    def __init__(self, columns: dict[str, str], length_us: int, first: Callable, measure: Callable, corrections: bool):
-        self.columns, self.length_us, self.first, self.measure, self.corrections = columns, length_us, first, measure, corrections
+    def __init__(self, columns: dict[str, str], length_us: int, span_us: int, first: Callable, measure: Callable, corrections: bool):
+        self.columns, self.length_us, self.span_us = {"owner": "string", **columns}, length_us, span_us
+        self.first, self.measure, self.corrections = first, measure, corrections
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -85,15 +88,19 @@ class Trailing(StatefulProcessor):
         all_of = {c: np.concatenate([*(np.array(p[c], dtype=kinds.get(c, object)) for p in past), now[c].astype(kinds.get(c, object))]) for c in names}
         count = len(all_of["us"])
         new = np.arange(count) >= count - len(now["us"])
-        order = np.lexsort((all_of["transaction_id"].astype(str), all_of["us"]))
-        data, new = {c: v[order] for c, v in all_of.items()}, new[order]
-        first = self.first(data["us"])
+        owners, owner = np.unique(all_of["owner"].astype(str), return_inverse=True)
+        order = np.lexsort((all_of["transaction_id"].astype(str), all_of["us"], owner))
+        data, new, owner = {c: v[order] for c, v in all_of.items()}, new[order], owner[order]
+        since = data["us"] - data["us"].min()
+        first = self.first(since + owner * (since.max() + self.span_us + 2))
+        data["begins"] = np.searchsorted(owner, owner, "left")
         arrived = np.concatenate([[0], np.cumsum(new)])
         touched = arrived[1:] - arrived[first] > 0
         wanted = np.flatnonzero((touched if self.corrections else new) & ~data["guest"])
         found, hit = self.measure(data, first, wanted)
         if hit.any():
-            out = pd.DataFrame({"user_id": pd.array([key[0]] * int(hit.sum()), dtype="Int64"), **{c: v[hit] for c, v in found.items()}})
+            users = pd.array([int(o) if o else None for o in owners], dtype="Int64")
+            out = pd.DataFrame({"user_id": users.take(owner[wanted][hit]), **{c: v[hit] for c, v in found.items()}})
             if self.corrections:
                 out["revision"] = count
             yield out
@@ -130,18 +137,22 @@ def velocity(rows: int, min_count: int) -> Callable:
 
 
 def running(data: dict, first: np.ndarray, wanted: np.ndarray):
-    """Count and amount of each window, from running sums."""
-    total = np.concatenate([[0.0], np.cumsum(data["amount"])])
+    """Count and amount of each window, from running sums of each key."""
+    starts = np.unique(data["begins"])
+    upto = np.concatenate([np.cumsum(part) for part in np.split(data["amount"], starts[1:])])
+    before = np.concatenate([[0.0], upto[:-1]])
+    before[starts] = 0.0
     found = {c: data[c][wanted] for c in ("transaction_id", "merchant_id", "amount")}
     found["ts"] = data["us"][wanted].astype("datetime64[us]")
-    return {**found, "recent_count": wanted + 1 - first[wanted], "recent_amount": total[wanted + 1] - total[first[wanted]]}, np.ones(len(wanted), bool)
+    return {**found, "recent_count": wanted + 1 - first[wanted], "recent_amount": upto[wanted] - before[first[wanted]]}, np.ones(len(wanted), bool)
 
 
 def trailing(events: DataFrame, key: str, watermark: str, span_us: int, length_us: int, processor: Trailing, schema: str, **columns: Column) -> DataFrame:
     """Run a processor of trailing windows over a stream; events without a time have no window and are left out."""
-    keyed = events.withWatermark("ts", watermark).where("ts IS NOT NULL").select(key, "ts", micros("ts").alias("us"), *[c.alias(n) for n, c in columns.items()])
+    owner, group = F.coalesce(F.col(key).cast("string"), F.lit("")).alias("owner"), F.pmod(F.xxhash64(key), F.lit(GROUPS)).alias("group")
+    keyed = events.withWatermark("ts", watermark).where("ts IS NOT NULL").select(group, owner, "ts", micros("ts").alias("us"), *[c.alias(n) for n, c in columns.items()])
     revision = ", revision long" if processor.corrections else ""
-    grouped = bucketed(keyed, span_us, length_us).groupBy(key, "bucket")
+    grouped = bucketed(keyed, span_us, length_us).groupBy("group", "bucket")
     return grouped.transformWithStateInPandas(processor, schema + revision, "append", "EventTime")
 
 

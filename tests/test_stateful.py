@@ -109,3 +109,18 @@ def test_bounds_of_rows_and_merchants():
         assert hit[i] == (i + 1 - first[i] >= 3)
         if hit[i]:
             assert found["unique_merchants"][i] == len(set(data["merchant"][window])) and found["total_amount"][i] == pytest.approx(data["amount"][window].sum())
+
+
+def test_keys_share_the_state_but_not_their_sums(spark, tmp_path, monkeypatch):
+    """However many users there are, a time bucket has few groups; amounts of one user don't show in those of others."""
+    monkeypatch.setattr(stateful, "GROUPS", 3)
+    odd = {1: 1e21}
+    made = [(f"e{i:04d}", i % 150 if i % 50 else None, i % 2, odd.get(i % 150, i / 7), T0 + dt.timedelta(seconds=40 * i), "web") for i in range(600)]
+    src = stream(spark, land(spark, tmp_path / "in", [made]))
+    writer = jobs.running_features_stream(src, "12 hours", 9000).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    query = jobs.run_available(writer, str(tmp_path / "c"))
+    held = max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators)
+    assert held <= 3 * 2 * 4, held  # a list, its size and a timer or two for each group and bucket
+    near = {i: [a for _, v, _, a, s, _ in made if v == u and t - dt.timedelta(seconds=9000) < s <= t] for i, u, _, _, t, _ in made}
+    got = {r.transaction_id: (r.user_id, r.recent_count, r.recent_amount) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {i: (u, len(near[i]), pytest.approx(sum(near[i]), rel=1e-12)) for i, u, *_ in made}
