@@ -257,6 +257,41 @@ def test_random_paths_are_shortest_and_alike(spark):
     assert set(got) == {"a", "b"} and sum(got.values()) == 2000 and abs(got["a"] - 1000) < 120
 
 
+def test_searches_leave_out_the_last_step_of_large_vertices(spark, monkeypatch):
+    # two hubs of 300 leaves each are linked: from leaf to leaf over both hubs no hub may be expanded
+    edges = [("h", f"a{i:03d}") for i in range(300)] + [("k", f"b{i:03d}") for i in range(300)] + [("h", "k")]
+    links = gr.undirected(frame(spark, edges)).select("src", "dst")
+    degree = links.groupBy(F.col("src").alias("dst")).agg(F.count(F.lit(1)).alias("d"))
+    pairs = spark.range(100).selectExpr("id AS i", "format_string('a%03d', id) AS s", "1L AS d_s", "format_string('b%03d', id) AS t", "1L AS d_t")
+    most = []
+
+    def kept(df, name):
+        df = written(df, name)
+        most.append(df.count())
+        return df
+
+    written = gr.written
+    monkeypatch.setattr(gr, "written", kept)
+    assert dict(gr._inner_vertices(written(links.join(degree, "dst"), "links"), pairs).collect()) == {"h": 100, "k": 100}
+    assert max(most) <= 1000  # a step of one hub would make 30,000
+
+
+def test_pairs_of_two_components_are_not_searched(spark, monkeypatch):
+    edges = [(f"p{k}_{i}", f"p{k}_{i + 1}") for k in range(3) for i in range(5)]
+    searched = []
+
+    def inner(links, pairs):
+        searched.extend(pairs.select("s", "t").collect())
+        return found(links, pairs)
+
+    found = gr._inner_vertices
+    monkeypatch.setattr(gr, "_inner_vertices", inner)
+    exact = dict(gr.betweenness(frame(spark, edges)).collect())
+    got = gr.sampled_betweenness(frame(spark, edges), error=0.1, first=2000).collect()
+    assert all(abs(r.betweenness - exact[r.id]) <= r.error for r in got) and searched
+    assert all(r.s[:2] == r.t[:2] for r in searched)
+
+
 def test_walks_follow_edges_and_repeat(spark, graph):
     starts = spark.createDataFrame([("hub",), ("x1",)], "id string")
     first = {r.walk_id: r.path for r in gr.random_walks(frame(spark, graph), starts, 20, 6).collect()}
