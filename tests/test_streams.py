@@ -205,3 +205,38 @@ def test_progress_log_keeps_more_batches_than_the_query(spark, tmp_path, batches
         latencies = [r.latency_ms for r in found.collect()]
         assert m.events_processed == 900 and (m.latency_min_ms, m.latency_max_ms) == (min(latencies), max(latencies))
         assert m.latency_mean_ms == pytest.approx(sum(latencies) / len(latencies))
+
+
+def test_state_of_windows_is_by_group_of_keys(spark, tmp_path):
+    """Many keys of a window share rows of state; missing and odd values give the rows of the batch plan."""
+    made = [(f"e{k:05d}", None if k % 97 == 0 else k % 3000, None if k % 11 == 0 else k % 7, None if k % 13 == 0 else float("nan") if k % 501 == 0 else k % 90 / 10, T0 + dt.timedelta(seconds=k % 600), None if k % 17 == 0 else ["online", "pos", "other"][k % 3]) for k in range(6000)]
+    made += [("late", None, 1, 1.0, None, "pos"), ("last", 1, 1, 1.0, T0 + dt.timedelta(hours=2), "pos")]
+    for i in range(3):
+        spark.createDataFrame(made[i::3], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/part{i}")
+    src = stream(spark, f"{tmp_path}/in/part*").withWatermark("ts", "3 hours")
+    window = F.window("ts", "10 minutes", "2 minutes")
+    out = wd.window_aggregates(src, window, ["user_id"])
+    # the watermark stays behind until the event of a second run
+    folder, checkpoint = str(tmp_path / "out"), str(tmp_path / "c")
+    query = jobs.run_available(out.writeStream.outputMode("append").format("parquet").option("path", folder), checkpoint)
+    held = max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators)
+    assert held <= 10 * wd.GROUPS
+    spark.createDataFrame([("end", 1, 1, 1.0, T0 + dt.timedelta(hours=9), "pos")], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/part9")
+    got = jobs.to_table(out, folder, checkpoint)
+    want = wd.window_aggregates(spark.createDataFrame(made, SCHEMA), window, ["user_id"])
+    entries = F.array_sort(F.map_entries("channel_distribution")).cast("string")
+    plain = lambda df: [tuple(map(str, r)) for r in rows(df.withColumn("channel_distribution", entries))]
+    assert plain(got) == plain(want) and len(plain(got)) > 10000
+
+
+def test_a_group_may_go_on_in_the_next_batch(spark, tmp_path):
+    spark.createDataFrame([(f"e{k}", k % 5, k % 7, float(k % 9), T0 + dt.timedelta(seconds=k % 50), "pos") for k in range(1000)], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/part0")
+    spark.createDataFrame([("end", 1, 1, 1.0, T0 + dt.timedelta(hours=9), "pos")], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/part1")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        src = stream(spark, f"{tmp_path}/in/part*").withWatermark("ts", "1 minute")
+        got = jobs.to_table(wd.window_aggregates(src, F.window("ts", "1 minute"), ["user_id"]), str(tmp_path / "out"), str(tmp_path / "c"))
+        assert sorted((r.user_id, r.event_count, r.unique_merchants) for r in got.collect()) == [(u, 200, 7) for u in range(5)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
