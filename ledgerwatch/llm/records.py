@@ -8,13 +8,14 @@ two or four bytes each. The index has a row per record: id, offset of the record
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -80,14 +81,21 @@ def masked(crc: np.ndarray) -> np.ndarray:
 
 #: A blank before something else than white space always begins a new word of the byte-level splitter.
 _CUT = regex.compile(r"(?= \S)", regex.V1)
-_ODD = regex.compile(r" (?:\s|$)|\x00")
+#: Texts that need this cut and not one before each blank: a blank before white space of any kind or at the end, or a zero.
+_ODD = r" (?:[\s\v\x{1C}-\x{1F}\x{85}\x{180E}\pZ]|\z)|\x00"
 
 
 def pieces(text: str) -> list[str]:
     """Parts of a text that a byte-level BPE tokenizer encodes independently of each other."""
-    if _ODD.search(text):
-        return [x for x in _CUT.split(text) if x]
-    return text.replace(" ", "\x00 ").split("\x00")
+    return [x for x in _CUT.split(text) if x]
+
+
+#: Borders of words inside a piece: of letters with a line feed or a mark, and behind a single line feed. An apostrophe may
+#: belong to the letters behind it and is left alone; of a longer white space the splitter takes the last one off.
+_LETTER, _MARK = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF", r"!-&(-/:-@\[-`{-~"
+_BORDER = re.compile(rf"(?<=[{_LETTER}])(?=[{_MARK}\n])|(?<=[{_MARK}])(?=[{_LETTER}\n])|(?<=[{_LETTER}{_MARK}]\n)(?=[{_LETTER}])")
+#: Pieces that the library encodes as the lines of one text, and texts or single pieces of a call.
+LINES, CALL = 500, 50
 
 
 class Encoder:
@@ -102,25 +110,66 @@ class Encoder:
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {"": b""}
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        split = [pieces(t) for t in texts]
-        known = self.known
-        new = set().union(*split).difference(known)
-        # a comma or full stop behind a letter is a word of its own to the splitter
-        stopped = [p for p in new if p[-1] in ",." and p[-2:-1].isalpha()]
-        bare = {p[:-1] for p in stopped}.union(p[-1] for p in stopped).difference(known)
-        todo = list(bare.union(new.difference(stopped)))
-        for at in range(0, len(todo), 10_000):
-            some = todo[at: at + 10_000]
-            for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[piece] = array(self.type.char, e.ids).tobytes()
-        for p in stopped:
-            known[p] = known[p[:-1]] + known[p[-1]]
-        ids = [b"".join(map(known.__getitem__, s)) for s in split]
-        if len(known) > REMEMBERED:
-            for piece in bare.union(new):
-                del known[piece]
-        return ids
+    def batch(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each text. Arrow cuts the texts and tells the distinct pieces, which alone are looked up."""
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        odd = pc.match_substring_regex(texts, _ODD)
+        plain = pc.split_pattern(pc.replace_substring(texts.filter(pc.invert(odd)), " ", "\x00 "), "\x00")
+        other = pa.array([pieces(t) for t in texts.filter(odd).to_pylist()], plain.type)
+        split = pa.concat_arrays([plain, other])
+        place = np.argsort(np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, distinct))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        new = [distinct[i] for i in missing]
+        learnt = self._learn(new)
+        for i in missing:
+            ids[i] = self.known[distinct[i]]
+        if len(self.known) > REMEMBERED:
+            for piece in learnt.union(new):
+                del self.known[piece]
+        joined = pa.array(ids, pa.large_binary()).take(words.indices)
+        at = np.frombuffer(joined.buffers()[1], np.int64, len(joined) + 1)[split.offsets.to_numpy()]
+        data = memoryview(joined.buffers()[2] or b"")
+        return [bytes(data[at[k]: at[k + 1]]) for k in place.tolist()]
+
+    def _learn(self, new: list[str]) -> set[str]:
+        """Remember the ids of new pieces; returns the words of them that were new too."""
+        parts = {p: _BORDER.split(p) for p in new if not p[p[0] == " ":].isalpha()}
+        bare = set(new).difference(parts).union(*parts.values()).difference(self.known)
+        self._encode_words(list(bare))
+        for p, some in parts.items():
+            self.known[p] = b"".join([self.known[x] for x in some])
+        return bare
+
+    def _encode_words(self, todo: list[str]) -> None:
+        """The ids of pieces. Those of letters or printable ASCII are encoded as lines, for much less than a call each.
+
+        A line feed between such pieces is a word of its own to the splitter, and its token is in no word without one.
+        """
+        lines, others = [], []
+        for p in todo:
+            word = p[p[0] == " ":]
+            (lines if word.isalpha() or (word.isascii() and word.isprintable() and word and " " not in word) else others).append(p)
+        feed = self._encode(["\n"])[0]
+        if len(feed) != 1:
+            lines, others = [], todo
+        size = self.type.itemsize
+        for at in range(0, len(lines), LINES * CALL):
+            some = [lines[k: k + LINES] for k in range(at, min(at + LINES * CALL, len(lines)), LINES)]
+            for found, ids in zip(some, self._encode(["\n".join(x) for x in some])):
+                raw, ends = ids.tobytes(), np.append(np.flatnonzero(ids == feed[0]), len(ids)) * size
+                begin = 0
+                for piece, end in zip(found, ends.tolist(), strict=True):
+                    self.known[piece] = raw[begin:end]
+                    begin = end + size
+        for at in range(0, len(others), LINES * CALL):
+            some = others[at: at + LINES * CALL]
+            self.known.update(zip(some, (ids.tobytes() for ids in self._encode(some))))
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.type) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 @lru_cache(2)
@@ -178,7 +227,7 @@ def _write(base: str, path: str, end_id: int):
             if out is None:
                 out, index = SharedFile(base, "records"), SharedFile(base, "index")
             ids = batch[0].to_pylist()
-            encoded = [x + end for x in encoder.batch([t.decode() for t in batch[1].to_pylist()])]
+            encoded = [x + end for x in encoder.batch(batch[1].cast(pa.string()))]
             framed, at = frame(ids, encoded, encoder.type)
             rows = np.zeros(len(ids), INDEX)
             rows["id"] = [0 if i is None else i for i in ids]

@@ -62,6 +62,31 @@ def test_pieces_encode_like_whole_texts(tokenizer):
         assert np.frombuffer(ids, "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_new_words_are_encoded_many_at_a_time(tokenizer, monkeypatch):
+    """Distinct words go to the library as lines of a few texts; marks and line feeds part them; forgetting changes nothing."""
+    from ledgerwatch.llm import records
+
+    class Counting:
+        texts = 0
+
+        def encode_batch_fast(self, texts, **kw):
+            self.texts += len(texts)
+            return tokenizer.encode_batch_fast(texts, **kw)
+
+    rng = random.Random(5)
+    tokenizer.encode_special_tokens = True
+    words = ["".join(rng.choice("abeéßÿñ") for _ in range(8)) for _ in range(3000)]
+    texts = [" ".join(w + rng.choice(["", ".", "***", ".\nIn", "'s", "\n\n", "!'ll", "\n"]) for w in words[k: k + 300]) for k in range(0, 3000, 300)] + ["", "\n", " \n "]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    for limit in (600_000, 10):
+        monkeypatch.setattr(records, "REMEMBERED", limit)
+        encoder = Encoder(PATH)
+        encoder.tokenizer = Counting()
+        assert encoder.batch(texts) == want and encoder.batch(texts[::-1]) == want[::-1]
+        if limit > 10:
+            assert encoder.tokenizer.texts < 1500
+
+
 def test_frames_round_trip_and_notice_damage():
     ids = [5, None, -3]
     tokens = [np.arange(k, dtype="<u2").tobytes() for k in (1, 0, 300)]
