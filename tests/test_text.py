@@ -57,3 +57,12 @@ def test_groups_that_cannot_reach_the_page_are_left_out(spark, texts, monkeypatc
     assert [r.doc_id for r in got.collect()] == [i for i, _ in rows] and len(read) == 2  # first and live groups
     joined = {r.group for r in tx.index_blocks(spark, path, [RARE]).collect()}
     assert len(joined) < 16  # a block per group of the word's documents only
+
+
+def test_texts_move_once_for_their_postings(spark):
+    """One shuffle, of the texts; rows of one id are one document, as are those without an id."""
+    made = [(1, "red cards and red limits"), (1, "red"), (None, "blue cards"), (None, "blue"), (2, None), (3, "the")]
+    found = tx.measured_postings(spark.createDataFrame(made, "doc_id long, text string"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = sorted(((r.doc_id or 0), r.term, r.tf, r.len) for r in found.collect())
+    assert got == [(0, "blue", 2, 3), (0, "card", 1, 3), (1, "card", 1, 5), (1, "limit", 1, 5), (1, "red", 3, 5)]
