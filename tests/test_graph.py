@@ -225,6 +225,19 @@ def test_louvain_moves_never_lose(spark):
         before = after
 
 
+def test_louvain_rounds_are_alike_however_votes_travel(spark, monkeypatch):
+    """Told or asked for, to one task or to several, in long lists or short ones: the round is the same."""
+    monkeypatch.setattr(gr, "AROUND", 3)
+    links = gr.undirected(frame(spark, cliques()[1] + [("a0", f"x{i}") for i in range(9)]))
+    near = gr._around(links, ["src"], F.struct("dst", "w"))
+    assert near.filter("src = 'a0'").count() > 1 and near.agg(F.sum(F.size("around"))).first()[0] == links.count()
+    names = links.groupBy("src").agg(F.sum("w").alias("k"))
+    state = names.select("src", "k", F.col("src").alias("c"), (F.col("src") < "b3").alias("active"))
+    two_m = links.agg(F.sum("w")).first()[0]
+    found = [rows(gr._round(near, state, two_m, 1, 1, told, whole), "src", "k", "c", "active", "wants", "new", "sure") for told in (True, False) for whole in (True, False)]
+    assert all(f == found[0] for f in found) and any(r[4] for r in found[0])
+
+
 def test_pagerank_raises_before_it_settles(spark, graph):
     with pytest.raises(RuntimeError):
         gr.pagerank(frame(spark, graph), iterations=5)
