@@ -238,6 +238,13 @@ def test_louvain_rounds_are_alike_however_votes_travel(spark, monkeypatch):
     assert all(f == found[0] for f in found) and any(r[4] for r in found[0])
 
 
+def test_pagerank_of_hubs_in_several_rows(spark, graph, monkeypatch):
+    edges = frame(spark, graph + [("hub", f"h{i}") for i in range(40)])
+    whole = rows(gr.pagerank(edges, iterations=8, tolerance=None))
+    monkeypatch.setattr(gr, "AROUND", 4)
+    assert rows(gr.pagerank(edges, iterations=8, tolerance=None)) == whole
+
+
 def test_pagerank_raises_before_it_settles(spark, graph):
     with pytest.raises(RuntimeError):
         gr.pagerank(frame(spark, graph), iterations=5)
