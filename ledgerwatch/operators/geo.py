@@ -51,11 +51,44 @@ def velocity_risk(df: DataFrame, hot_rows=tl.HOT_ROWS) -> DataFrame:
     return linked.withColumn("velocity_risk", risk).drop("prev_latitude", "prev_longitude", "gap_seconds")
 
 
+#: Users with fewer rows have all pairs of their rows compared; the places of others are joined by grid cells.
+BUSY_ROWS = 500
+
+
 def location_frequency(df: DataFrame, radius_km: float = 1.0, hot_rows=tl.HOT_ROWS) -> DataFrame:
-    """How often the user has been within ``radius_km`` up to and including this transaction, and its risk.
+    """How often the user has been within ``radius_km`` up to and including this transaction, and its risk."""
+    hot = hot_rows.hot_rows if isinstance(hot_rows, tl.HotKeys) else hot_rows
+    busy = tl.list_hot_keys(df.select("user_id"), "user_id", min(BUSY_ROWS, hot))
+    if busy is None:
+        own = _visits_by_pairs(df, radius_km)
+    else:
+        own = _visits_by_pairs(df.join(busy, "user_id", "left_anti"), radius_km).unionByName(
+            _visits_by_places(df.join(busy, "user_id", "left_semi"), radius_km, hot)
+        )
+    n = F.col("nearby_visits")
+    return df.join(own, "transaction_id").withColumn("frequency_risk", F.when(n == 1, 0.6).when(n <= 3, 0.3).otherwise(0.0))
 
-    Every distinct place of a user receives the visits of the places around it; a running count per place follows.
-    """
+
+def _visits_by_pairs(df: DataFrame, radius_km: float) -> DataFrame:
+    """(transaction_id, nearby_visits) of every row, from all pairs of rows of a user; rows without a time come first."""
+    keys = ["user_id", "transaction_id", "_us", "latitude", "longitude"]
+    placed = df.select("user_id", "transaction_id", micros("ts").alias("_us"), "latitude", "longitude").filter(F.col("user_id").isNotNull())
+    rows = placed.repartition("user_id").groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    seen = rows.select(*[F.col(c).alias(f"near_{c}") for c in rows.columns if c != "transaction_id"])
+    near = (
+        (F.col("user_id") == F.col("near_user_id")) & (F.col("near__us").isNull() | (F.col("near__us") <= F.col("_us")))
+        & (F.abs(F.col("latitude") - F.col("near_latitude")) <= radius_km / jn.KM_PER_DEGREE + 1e-9)
+        & (haversine_km("latitude", "longitude", "near_latitude", "near_longitude") <= radius_km)
+    )
+    counted = rows.join(seen, near).groupBy(*keys, "_n").agg(F.sum("near__n").alias("nearby_visits"))
+    # equal rows are one here, and as many again in the result
+    return counted.select("transaction_id", F.explode(F.array_repeat("nearby_visits", F.col("_n").cast("int"))).alias("nearby_visits"))
+
+
+def _visits_by_places(df: DataFrame, radius_km: float, hot_rows: int) -> DataFrame:
+    """The same without all pairs: every distinct place of a user receives the visits of the places around it; a running
+    count per place follows."""
+    df = df.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
     spot = F.struct("latitude", "longitude")
     spots = df.select("user_id", "latitude", "longitude").distinct()
     around = jn.radius_join(spots, spots, radius_km, ["user_id"]).select(
@@ -64,9 +97,7 @@ def location_frequency(df: DataFrame, radius_km: float = 1.0, hot_rows=tl.HOT_RO
     visits = df.select("user_id", spot.alias("_seen"), micros("ts").alias("_us"), F.col("transaction_id"))
     spread = around.join(visits, ["user_id", "_seen"])
     counted = tl.running_sums(spread, ["user_id", "_place"], F.col("_us"), {"visits": F.lit(1)}, tl.time_slice(F.col("_us")), hot_rows)
-    own = counted.filter(F.col("_place") == F.col("_seen")).select("transaction_id", F.col("visits").alias("nearby_visits"))
-    n = F.col("nearby_visits")
-    return df.join(own, "transaction_id").withColumn("frequency_risk", F.when(n == 1, 0.6).when(n <= 3, 0.3).otherwise(0.0))
+    return counted.filter(F.col("_place") == F.col("_seen")).select("transaction_id", F.col("visits").alias("nearby_visits"))
 
 
 def outlier_risk(df: DataFrame, hot_rows=tl.HOT_ROWS) -> DataFrame:

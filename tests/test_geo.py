@@ -12,6 +12,8 @@ from ledgerwatch.operators import clustering as cl
 from ledgerwatch.operators import geo
 from ledgerwatch.operators import joins as jn
 
+from .conftest import rows
+
 
 def km(a, b):
     la1, lo1, la2, lo2 = map(math.radians, (*a, *b))
@@ -139,3 +141,18 @@ def test_hotspot_leaders_follow_the_greedy_order(spark):
             leaders[p] = count[p]
             covered |= {q for q in places if km(p, q) <= 1.5}
     assert got == leaders
+
+
+def test_visits_are_alike_by_pairs_and_by_places(spark, monkeypatch):
+    """Equal rows, equal times, users, places and times that are missing; a busy user keeps to the grid of places."""
+    rng = np.random.RandomState(8)
+    log = [(f"t{i}", int(i % 3), int(rng.randint(0, 40)), 50.0 + rng.randint(0, 9) / 100, 179.9 + rng.randint(0, 3) / 10 - 360 * int(i % 5 == 0)) for i in range(120)]
+    log += log[:6] + [("n1", None, 3, 50.05, 179.9), ("n2", 1, None, 50.05, 179.9), ("n3", 1, None, 50.05, 179.9), ("n4", 1, 5, None, 179.9), ("n5", 2, 5, 50.05, None)]
+    df = spark.createDataFrame(log, "transaction_id string, user_id long, s long, latitude double, longitude double").withColumn("ts", F.timestamp_seconds("s"))
+    pairs, places = geo._visits_by_pairs(df, 9.0), geo._visits_by_places(df, 9.0, 10**6)
+    assert rows(pairs) == rows(places) and pairs.count() == 128
+    plain = {t: sum(u2 == u and (s2 is None or s is not None and s2 <= s) and None not in (y2, x2) and km((y, x), (y2, x2)) <= 9.0 for _, u2, s2, y2, x2 in log)
+             for t, u, s, y, x in log if None not in (u, y, x)}
+    assert dict(pairs.collect()) == plain
+    monkeypatch.setattr(geo, "BUSY_ROWS", 45)
+    assert {r.transaction_id: r.nearby_visits for r in geo.location_frequency(df, 9.0).collect()} == plain
