@@ -240,3 +240,19 @@ def test_a_group_may_go_on_in_the_next_batch(spark, tmp_path):
         assert sorted((r.user_id, r.event_count, r.unique_merchants) for r in got.collect()) == [(u, 200, 7) for u in range(5)]
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_sliding_query_has_a_window_every_minute(spark, tmp_path):
+    """STR-2: an event lies in each of the ten windows that begin in the ten minutes up to it."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from ledgerwatch.adapters import Tables
+    from ledgerwatch.plans import streams
+
+    made = [(1, 7, T0 + dt.timedelta(minutes=20, seconds=30), "view", 5.0, "{}"), (2, 8, T0 + dt.timedelta(hours=3), "view", 1.0, "{}")]
+    named = pa.table([pa.array(c) for c in zip(*made)], names=["event_id", "user_id", "ts", "event_type", "value", "props"])
+    pq.write_table(named, tmp_path / "events.parquet")
+    got = streams.str_2(Tables(spark, str(tmp_path))).where("user_id = 7").collect()
+    assert sorted(r.window_start for r in got) == [T0 + dt.timedelta(minutes=m) for m in range(11, 21)]
+    assert all(r.window_end - r.window_start == dt.timedelta(minutes=10) and r.event_count == 1 for r in got)
