@@ -377,8 +377,9 @@ def fea_21(t):
 
 
 def selectable(t):
-    """Rows to fit and all rows, written once: each pass of a fit would else join and broadcast the tables again."""
-    return tuple(written(x.select("transaction_id", "label", *CHOSEN), "selectable") for x in (training(t), everything(t)))
+    """Rows to fit and to measure, all rows both, written once: each pass of a fit would else join and broadcast the tables again."""
+    rows = written(everything(t).select("transaction_id", "label", *CHOSEN), "selectable")
+    return rows, rows
 
 
 @query("FEA-21-models")

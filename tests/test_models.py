@@ -183,3 +183,16 @@ def test_selection_reads_its_rows_from_files(tables):
     for df, source in ((fit, learning.training(tables)), (every, learning.everything(tables))):
         assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
         assert df.exceptAll(source.select(*df.columns)).isEmpty() and df.count() == source.count() > 100
+
+
+@pytest.mark.parametrize("name", ["fea_21_models", "fea_22"])
+def test_selection_fits_on_all_rows(tables, monkeypatch, name):
+    """No fit of the selection queries is cut to the newest rows; each reads all but its own fold."""
+    from ledgerwatch.plans import learning as plans
+
+    monkeypatch.setattr(plans, "training", lambda t: ln.training_frame(t.tx_place, days=None, limit=500))
+    sizes, fit = [], ln.train
+    monkeypatch.setattr(ln, "train", lambda df, *args: sizes.append(df.count()) or fit(df, *args))
+    getattr(plans, name)(tables).collect()
+    n = plans.everything(tables).count()
+    assert n > 1200 and max(sizes) == n and min(sizes) > 500
