@@ -400,10 +400,10 @@ def fea_21_models(t):
 @query("FEA-22")
 def fea_22(t):
     """Combined selection with cross-validated accuracy and the correlations of the chosen features (MLlib fits)."""
-    fit, rows = selectable(t)
-    chosen = sel.combined(rows, CHOSEN, ["correlation_filter", "random_forest_importance", "mutual_information"], 4, fit)
+    _, rows = selectable(t)
+    chosen = sel.combined(rows, CHOSEN, ["correlation_filter", "random_forest_importance", "mutual_information"], 4)
     names = [r["feature"] for r in chosen.filter("selected").orderBy("feature").collect()]
-    accuracy = ln.cross_validate(rows, names, ln.classifiers(5, 4)["random_forest"], 2, fit=fit).agg(F.avg("accuracy").alias("score"))
+    accuracy = ln.cross_validate(rows, names, ln.classifiers(5, 4)["random_forest"], 2).agg(F.avg("accuracy").alias("score"))
     table = sel.correlation_table(rows, names).select(F.concat_ws("~", "feature_a", "feature_b").alias("feature"), F.col("correlation").alias("score"))
     return (
         chosen.filter("selected").select(F.lit("feature").alias("kind"), "feature", "score")
