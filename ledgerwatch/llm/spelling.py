@@ -58,7 +58,9 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
 
     The relation is symmetric, so of a neighbourhood only the forms that come no later than the word's own (by length, then
     symbols) are sent to the join: each pair meets once, on the side of the later form. A reduced form shared by many
-    words is a skewed key of an ordinary join, which Spark splits; comparisons stop after one edit.
+    words is a skewed key of an ordinary join, which Spark splits; comparisons stop after one edit. The join sorts both sides
+    whatever their size: Spark sizes the neighbourhoods as the vocabulary they are made of, hundreds of times too low, and
+    would broadcast them.
     """
     spread = vocabulary.repartition(partitions(vocabulary.sparkSession), "word")
     forms = spread.select("word", "n", reduced("word").alias("form"))
@@ -69,7 +71,7 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     left = keys.select(F.col("word").alias("a"), F.col("n").alias("n_a"), "key", (F.col("key") == F.col("form")).alias("same"))
     right = forms.select(F.col("word").alias("b"), F.col("n").alias("n_b"), F.col("form").alias("key_b"))
     meets = (F.col("key") == F.col("key_b")) & (~F.col("same") | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1)
-    pairs = left.join(right, meets).select("a", "n_a", "b", "n_b")
+    pairs = left.join(right.hint("merge"), meets).select("a", "n_a", "b", "n_b")
     both = F.array(
         F.struct(F.col("a").alias("word"), F.col("b").alias("near"), F.col("n_b").alias("n")),
         F.struct(F.col("b").alias("word"), F.col("a").alias("near"), F.col("n_a").alias("n")),
@@ -81,16 +83,17 @@ def roots(forms: DataFrame) -> DataFrame:
     """(word, root) of all words of ``forms`` (word, form): the last word when forms are followed, by doubling steps.
 
     Forms must lead to no circle, as those of growing counts do. Chains are written once per round; a round halves them.
+    No side is broadcast: words take many times their size in files in memory.
     """
     links = materialize(forms.where("form IS NOT NULL").select("word", F.col("form").alias("root")), "spelling-roots")
     while True:
         ahead = links.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        stepped = links.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+        stepped = links.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
         stepped = materialize(stepped, "spelling-roots")
         links = stepped.select("word", "root")
         if not stepped.where("moved").limit(1).count():
             break
-    return forms.select("word").join(links, "word", "left").select("word", F.coalesce("root", "word").alias("root"))
+    return forms.select("word").join(links.hint("merge"), "word", "left").select("word", F.coalesce("root", "word").alias("root"))
 
 
 def variants(vocabulary: DataFrame, factor: int = 5) -> DataFrame:
@@ -102,7 +105,7 @@ def variants(vocabulary: DataFrame, factor: int = 5) -> DataFrame:
     """
     best = F.min(F.struct((-F.col("n")).alias("least"), F.col("near"))).alias("best")
     near = near_words(vocabulary).groupBy("word").agg(best, F.count(F.lit(1)).alias("n_near"))
-    joined = vocabulary.join(near, "word", "left")
+    joined = vocabulary.join(near.hint("merge"), "word", "left")
     common = -F.col("best.least") >= F.col("n") * factor
     found = materialize(
         joined.select(
@@ -111,7 +114,7 @@ def variants(vocabulary: DataFrame, factor: int = 5) -> DataFrame:
         ),
         "spelling-forms",
     )
-    return found.join(roots(found), "word").select("word", "form", "root", "n", "n_near", "form_n")
+    return found.join(roots(found).hint("merge"), "word").select("word", "form", "root", "n", "n_near", "form_n")
 
 
 def spelling_variants(docs: DataFrame, word, id_col: str = "doc_id", text_col: str = "text", least_length: int = 6, least_count: int = 5) -> DataFrame:

@@ -62,6 +62,16 @@ def test_near_words_match_a_comparison_of_all(spark):
     assert sorted(tuple(r) for r in got.select("word", "form", "root", "n", "n_near", "form_n").collect()) == plain_variants(counts)
 
 
+def test_neighbourhoods_are_not_broadcast(spark, tmp_path):
+    """A vocabulary of few bytes has many forms; the plans broadcast neither them nor the words, in whatever size."""
+    spark.createDataFrame([("abcdef" + "xyz"[k % 3] * (k % 40 + 1), 5 + k) for k in range(300)], "word string, n long").dropDuplicates(["word"]).write.parquet(f"{tmp_path}/words")
+    vocabulary = spark.read.parquet(f"{tmp_path}/words")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    chain = vocabulary.select("word", F.lit(None).cast("string").alias("form"))
+    for df in (spelling.near_words(vocabulary), spelling.roots(chain), spelling.variants(vocabulary)):
+        assert "SortMergeJoin" in plan(df) and "Broadcast" not in plan(df)
+
+
 def test_neighbourhood_is_full(spark):
     for form in ("0", "01", "7707", "0" * 5):
         want = {form} | {form[:k] + form[k + 1:] for k in range(len(form))}
