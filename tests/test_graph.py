@@ -5,6 +5,7 @@ import random
 import time
 from collections import Counter, defaultdict, deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,6 +297,30 @@ def test_searches_leave_out_the_last_step_of_large_vertices(spark, monkeypatch):
     assert max(most) <= 1000  # a step of one hub would make 30,000
 
 
+def test_searches_need_no_join_per_level(spark, monkeypatch):
+    """A path of 80 links has 40 levels on each side; the tables written do not grow with them."""
+    names = [f"v{k:02d}" for k in range(80)] + ["a name of more than thirty-two bytes, with ÿ"]
+    links = gr.undirected(frame(spark, list(zip(names, names[1:])))).select("src", "dst")
+    degree = links.groupBy(F.col("src").alias("dst")).agg(F.count(F.lit(1)).alias("d"))
+    pairs = spark.range(3).selectExpr("id AS i", "'v00' AS s", "1L AS d_s", f"'{names[-1]}' AS t", "1L AS d_t")
+    calls, written = [], gr.written
+    monkeypatch.setattr(gr, "written", lambda df, name: calls.append(name) or written(df, name))
+    assert dict(gr._inner_vertices(links.join(degree, "dst"), pairs).collect()) == {n: 3 for n in names[1:-1]}
+    assert len(calls) <= 5
+
+
+def test_draws_of_paths_use_the_hashes_of_spark(spark):
+    from ledgerwatch.operators import paths
+
+    texts = ["".join(chr(97 + (k * j) % 26) for j in range(k)) for k in range(70)] + ["ÿé", "u:1", "x" * 500]
+    asked = spark.createDataFrame([(k * 7919 - 100, t) for k, t in enumerate(texts)], "i long, v string")
+    for i, v, short, long in asked.select("i", "v", F.expr("xxhash64(i, v, 3)"), F.expr("xxhash64(i, 1, v, 4)")).collect():
+        seed = paths.hash_long(i, np.array([42], np.uint64))
+        row = np.frombuffer(v.encode(), np.uint8)[None, :]
+        for last, before, want in ((3, seed, short), (4, paths.hash_int(1, seed), long)):
+            assert paths.hash_int(last, paths.hash_bytes(row, before)).view(np.int64)[0] == want
+
+
 def test_pairs_of_two_components_are_not_searched(spark, monkeypatch):
     edges = [(f"p{k}_{i}", f"p{k}_{i + 1}") for k in range(3) for i in range(5)]
     searched = []
